@@ -3,8 +3,8 @@
 ``resolve_parents`` turns the three ways a card can name its parent into one edge per card.
 ``hierarchy`` then walks the forest level by level from its roots: the frontier of one level is
 joined with the edges to give the next, extending root, depth and (optionally) path. Nodes that
-no frontier reaches hang on a cycle; among them, peeling off nodes without children level by level
-leaves exactly the cycles themselves.
+no frontier reaches hang on a cycle; among them, those still in the image of an ever longer jump to
+the ancestors are the cycles themselves.
 
 Scale: the edges are hash-partitioned by parent once and kept; each round shuffles only the
 frontier. Children of a parent with more than ``hot_children`` of them are spread over ``splits``
@@ -19,11 +19,16 @@ clash with the working columns do no harm.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from kgspark.session import cut, forget
+from kgspark.session import cut, shared_dir
+
+#: Levels that one job advances the frontier by.
+HOPS = 4
 
 #: Spellings that mean "no parent".
 NOTHING = ("", "null", "nan", "none")
@@ -65,7 +70,33 @@ def resolve_parents(cards: DataFrame) -> DataFrame:
     )
 
 
-def hierarchy(edges: DataFrame, with_path: bool = True, unroll: int = 6, hot_children: int = 100_000, splits: int = 32) -> DataFrame:
+def _spread_hot(links: DataFrame, hot_children: int, splits: int) -> tuple[DataFrame, DataFrame | None]:
+    """Add ``part`` to links: 0, or for a parent with many children one of ``splits`` by child."""
+    hot = links.groupBy("above").count().where(F.col("count") > hot_children).select("above", F.lit(splits).alias("n"))
+    if hot.isEmpty():
+        return links.withColumn("part", F.lit(0)), None
+    part = F.coalesce(F.pmod(F.xxhash64("child"), F.col("n")), F.lit(0)).cast("int")
+    return links.join(hot, "above", "left").withColumn("part", part).drop("n"), hot
+
+
+def _rings(rest: DataFrame) -> DataFrame:
+    """Ids of ``rest`` (id, parent; every parent in it) that lie on a cycle.
+
+    The parent function is squared until its image stops shrinking; an image that a further squaring
+    leaves as large is mapped onto itself, so it consists of cycles only.
+    """
+    jump, size = rest, None
+    while True:
+        image = jump.select("parent").distinct()
+        now = image.count()
+        if now == size:
+            return image.select(F.col("parent").alias("id"))
+        size = now
+        to = jump.select(F.col("id").alias("mid"), F.col("parent").alias("far"))
+        jump = cut(jump.join(to, jump["parent"] == to["mid"]).select("id", F.col("far").alias("parent")))
+
+
+def hierarchy(edges: DataFrame, with_path: bool = True, hot_children: int = 100_000, splits: int = 32) -> DataFrame:
     """(id, root, depth, status[, path]) from ``edges`` (id, parent, lost), one row per id.
 
     status: ``tree``, ``detached`` (the chain ends at a node whose parent is lost), ``on_cycle``,
@@ -73,77 +104,51 @@ def hierarchy(edges: DataFrame, with_path: bool = True, unroll: int = 6, hot_chi
     """
     spark = edges.sparkSession
     edges = cut(edges)
-    kept = ["id", "root", "depth", "status", "fan"] + ["path"] * with_path
-    top = edges.where("parent is null").select(
+    kept = ["id", "root", "depth", "status"] + ["path"] * with_path
+    links = edges.where("parent is not null").select(F.col("parent").alias("above"), F.col("id").alias("child"))
+
+    # Links over up to HOPS levels, so that one job advances the frontier by HOPS levels.
+    seg = [F.array("child").alias("seg")] if with_path else []
+    near = links.select("above", "child", F.lit(1).alias("hops"), *seg)
+    for far in (1, 2):
+        start = near.where(F.col("hops") == far)
+        step = near.select(F.col("above").alias("mid"), F.col("child").alias("c2"), F.col("hops").alias("h2"), *([F.col("seg").alias("s2")] if with_path else []))
+        more = start.join(step, start["child"] == step["mid"]).select(
+            "above", F.col("c2").alias("child"), (F.col("hops") + F.col("h2")).alias("hops"), *([F.concat("seg", "s2").alias("seg")] if with_path else [])
+        )
+        near = cut(near.unionByName(more))
+    near, hot = _spread_hot(near, hot_children, splits)
+    near = near.repartition("above", "part").persist(StorageLevel.MEMORY_AND_DISK)
+
+    home = f"{shared_dir(spark)}/kgspark-levels-{uuid.uuid4().hex}"
+    front = edges.where("parent is null").select(
         "id", F.col("id").alias("root"), F.lit(0).cast("bigint").alias("depth"),
-        F.when(F.col("lost"), "detached").otherwise("tree").alias("status"), F.array("id").alias("path"), F.lit(1).alias("fan"),
+        F.when(F.col("lost"), "detached").otherwise("tree").alias("status"), F.array("id").alias("path"),
     ).select(*kept)
-    links = edges.where("parent is not null").select(F.col("id").alias("child"), F.col("parent").alias("above"))
-    hot = links.groupBy("above").count().where(F.col("count") > hot_children).select("above", F.lit(splits).alias("n"))
-    if hot.isEmpty():
-        links = links.withColumns({"part": F.lit(0), "fan": F.lit(1)})
-    else:
-        links = (
-            links.join(hot, "above", "left")
-            .withColumn("part", F.coalesce(F.pmod(F.xxhash64("child"), F.col("n")), F.lit(0)).cast("int"))
-            .drop("n")
-            .join(hot.select(F.col("above").alias("child"), F.col("n").alias("fan")), "child", "left")
-            .withColumn("fan", F.coalesce("fan", F.lit(1)))
-        )
-        top = top.join(hot.select(F.col("above").alias("id"), F.col("n").alias("f")), "id", "left").withColumn("fan", F.coalesce("f", F.lit(1))).drop("f")
-    links = links.repartition("above", "part").persist(StorageLevel.MEMORY_AND_DISK)
-
-    def down(front: DataFrame) -> DataFrame:
-        f = front.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)))
-        nxt = f.drop("fan").join(links, (f["id"] == links["above"]) & (f["at"] == links["part"]))
-        cols = {"root": "root", "status": "status"}
-        return nxt.select(
-            F.col("child").alias("id"), *cols, "fan", (F.col("depth") + 1).alias("depth"),
-            *([F.concat("path", F.array("child")).alias("path")] if with_path else []),
-        ).select(*kept)
-
-    done: list[DataFrame] = [top]
-    front = top
+    front.write.parquet(f"{home}/step=0")
+    step = 0
     while True:
-        levels = []
-        for _ in range(unroll):
-            front = down(front)
-            levels.append(front)
-        batch = levels[0]
-        for x in levels[1:]:
-            batch = batch.unionByName(x)
-        batch = cut(batch)
-        deepest = batch.agg(F.max("depth")).head()[0]
-        if deepest is None:
-            forget(batch)
+        front = spark.read.schema(front.schema).parquet(f"{home}/step={step}").where(F.col("depth") == step * HOPS)
+        if hot is None:
+            front = front.withColumn("at", F.lit(0))
+        else:
+            fan = F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1)
+            front = front.join(hot.withColumnRenamed("above", "id"), "id", "left").withColumn("at", F.explode(fan)).drop("n")
+        grown = front.join(near, (front["id"] == near["above"]) & (front["at"] == near["part"])).select(
+            F.col("child").alias("id"), "root", (F.col("depth") + F.col("hops")).alias("depth"), "status",
+            *([F.concat("path", "seg").alias("path")] if with_path else []),
+        )
+        seen = Observation()
+        step += 1
+        grown.observe(seen, F.max("depth").alias("deepest")).write.parquet(f"{home}/step={step}")
+        front = grown
+        if (seen.get["deepest"] or 0) < step * HOPS:
             break
-        done.append(batch)
-        last = len(done[1:]) * unroll
-        if deepest < last:
-            break
-        front = batch.where(F.col("depth") == last)
-    reached = done[0]
-    for x in done[1:]:
-        reached = reached.unionByName(x)
-    reached = reached.drop("fan")
+    near.unpersist()
+    reached = spark.read.schema(front.schema).parquet(home).drop("step")
 
     rest = cut(edges.where("parent is not null").join(reached.select("id"), "id", "left_anti").select("id", "parent"))
-    ring = rest
-    left = rest.count()
-    while left:
-        smaller = ring
-        for _ in range(unroll):
-            parents = smaller.select(F.col("parent").alias("id")).distinct()
-            smaller = smaller.join(parents, "id", "left_semi")
-        smaller = cut(smaller)
-        now = smaller.count()
-        if ring is not rest:
-            forget(ring)
-        ring = smaller
-        if now == left:
-            break
-        left = now
-    links.unpersist()
+    ring = _rings(rest)
     state = F.when(F.col("on").isNotNull(), "on_cycle").otherwise("below_cycle")
     nowhere = rest.join(ring.select("id", F.lit(True).alias("on")), "id", "left").select(
         "id", F.lit(None).cast("string").alias("root"), F.lit(-1).cast("bigint").alias("depth"), state.alias("status"),
