@@ -5,17 +5,19 @@ one representative, so copies cost nothing further. Each of ``trees`` independen
 representative by the words whose hash, seeded by the path so far, falls under 1 / (path_rate * set
 size): similar sets choose common words and so meet in common nodes. Paths start ``DEPTH`` words long;
 nodes with more than ``leaf`` members branch again, word by word; small nodes are compared
-exhaustively. Inside a node a 128-bit one-bit minwise sketch rejects dissimilar pairs in the JVM, and
-the remaining candidates are checked exactly on their word sets.
+exhaustively. Inside a node a 128-bit one-bit minwise sketch rejects dissimilar pairs, and the
+remaining candidates are checked exactly on their word sets.
 
 A pair with similarity t survives one level with an expected t / path_rate common paths or more, so
 every tree finds it with a probability that falls only slowly with depth; ``trees`` is set for a recall
 above 0.99 at the threshold itself (measured against all pairs in the tests and the README).
 
-Scale: shuffled rows are a fixed number per representative (trees x paths, 40 bytes each); no node is
-collected: counts are partial aggregates and a node that still is large after ``MAX_DEPTH`` words, which
-then are nearly equal records and thus results, is compared by a join that splits it by salt.
-Nothing is broadcast; the driver only sees whether a level is empty.
+Scale: each level is one shuffle of a fixed number of rows per representative (trees x paths, 36 bytes
+each). Small nodes are compared while the sorted rows stream by; large nodes pass through unheld.
+Nodes that a bounded sample shows to hold a large part of all sets branch at once and never meet in
+one task. A node that still is large after ``MAX_DEPTH`` words, whose members then are nearly equal and
+thus results, is compared by a join that splits it by salt. Nothing is broadcast; the driver only
+sees the hot nodes of the sample and whether a level is empty.
 
 Defined results: null, blank and short records (under ``min_words`` words) have no partners; repeated
 rows of an id count once (its latest row); an empty table gives no pairs; similarity equal to the
@@ -122,38 +124,119 @@ def _deeper(rows: DataFrame, sets: DataFrame, rate: float) -> DataFrame:
     return full.mapInArrow(grow, _NODE)
 
 
-def _close(a: str, b: str, least: float) -> Column:
-    """Sizes and sketches of two nodes' members allow the similarity ``least``."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differ = F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))) + F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1")))
+def _limits(least: float) -> tuple[float, int]:
+    """(least ratio of sizes, most differing sketch bits) of a pair that may reach ``least``."""
     p = (1 - least) / 2
-    most = 128 * p + 3.7 * (128 * p * (1 - p)) ** 0.5
-    return (F.least(na, nb) >= least * F.greatest(na, nb)) & (differ <= int(most))
+    return least, int(128 * p + 3.7 * (128 * p * (1 - p)) ** 0.5)
+
+
+_SEEN = "node bigint, id bigint, n int, s0 bigint, s1 bigint, a bigint, b bigint"
+
+
+def _compare(rows: DataFrame, least: float, leaf: int) -> DataFrame:
+    """Candidate pairs (a, b) of the small nodes, and the rows of the large nodes (a null) as they are.
+
+    Rows arrive sorted by node. Members of a small node are compared by shifting the whole batch
+    against itself by 1, 2, ... rows, so the work is the number of pairs inside small nodes. A large
+    node streams through and is never held.
+    """
+    ratio, most = _limits(least)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        big_node = None  # a node known to be large, whose rows pass through
+
+        def emit(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            node, ids, n = part[:3]
+            s0, s1 = part[3].view(_U), part[4].view(_U)
+            edges = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+            size = np.diff(np.append(edges, len(node)))
+            left = np.repeat(size, size) - (np.arange(len(node)) - np.repeat(edges, size)) - 1  # members behind a row
+            large = np.repeat(size > leaf, size)
+            if big_node is not None:
+                large |= node == big_node
+            if large.any():
+                none = pa.nulls(int(large.sum()), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[large]) for c in part), none, none], ["node", "id", "n", "s0", "s1", "a", "b"])
+            behind = np.where(large, 0, left)
+            at = np.flatnonzero(behind > 0)
+            pairs: list[tuple[np.ndarray, np.ndarray]] = []
+            d = 1
+            while len(at):
+                to = at + d
+                ok = (np.bitwise_count(s0[at] ^ s0[to]) + np.bitwise_count(s1[at] ^ s1[to]).astype(np.int32)) <= most
+                i, j = at[ok], to[ok]
+                fit = (np.minimum(n[i], n[j]) >= ratio * np.maximum(n[i], n[j])) & (ids[i] != ids[j])
+                if fit.any():
+                    pairs.append((ids[i[fit]], ids[j[fit]]))
+                d += 1
+                at = at[behind[at] >= d]
+            if pairs:
+                x, y = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+                both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+                no, none32 = pa.nulls(len(both), pa.int64()), pa.nulls(len(both), pa.int32())
+                yield pa.RecordBatch.from_arrays([no, no, none32, no, no, pa.array(both[:, 0]), pa.array(both[:, 1])], ["node", "id", "n", "s0", "s1", "a", "b"])
+
+        for b in batches:
+            now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            if not len(now[0]):
+                continue
+            part = [np.concatenate([h, c]) for h, c in zip(held, now, strict=True)] if held else now
+            last = part[0][-1]
+            cut_at = int(np.searchsorted(part[0], last))
+            tail = len(part[0]) - cut_at
+            if tail > leaf or last == big_node:  # the open node is large already: let it pass
+                yield from emit(part)
+                big_node = last
+                held = []
+            elif len(part[0]) - tail >= 200_000:
+                yield from emit([c[:cut_at] for c in part])
+                held = [c[cut_at:] for c in part]
+            else:
+                held = part
+        if held:
+            yield from emit(held)
+
+    cols = rows.select("node", "id", "n", "s0", "s1")
+    return cols.repartition("node").sortWithinPartitions("node").mapInArrow(scan, _SEEN)
+
+
+def _hot_nodes(sets: DataFrame, trees: int, rate: float, share: float = 0.002) -> list[int]:
+    """Nodes that hold a large part of all sets, from a bounded sample: at most trees / share of them."""
+    total = sets.count()
+    some = sets.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(max(1, total // 20_000))) == 0)
+    size = _start(some, trees, rate).groupBy("node").agg(F.count("*").alias("c"))
+    return [r.node for r in size.where(F.col("c") > max(100, share * min(total, 20_000))).select("node").collect()]
 
 
 def candidate_pairs(sets: DataFrame, least: float, trees: int, leaf: int, path_rate: float, salts: int = 32) -> DataFrame:
     """(a, b) ids of sets that met in a node and may reach ``least``; ids ascending, each pair once."""
-    rows = cut(_start(sets, trees, path_rate))
+    rows = _start(sets, trees, path_rate)
+    hot = _hot_nodes(sets, trees, path_rate)
+    skip = None
+    if hot:  # surely large: they branch at once instead of meeting in one task
+        skip = rows.where(F.col("node").isin(hot))
+        rows = rows.where(~F.col("node").isin(hot))
     found = None
     for depth in range(DEPTH, MAX_DEPTH + 1):
-        size = rows.groupBy("node").agg(F.count("*").alias("members")).where("members > 1")
-        held = rows.join(size, "node")
-        last = depth == MAX_DEPTH
-        small = held.where(F.col("members") <= leaf)
-        x = small.select("node", "id", "n", "s0", "s1").alias("x").join(small.select("node", "id", "n", "s0", "s1").alias("y"), "node")
-        part = x.where((F.col("x.id") < F.col("y.id")) & _close("x", "y", least)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        seen = cut(_compare(rows, least, leaf))
+        part = seen.where("a is not null").select("a", "b")
         found = part if found is None else found.unionByName(part)
-        big = held.where(F.col("members") > leaf).select("node", "id", "n", "s0", "s1")
-        if last:
+        big = seen.where("a is null").select("node", "id", "n", "s0", "s1")
+        if skip is not None:
+            big, skip = big.unionByName(skip), None
+        if big.isEmpty():
+            break
+        if depth == MAX_DEPTH:
+            ratio, most = _limits(least)
             left = big.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
             right = big.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-            x = left.alias("x").join(right.alias("y"), ["node", "salt"])
-            part = x.where((F.col("x.id") < F.col("y.id")) & _close("x", "y", least)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-            found = found.unionByName(part)
-            break
-        rows = cut(_deeper(big, sets, path_rate))
-        if rows.isEmpty():
+            x = left.alias("x").join(right.alias("y"), ["node", "salt"]).where("x.id < y.id")
+            differ = F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) + F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1")))
+            fit = (F.least("x.n", "y.n") >= ratio * F.greatest("x.n", "y.n")) & (differ <= most)
+            found = found.unionByName(x.where(fit).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
             break
+        rows = _deeper(big, sets, path_rate)
     return found.distinct()
 
 
@@ -164,11 +247,11 @@ def set_classes(records: DataFrame, key: str, text: str, latest: str, min_words:
     return w.where(F.size("words") >= min_words).select("key", F.xxhash64("words").alias("id"), F.xxhash64(F.reverse("words"), F.lit(5)).alias("id2"), "words")
 
 
-def similar_classes(members: DataFrame, least: float, trees: int = 14, leaf: int = 60, path_rate: float | None = None) -> DataFrame:
+def similar_classes(members: DataFrame, least: float, trees: int = 8, leaf: int = 200, path_rate: float | None = None) -> DataFrame:
     """(a, a2, b, b2) class pairs whose word sets share at least ``least`` of their union."""
     share = Fraction(least).limit_denominator(1000)
     sets = cut(members.groupBy("id", "id2").agg(F.first("words").alias("words")))
-    pairs = candidate_pairs(sets, least, trees, leaf, path_rate or least * 0.9)
+    pairs = candidate_pairs(sets, least, trees, leaf, path_rate or least * 0.94)
     a = sets.select(F.col("id").alias("a"), F.col("id2").alias("a2"), F.col("words").alias("wa"))
     b = sets.select(F.col("id").alias("b"), F.col("id2").alias("b2"), F.col("words").alias("wb"))
     both = pairs.join(a, "a").join(b, "b").withColumn("shared", F.size(F.array_intersect("wa", "wb")))
