@@ -7,7 +7,7 @@ of ``CALIBRATION`` sample queries are found by brute force over all vectors, and
 widened until their leaves cover ``target`` of them.
 
 Leaves next to each other in the tree form cells. A vector is shuffled once as a point to its cell and
-once as a query to each cell that holds leaves it visits, as 16-bit fixed-point values; each cell
+once as a query to each cell (some ``CELL`` points) that holds leaves it visits, as 16-bit fixed-point values; each cell
 multiplies queries and points leaf by leaf and returns k rows per query. Cells that the calibration
 shows to be visited by very many queries are split by salt, with their points repeated.
 
@@ -34,9 +34,9 @@ from kgspark.session import cut
 from kgspark.tables import table
 
 #: Most vectors the tree is fitted on, and sample queries whose true neighbours are found.
-SAMPLE, CALIBRATION = 100_000, 400
-#: Points per leaf aimed at, least sample rows per leaf, children per node, leaves per cell.
-LEAF, LEAST_SAMPLE, BRANCH, CELL = 300, 8, 16, 16
+SAMPLE, CALIBRATION = 50_000, 400
+#: Points per leaf aimed at, least sample rows per leaf, most children per node, points per cell.
+LEAF, LEAST_SAMPLE, BRANCH, CELL = 300, 8, 16, 24_000
 #: Queries per cell from which the cell is split.
 CELL_QUERIES = 400_000
 #: Fixed-point scale of a unit vector's components.
@@ -73,13 +73,14 @@ class Tree:
 
     def __init__(self, x: np.ndarray, leaf: int, seed: int = 3):
         rng = np.random.default_rng(seed)
-        cent, first, count, leaf_no = [x.mean(axis=0)], [0], [0], [-1]
+        cent, first, count, leaf_no, held = [x.mean(axis=0)], [0], [0], [-1], []
         todo, self.leaves = [(0, np.arange(len(x)))], 0
         while todo:
             node, own = todo.pop()
-            label = self._split(x[own], rng) if len(own) > leaf else None
+            label = self._split(x[own], rng, max(2, min(BRANCH, -(-len(own) // leaf)))) if len(own) > leaf else None
             if label is None:
                 leaf_no[node] = self.leaves
+                held.append(len(own))
                 self.leaves += 1
                 continue
             groups = [own[label == k] for k in np.unique(label)]
@@ -90,11 +91,11 @@ class Tree:
             todo += [(first[node] + i, g) for i, g in enumerate(groups)][::-1]
         self.cent = np.vstack([np.array(cent, np.float32), np.zeros((BRANCH, x.shape[1]), np.float32)])
         self.half = (self.cent**2).sum(axis=1) / 2
+        self.share = np.array(held) / len(x)  # of the sample, by leaf
         self.first, self.count, self.leaf_no = np.array(first), np.array(count), np.array(leaf_no)
 
     @staticmethod
-    def _split(x: np.ndarray, rng) -> np.ndarray | None:
-        k = min(BRANCH, len(x))
+    def _split(x: np.ndarray, rng, k: int) -> np.ndarray | None:
         c = x[rng.choice(len(x), k, replace=False)].copy()
         label = None
         for _ in range(8):
@@ -196,27 +197,28 @@ def calibrate(tree: Tree, queries: list[tuple[str, bytes]], truth: list[tuple],
         visits = max(visits + 2, int(visits * 1.3))
 
 
-_ROWS = "cell int, salt int, point boolean, id string, vec binary, leaves array<int>"
+_ROWS = "cell int, salt int, point boolean, row bigint, vec binary, leaves array<int>"
 
 
-def _spread(vectors: DataFrame, tree: Tree, visits: int, salts: np.ndarray, dim: int) -> DataFrame:
+def _spread(vectors: DataFrame, tree: Tree, visits: int, cell_of: np.ndarray, salts: np.ndarray, dim: int) -> DataFrame:
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for at in range(0, big.num_rows, 2048):
                 b = big.slice(at, 2048)
                 seen = tree.visit(_matrix(b.column(1), dim), visits)
                 home = seen[:, 0]
-                reps = salts[home // CELL]
+                own = cell_of[home]
+                reps = salts[own]
                 take = np.repeat(np.arange(len(home)), reps)
                 salt = np.arange(len(take)) - np.repeat(np.cumsum(reps) - reps, reps)
                 one = pa.ListArray.from_arrays(pa.array(np.arange(len(take) + 1, dtype=np.int32)), pa.array(home[take]))
                 ix = pa.array(take)
-                names = ["cell", "salt", "point", "id", "vec", "leaves"]
-                yield pa.RecordBatch.from_arrays([pa.array((home // CELL)[take].astype(np.int32)), pa.array(salt.astype(np.int32)), pa.array(np.ones(len(take), bool)), b.column(0).take(ix), b.column(1).take(ix), one], names)
+                names = ["cell", "salt", "point", "row", "vec", "leaves"]
+                yield pa.RecordBatch.from_arrays([pa.array(own[take].astype(np.int32)), pa.array(salt.astype(np.int32)), pa.array(np.ones(len(take), bool)), b.column(0).take(ix), b.column(1).take(ix), one], names)
                 s = np.sort(seen, axis=1)
                 r, c = np.nonzero(s >= 0)
                 leaf = s[r, c]
-                cell = leaf // CELL
+                cell = cell_of[leaf]
                 new = np.ones(len(r), bool)
                 new[1:] = (r[1:] != r[:-1]) | (cell[1:] != cell[:-1])
                 start = np.flatnonzero(new)
@@ -226,7 +228,7 @@ def _spread(vectors: DataFrame, tree: Tree, visits: int, salts: np.ndarray, dim:
                 ix = pa.array(who)
                 yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(salt.astype(np.int32)), pa.array(np.zeros(len(who), bool)), b.column(0).take(ix), b.column(1).take(ix), lists], names)
 
-    return vectors.select("id", "vec").mapInArrow(spread, _ROWS)
+    return vectors.select("row", "vec").mapInArrow(spread, _ROWS)
 
 
 def _scan_cells(rows: DataFrame, dim: int, k: int) -> DataFrame:
@@ -234,13 +236,14 @@ def _scan_cells(rows: DataFrame, dim: int, k: int) -> DataFrame:
         t = t.combine_chunks()
         point = t.column("point").to_numpy()
         p, q = t.filter(pa.array(point)), t.filter(pa.array(~point))
-        empty = pa.table({"id": pa.array([], pa.string()), "other": pa.array([], pa.string()), "sim": pa.array([], pa.float32())})
+        empty = pa.table({"row": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "sim": pa.array([], pa.float32())})
         if not p.num_rows or not q.num_rows:
             return empty
         pm, qm = _matrix(p.column("vec"), dim), _matrix(q.column("vec"), dim)
-        pid, qid = np.array(p.column("id").to_pylist(), object), np.array(q.column("id").to_pylist(), object)
-        number = {x: i for i, x in enumerate(pid)}
-        self_at = np.array([number.get(x, -1) for x in qid])
+        pid, qid = p.column("row").to_numpy(), q.column("row").to_numpy()
+        by_row = np.argsort(pid)
+        near = by_row[np.minimum(np.searchsorted(pid, qid, sorter=by_row), len(pid) - 1)]
+        self_at = np.where(pid[near] == qid, near, -1)
         p_leaf = p.column("leaves").combine_chunks().flatten().to_numpy()
         lists = q.column("leaves").combine_chunks()
         q_row = np.repeat(np.arange(q.num_rows), np.diff(lists.offsets.to_numpy()))
@@ -266,16 +269,16 @@ def _scan_cells(rows: DataFrame, dim: int, k: int) -> DataFrame:
                 o = np.argsort(-s, axis=1, kind="stable")[:, :k]
                 best[rows_], who[rows_] = np.take_along_axis(s, o, axis=1), np.take_along_axis(w, o, axis=1)
         r, c = np.nonzero(best > -2)
-        return pa.table({"id": pa.array(qid[r], pa.string()), "other": pa.array(pid[who[r, c]], pa.string()), "sim": pa.array(best[r, c])})
+        return pa.table({"row": pa.array(qid[r]), "other": pa.array(pid[who[r, c]]), "sim": pa.array(best[r, c])})
 
-    return rows.groupBy("cell", "salt").applyInArrow(scan, "id string, other string, sim float")
+    return rows.groupBy("cell", "salt").applyInArrow(scan, "row bigint, other bigint, sim float")
 
 
 def nearest(vectors: DataFrame, k: int = 3, dim: int = 64, target: float = 0.997) -> DataFrame:
     """(id, other, rank, sim): the k most similar others of every vector of ``vectors`` (id, vec)."""
     spark = vectors.sparkSession
     same = Window.partitionBy("vec").orderBy("id")
-    first = cut(vectors.withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1))
+    first = cut(vectors.withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1).withColumn("row", F.monotonically_increasing_id()))
     total, n = vectors.count(), first.count()
     if n < 2:
         return spark.createDataFrame([], "id string, other string, rank int, sim float")
@@ -289,14 +292,17 @@ def nearest(vectors: DataFrame, k: int = 3, dim: int = 64, target: float = 0.997
     sample = sorted(sample)[:: max(1, len(sample) // CALIBRATION)][:CALIBRATION]
     truth = brute_force(first, sample, dim, k)
     visits, seen = calibrate(tree, sample, truth, dim, target)
-    cells = -(-tree.leaves // CELL)
-    asked = np.zeros(cells)
+    cell_of = ((np.cumsum(tree.share) - tree.share) * n / CELL).astype(np.int64)
+    asked = np.zeros(cell_of[-1] + 1)
     for row in seen:
-        asked[np.unique(row[row >= 0] // CELL)] += 1
+        asked[np.unique(cell_of[row[row >= 0]])] += 1
     salts = np.maximum(1, np.ceil(asked / len(sample) * n / CELL_QUERIES)).astype(np.int64)
-    found = _scan_cells(_spread(first, tree, visits, salts, dim), dim, k)
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "other"))
-    out = found.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "other", "rank", "sim")
+    found = _scan_cells(_spread(first, tree, visits, cell_of, salts, dim), dim, k)
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("sim"), "other"))
+    best = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    names = first.select("row", "id")
+    out = best.join(names, "row").join(names.toDF("other_row", "other_id"), F.col("other") == F.col("other_row"))
+    out = out.select("id", F.col("other_id").alias("other"), "rank", "sim")
     if total > n:
         rest = vectors.join(first.select("id"), "id", "left_anti")
         twins = first.where(F.col("r") <= k).select("vec", F.col("id").alias("other"), F.col("r").alias("rank"))
