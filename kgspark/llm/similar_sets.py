@@ -14,10 +14,10 @@ above 0.99 at the threshold itself (measured against all pairs in the tests and
 
 Scale: each level is one shuffle of a fixed number of rows per representative (trees x paths, 36 bytes
 each). Small nodes are compared while the sorted rows stream by; large nodes pass through unheld.
-Nodes that a bounded sample shows to hold a large part of all sets branch at once and never meet in
-one task. A node that still is large after ``MAX_DEPTH`` words, whose members then are nearly equal and
+Nodes that a bounded sample shows to be large branch on at once in the first pass, where the words
+are at hand, and never meet in one task. A node that still is large after ``MAX_DEPTH`` words, whose members then are nearly equal and
 thus results, is compared by a join that splits it by salt. Nothing is broadcast; the driver only
-sees the hot nodes of the sample and whether a level is empty.
+sees the sample and whether a level is empty.
 
 Defined results: null, blank and short records (under ``min_words`` words) have no partners; repeated
 rows of an id count once (its latest row); an empty table gives no pairs; similarity equal to the
@@ -38,6 +38,8 @@ from kgspark.session import cut
 from kgspark.tables import table
 
 DEPTH, MAX_DEPTH = 2, 8
+#: Most sets that the sample for finding large nodes aims at, and its least members in such a node.
+SAMPLE, LEAST_SAMPLE = 20_000, 30
 _U = np.uint64
 
 
@@ -91,9 +93,27 @@ def _branch(path: np.ndarray, own: np.ndarray, values: np.ndarray, off: np.ndarr
 _NODE = "node bigint, id bigint, n int, s0 bigint, s1 bigint"
 
 
-def _start(sets: DataFrame, trees: int, rate: float) -> DataFrame:
+def _seeds(trees: int) -> np.ndarray:
+    return _mix(np.arange(1, trees + 1, dtype=_U) * _U(0x2545F4914F6CDD1D))
+
+
+def _descend(seed: np.ndarray, values: np.ndarray, off: np.ndarray, rate: float, large: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(path, set) of one tree at the first node below ``DEPTH`` words that is not among the ``large`` ones."""
+    path, own = np.full(len(off) - 1, seed, _U), np.arange(len(off) - 1)
+    for depth in range(1, MAX_DEPTH + 1):
+        path, own = _branch(path, own, values, off, rate)
+        if depth < DEPTH:
+            continue
+        at = np.minimum(np.searchsorted(large, path), max(0, len(large) - 1))
+        more = large[at] == path if len(large) and depth < MAX_DEPTH else np.zeros(len(path), bool)
+        yield path[~more], own[~more]
+        path, own = path[more], own[more]
+        if not len(path):
+            return
+
+
+def _start(sets: DataFrame, trees: int, rate: float, large: np.ndarray) -> DataFrame:
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = _mix(np.arange(1, trees + 1, dtype=_U) * _U(0x2545F4914F6CDD1D))
         for big in batches:
             for at in range(0, big.num_rows, 4096):
                 b = big.slice(at, 4096)
@@ -101,11 +121,8 @@ def _start(sets: DataFrame, trees: int, rate: float) -> DataFrame:
                 ids = b.column(0).to_numpy(zero_copy_only=False)
                 n = np.diff(off).astype(np.int32)
                 s0, s1 = sketches(values, off)
-                for seed in seeds:
-                    path, own = np.full(len(ids), seed, _U), np.arange(len(ids))
-                    for _ in range(DEPTH):
-                        path, own = _branch(path, own, values, off, rate)
-                    if len(own):
+                for seed in _seeds(trees):
+                    for path, own in _descend(seed, values, off, rate, large):
                         cols = [path.view(np.int64), ids[own], n[own], s0[own].view(np.int64), s1[own].view(np.int64)]
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["node", "id", "n", "s0", "s1"])
 
@@ -127,7 +144,7 @@ def _deeper(rows: DataFrame, sets: DataFrame, rate: float) -> DataFrame:
 def _limits(least: float) -> tuple[float, int]:
     """(least ratio of sizes, most differing sketch bits) of a pair that may reach ``least``."""
     p = (1 - least) / 2
-    return least, int(128 * p + 3.7 * (128 * p * (1 - p)) ** 0.5)
+    return least, int(128 * p + 2.7 * (128 * p * (1 - p)) ** 0.5)
 
 
 _SEEN = "node bigint, id bigint, n int, s0 bigint, s1 bigint, a bigint, b bigint"
@@ -201,30 +218,43 @@ def _compare(rows: DataFrame, least: float, leaf: int) -> DataFrame:
     return cols.repartition("node").sortWithinPartitions("node").mapInArrow(scan, _SEEN)
 
 
-def _hot_nodes(sets: DataFrame, trees: int, rate: float, share: float = 0.002) -> list[int]:
-    """Nodes that hold a large part of all sets, from a bounded sample: at most trees / share of them."""
+def _large_nodes(sets: DataFrame, trees: int, rate: float, leaf: int) -> np.ndarray:
+    """Nodes that by a bounded sample hold more than ``leaf`` sets, at any depth; sorted.
+
+    At most rows of the sample / ``LEAST_SAMPLE`` of them, whatever the number of sets.
+    """
     total = sets.count()
-    some = sets.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(max(1, total // 20_000))) == 0)
-    size = _start(some, trees, rate).groupBy("node").agg(F.count("*").alias("c"))
-    return [r.node for r in size.where(F.col("c") > max(100, share * min(total, 20_000))).select("node").collect()]
+    part = min(1.0, SAMPLE / max(1, total))
+    pick = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < int(part * 1_000_000)
+    t = sets.where(pick).select("words").limit(2 * SAMPLE).toArrow().column("words").combine_chunks()
+    if not len(t):
+        return np.zeros(0, _U)
+    values, off = _lists(t if isinstance(t, pa.ListArray) else t.chunk(0))
+    least, found = max(LEAST_SAMPLE, leaf * part), []
+    for seed in _seeds(trees):
+        path, own = np.full(len(off) - 1, seed, _U), np.arange(len(off) - 1)
+        for depth in range(1, MAX_DEPTH):
+            path, own = _branch(path, own, values, off, rate)
+            if depth < DEPTH:
+                continue
+            node, back, size = np.unique(path, return_inverse=True, return_counts=True)
+            found.append(node[size > least])
+            keep = (size > least)[back]
+            path, own = path[keep], own[keep]
+            if not len(path):
+                break
+    return np.unique(np.concatenate(found))
 
 
 def candidate_pairs(sets: DataFrame, least: float, trees: int, leaf: int, path_rate: float, salts: int = 32) -> DataFrame:
     """(a, b) ids of sets that met in a node and may reach ``least``; ids ascending, each pair once."""
-    rows = _start(sets, trees, path_rate)
-    hot = _hot_nodes(sets, trees, path_rate)
-    skip = None
-    if hot:  # surely large: they branch at once instead of meeting in one task
-        skip = rows.where(F.col("node").isin(hot))
-        rows = rows.where(~F.col("node").isin(hot))
+    rows = _start(sets, trees, path_rate, _large_nodes(sets, trees, path_rate, leaf))
     found = None
     for depth in range(DEPTH, MAX_DEPTH + 1):
         seen = cut(_compare(rows, least, leaf))
         part = seen.where("a is not null").select("a", "b")
         found = part if found is None else found.unionByName(part)
         big = seen.where("a is null").select("node", "id", "n", "s0", "s1")
-        if skip is not None:
-            big, skip = big.unionByName(skip), None
         if big.isEmpty():
             break
         if depth == MAX_DEPTH:
@@ -247,7 +277,7 @@ def set_classes(records: DataFrame, key: str, text: str, latest: str, min_words:
     return w.where(F.size("words") >= min_words).select("key", F.xxhash64("words").alias("id"), F.xxhash64(F.reverse("words"), F.lit(5)).alias("id2"), "words")
 
 
-def similar_classes(members: DataFrame, least: float, trees: int = 8, leaf: int = 200, path_rate: float | None = None) -> DataFrame:
+def similar_classes(members: DataFrame, least: float, trees: int = 6, leaf: int = 2000, path_rate: float | None = None) -> DataFrame:
     """(a, a2, b, b2) class pairs whose word sets share at least ``least`` of their union."""
     share = Fraction(least).limit_denominator(1000)
     sets = cut(members.groupBy("id", "id2").agg(F.first("words").alias("words")))
