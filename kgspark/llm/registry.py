@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from kgspark.llm import cooccurrence, leakage, neighbours, packing, pairs, pii, quality, similar_sets
+from kgspark.llm import cooccurrence, leakage, names, neighbours, packing, pairs, pii, quality, similar_sets
 
-MODULES = (cooccurrence, quality, packing, leakage, similar_sets, neighbours, pii, pairs)
+MODULES = (cooccurrence, quality, packing, leakage, similar_sets, neighbours, pii, pairs, names)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
