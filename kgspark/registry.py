@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgspark import queries_hierarchy
+from kgspark import queries_graph, queries_hierarchy
 
-MODULES = (queries_hierarchy,)
+MODULES = (queries_hierarchy, queries_graph)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
 
