@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgspark import queries_graph, queries_hierarchy
+from kgspark import queries_graph, queries_hierarchy, queries_text, queries_vector
 
-MODULES = (queries_hierarchy, queries_graph)
+MODULES = (queries_hierarchy, queries_graph, queries_text, queries_vector)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return QUERIES["p6_found"](spark, folder)
+    return QUERIES["vector_topk"](spark, folder)
