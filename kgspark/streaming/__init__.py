@@ -1,0 +1 @@
+"""Structured Streaming: ingestion, windows, and per-tenant state."""
