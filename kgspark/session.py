@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +46,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application.
+
+    The archive is put into the shared folder and registered with the application, so the workers
+    need neither this repository on their machines nor the driver's import path.
+    """
+    sc = spark.sparkContext
+    if _shipped.get("app") == sc.applicationId:
+        return
+    root = Path(__file__).resolve().parent
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    path = f"{shared_dir(spark)}/kgspark-{uuid.uuid4().hex}.zip"
+    jvm = sc._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(sc._jsc.hadoopConfiguration()).create(p)
+    out.write(data.getvalue())
+    out.close()
+    sc.addPyFile(path)
+    _shipped["app"] = sc.applicationId
+
+
+_shipped: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 
 
