@@ -32,7 +32,7 @@ def normalised(means: DataFrame, cfg: DataFrame) -> DataFrame:
         .when(F.col("direction") == "down", scores.inverted(F.col("value"), F.col("lo"), F.col("hi")))
         .otherwise(scores.on_target(F.col("value"), F.col("target"), F.col("hi") - F.col("lo")))
     )
-    return x.select("model", "metric", "category", F.round(s, 6).alias("score"))
+    return x.select("model", "metric", "category", F.round(s, 4).alias("score"))
 
 
 def category_scores(norm: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def cost_blend(rows: DataFrame, weight: float = 0.15) -> DataFrame:
     w = Window.partitionBy()
     lo, hi = F.min("cost").over(w), F.max("cost").over(w)
     c = F.when(F.col("cost").isNull(), 0.5).otherwise(scores.inverted(F.col("cost"), lo, hi))
-    return rows.withColumn("cost_score", F.round(c, 6)).withColumn("final", F.round((1 - weight) * F.col("quality") + weight * F.col("cost_score"), 6))
+    return rows.withColumn("cost_score", F.round(c, 6)).withColumn("final", F.round((1 - weight) * F.col("quality") + weight * F.col("cost_score"), 4))
 
 
 def efficiency(rows: DataFrame, value: str, price: str, out: str) -> DataFrame:

@@ -10,6 +10,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,9 +46,7 @@ def embedded(df: DataFrame, text: str, out: str, make: Callable[[], Embedder], p
     made: dict[str, Embedder] = {}
 
     @F.pandas_udf("array<float>")
-    def embed(batches: Iterator) -> Iterator:  # type: ignore[type-arg]
-        import pandas as pd
-
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = made.setdefault("m", make())
         for s in batches:
             vecs: list = [None] * len(s)
@@ -57,7 +56,6 @@ def embedded(df: DataFrame, text: str, out: str, make: Callable[[], Embedder], p
                     vecs[i] = v
             yield pd.Series(vecs)
 
-    embed.func.__annotations__ = {}
     return df.withColumn(out, embed(F.col(text)))
 
 

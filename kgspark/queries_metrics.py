@@ -331,7 +331,7 @@ _CFG = "cf(metric, category, direction, lo, hi, target) AS (VALUES " + ", ".join
 _MEANS = "mn AS (" + " UNION ALL ".join(f"SELECT model, '{k}' AS metric, round(avg({v}), 6) AS value FROM an GROUP BY 1" for k, v in _TAKE.items()) + ")"
 _CLIP = "greatest(0.0, least(1.0, {x}))"
 _NORM = f"""nm AS (SELECT model, metric, category, round(CASE WHEN direction = 'up' THEN {_CLIP.format(x='(value - lo) / (hi - lo)')}
-  WHEN direction = 'down' THEN 1 - {_CLIP.format(x='(value - lo) / (hi - lo)')} ELSE {_CLIP.format(x='1 - abs(value - target) / (hi - lo)')} END, 6) AS score FROM mn JOIN cf USING (metric))"""
+  WHEN direction = 'down' THEN 1 - {_CLIP.format(x='(value - lo) / (hi - lo)')} ELSE {_CLIP.format(x='1 - abs(value - target) / (hi - lo)')} END, 4) AS score FROM mn JOIN cf USING (metric))"""
 _CATS = "cs AS (SELECT model, category, avg(score) AS s FROM nm GROUP BY 1, 2), ca AS (SELECT model, category, round(s, 6) AS score FROM cs UNION ALL SELECT model, 'overall', round(avg(s), 6) FROM cs GROUP BY 1)"
 
 
@@ -356,7 +356,7 @@ _PRICED = "pr AS (SELECT model, score AS quality, cost FROM ca LEFT JOIN (SELECT
 
 @query(f"""WITH {_ANS}, {_MEANS}, {_CFG}, {_NORM}, {_CATS}, {_PRICED}, x AS (SELECT *, min(cost) OVER () AS lo, max(cost) OVER () AS hi FROM pr),
 y AS (SELECT model, quality, cost, CASE WHEN cost IS NULL THEN 0.5 WHEN hi = lo THEN 1.0 ELSE 1 - (cost - lo) / (hi - lo) END AS cs FROM x)
-SELECT model, quality, cost, round(cs, 6) AS cost_score, round(0.85 * quality + 0.15 * round(cs, 6), 6) AS final FROM y""")
+SELECT model, quality, cost, round(cs, 6) AS cost_score, round(0.85 * quality + 0.15 * round(cs, 6), 4) AS final FROM y""")
 def cost_blend(spark: SparkSession, d: str) -> DataFrame:
     return scorecard.cost_blend(_priced(spark, d))
 
