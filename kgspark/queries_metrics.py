@@ -368,7 +368,7 @@ def cost_efficiency(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_ANS}, {_MEANS}, {_CFG}, {_NORM}, {_CATS} SELECT model, row_number() OVER (ORDER BY score DESC, model) AS rank,
 CASE row_number() OVER (ORDER BY score DESC, model) WHEN 1 THEN 'gold' WHEN 2 THEN 'silver' WHEN 3 THEN 'bronze' ELSE '' END AS medal, floor(score * 100)::BIGINT AS percent,
-repeat('#', (floor(score * 100) // 5)::INT) AS bar FROM ca WHERE category = 'overall'""")
+repeat('#', (floor(score * 100)::BIGINT // 5)::INT) AS bar FROM ca WHERE category = 'overall'""")
 def model_ranking(spark: SparkSession, d: str) -> DataFrame:
     return scorecard.ranking(category_scores(spark, d).where("category = 'overall'"), "score")
 
