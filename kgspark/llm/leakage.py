@@ -19,6 +19,7 @@ passages.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -103,10 +104,10 @@ def leaks(documents: DataFrame, items: DataFrame, width: int = 10, max_item_char
     docs = documents.where("text is not null and doc_id is not null").select("doc_id", "text")
     out = None
     for block in blocks:
-        sent = spark.sparkContext.broadcast(block)
+        sent, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex  # names the automaton in a worker
 
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            code, auto = _once((id(sent), width), sent.value, width)
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent, key=key) -> Iterator[pa.RecordBatch]:
+            code, auto = _once(key, sent.value, width)
             for b in batches:
                 found: list[tuple] = []
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

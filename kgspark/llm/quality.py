@@ -6,7 +6,8 @@ pruning (``quality_fit``) as one SQL CASE over those statistics: no Python, no s
 
 Defined results: a null or blank text has zero words, zero ratios and is ``junk``; very long texts are
 measured whole; repeated rows give repeated rows; other columns of the input pass through, and the
-statistics are added inside one struct column whose name the caller may choose.
+statistics are added inside one struct column whose name the caller may choose (a column of that name
+is replaced).
 """
 
 from __future__ import annotations
@@ -55,8 +56,11 @@ def with_statistics(df: DataFrame, text: str = "text", out: str = "stats") -> Da
     )
     # A generator over one element keeps the optimizer from repeating the expressions of a row in
     # every statistic, and those of the statistics in every rule.
-    made = df.withColumn("_p", F.explode(F.array(parts)))
-    w, lines, n, n_solid, plain_len = (F.col(f"_p.{c}") for c in ("w", "lines", "n", "solid", "plain"))
+    tmp = "_parts"
+    while tmp in df.columns:
+        tmp += "_"
+    made = df.withColumn(tmp, F.explode(F.array(parts)))
+    w, lines, n, n_solid, plain_len = (F.col(f"{tmp}.{c}") for c in ("w", "lines", "n", "solid", "plain"))
     n_words, n_lines = F.size(w), F.size(lines)
     n_word_chars = plain_len - F.greatest(n_words - 1, F.lit(0))
     is_open = lambda x: (F.length(x) < 60) & ~x.rlike(_END)
@@ -72,7 +76,7 @@ def with_statistics(df: DataFrame, text: str = "text", out: str = "stats") -> Da
         n_words.alias("n_words"),
         _ratio(n_word_chars, n_words).alias("mean_word_len"),
         _ratio(F.greatest(n_solid - n_word_chars, F.lit(0)), n_solid).alias("symbol_ratio"),
-        _ratio(n - F.col("_p.no_digits"), n_solid).alias("digit_ratio"),
+        _ratio(n - F.col(f"{tmp}.no_digits"), n_solid).alias("digit_ratio"),
         n_lines.alias("n_lines"),
         _ratio(n_words, n_lines).alias("words_per_line"),
         _share(lines, lambda x: x.rlike(_END)).alias("end_punct_share"),
@@ -85,7 +89,7 @@ def with_statistics(df: DataFrame, text: str = "text", out: str = "stats") -> Da
         _ratio(F.size(F.array_distinct(w)), n_words).alias("distinct_words"),
         _ratio(F.size(F.filter(w, lambda x: F.length(x) == 1)), n_words).alias("single_share"),
     )
-    return made.withColumn(out, F.explode(F.array(stats))).drop("_p")
+    return made.withColumn(out, F.explode(F.array(stats))).drop(tmp)
 
 
 def case_sql(rules: list, stats: str = "stats", default: str = "prose") -> str:
