@@ -6,17 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.functions import luhmann
+from kgspark.operators.ranking import row_numbers
 from kgspark.session import cut
 
 
 def ordinals(nodes: DataFrame) -> DataFrame:
-    """``k``: place among the siblings by (length, id); roots are siblings of each other.
-
-    Siblings of one parent are one window partition. A parent with very many children is sorted by one
-    task, which spills but is never held whole.
-    """
-    w = Window.partitionBy("parent").orderBy(F.length("id"), "id")
-    return nodes.withColumn("k", F.row_number().over(w))
+    """``k``: place among the siblings by (length, id); roots are siblings of each other."""
+    return row_numbers(nodes, ["parent"], [F.length("id"), F.col("id")], "k")
 
 
 def luhmann_ids(nodes: DataFrame, levels: int) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kgspark.functions import luhmann, text
 from kgspark.operators.hierarchy import resolve_parents
+from kgspark.operators.ranking import row_numbers
 
 
 def latest(nodes: DataFrame, key: str = "zettel_id", by: str = "updated_at") -> DataFrame:
@@ -152,7 +153,7 @@ def tree_lines(zettels: DataFrame, tree: DataFrame) -> DataFrame:
     keyed = step.join(key.withColumnRenamed("id", "a"), "a")
     sort = keyed.groupBy("id", "depth").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "k"))), lambda x: x["k"]), "/").alias("sort"))
     n = zettels.select(F.col("zettel_id").alias("id"), "user_id", "luhmann_id", "content").join(sort, "id")
-    w = Window.partitionBy("user_id").orderBy("sort")
     body = text.tree_preview(F.coalesce("content", F.lit("")), F.col("depth").cast("int"))
     line = F.concat(F.repeat(F.lit("  "), F.col("depth").cast("int")), F.coalesce("luhmann_id", F.lit("")), F.lit(" "), body)
-    return n.select("user_id", F.row_number().over(w).cast("bigint").alias("ord"), line.alias("line"))
+    lines = n.select("user_id", "sort", line.alias("line"))
+    return row_numbers(lines, ["user_id"], [F.col("sort")], "ord").select("user_id", "ord", "line")

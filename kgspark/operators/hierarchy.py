@@ -25,7 +25,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from kgspark.session import cut, shared_dir
+from kgspark.session import cut, own, shared_dir
 
 #: Levels that one job advances the frontier by.
 HOPS = 4
@@ -121,6 +121,7 @@ def hierarchy(edges: DataFrame, with_path: bool = True, hot_children: int = 100_
     near = near.repartition("above", "part").persist(StorageLevel.MEMORY_AND_DISK)
 
     home = f"{shared_dir(spark)}/kgspark-levels-{uuid.uuid4().hex}"
+    own(spark, home)
     front = edges.where("parent is null").select(
         "id", F.col("id").alias("root"), F.lit(0).cast("bigint").alias("depth"),
         F.when(F.col("lost"), "detached").otherwise("tree").alias("status"), F.array("id").alias("path"),

@@ -1,12 +1,16 @@
 """Tenant-isolated exact vector search for a stated query set.
 
-Queries are compared with all rows of their tenant in blocks: an equi-join on the tenant, a cosine in
-whole-stage code, a threshold, and a top-k whose limit is applied map-side before the shuffle
-(WindowGroupLimit). For every-vector-against-every-vector use an index instead.
+Queries are compared with all rows of their tenant in blocks: an equi-join of blocks on the tenant, a
+matrix product, a threshold, and a top-k per block before the shuffle. For every vector against every
+vector use an index instead.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,22 +20,66 @@ from kgspark.functions import vectors
 def search(queries: DataFrame, rows: DataFrame, k: int, threshold: float, on: list[str]) -> DataFrame:
     """(query_id, id, score, rank): the k best rows per query with score >= ``threshold``.
 
-    ``queries`` (query_id, q, *on), ``rows`` (id, v, *on); norms are computed once per row, not per pair.
+    ``queries`` (query_id, q, *on), ``rows`` (id, v, *on), at most one tenant column in ``on``. Both sides are
+    packed into blocks of one tenant; each pair of blocks is one matrix product that returns k rows per
+    query, so neither the pairs nor a tenant's rows ever stand in one place.
     """
-    unit = lambda c: F.transform(c.cast("array<double>"), lambda x: x / vectors.norm(c))
-    a = queries.where(vectors.norm(F.col("q")) >= vectors.GUARD).withColumn("q", unit(F.col("q")))
-    b = rows.where(vectors.norm(F.col("v")) >= vectors.GUARD).withColumn("v", unit(F.col("v")))
-    pairs = a.join(b, on) if on else a.crossJoin(b)
-    scored = pairs.where("id <> query_id").select("query_id", "id", F.round(vectors.dot(F.col("q"), F.col("v")), 6).alias("score")).where(F.col("score") >= threshold)
+    a = _blocks(queries, "query_id", "q", on, 1024).toDF(*(["t", "qi", "qv"]))
+    b = _blocks(rows, "id", "v", on, 4096).toDF(*(["t", "bi", "bv"]))
+    met = a.join(b, "t") if on else a.drop("t").crossJoin(b.drop("t"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for qi, qv, bi, bv in zip(*(batch.column(c).to_pylist() for c in ("qi", "qv", "bi", "bv")), strict=True):
+                dim = len(qv) // 8 // len(qi)
+                if len(bv) != dim * 8 * len(bi):
+                    continue
+                sim = np.round(np.frombuffer(qv).reshape(-1, dim) @ np.frombuffer(bv).reshape(-1, dim).T, 6)
+                q, c = np.array(qi, dtype=object), np.array(bi, dtype=object)
+                sim[q[:, None] == c[None, :]] = -2.0
+                if sim.shape[1] > k:  # all that tie with the k-th stay, so ids can decide
+                    floor = np.partition(sim, -k, axis=1)[:, -k]
+                    sim[sim < floor[:, None]] = -2.0
+                r, j = np.nonzero(sim >= max(threshold, -1.5))
+                yield pa.RecordBatch.from_arrays([pa.array(q[r].tolist(), kinds[0]), pa.array(c[j].tolist(), kinds[1]), pa.array(sim[r, j])], ["query_id", "id", "score"])
+
+    names = (queries.schema["query_id"].dataType.simpleString(), rows.schema["id"].dataType.simpleString())
+    kinds = [pa.string() if n == "string" else pa.int64() for n in names]
+    scored = met.select("qi", "qv", "bi", "bv").mapInArrow(scan, f"query_id {names[0]}, id {names[1]}, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
 
+def _blocks(df: DataFrame, key: str, vector: str, on: list[str], size: int) -> DataFrame:
+    """(tenant, ids, unit vectors as bytes): blocks of at most ``size`` rows of one tenant and one length."""
+    kind = df.schema[key].dataType.simpleString()
+    tenant = df.schema[on[0]].dataType.simpleString() if on else "int"
+    arrow = {"string": pa.string(), "int": pa.int32()}.get(kind, pa.int64()), {"string": pa.string(), "int": pa.int32()}.get(tenant, pa.int64())
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            groups: dict[tuple, tuple[list, list]] = {}
+            for t, i, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if i is None or v is None or not v or (on and t is None):
+                    continue
+                x = np.asarray(v, np.float64)
+                n = np.sqrt((x * x).sum())
+                if np.isfinite(n) and n >= vectors.GUARD:
+                    g = groups.setdefault((t, len(v)), ([], []))
+                    g[0].append(i), g[1].append(x / n)
+            out = [(t, g[0][s : s + size], np.concatenate(g[1][s : s + size]).tobytes()) for (t, _), g in groups.items() for s in range(0, len(g[0]), size)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], arrow[1]), pa.array([o[1] for o in out], pa.list_(arrow[0])), pa.array([o[2] for o in out], pa.binary())], ["t", "ids", "vecs"])
+
+    cols = [F.col(on[0]) if on else F.lit(0).alias("t"), F.col(key), F.col(vector)]
+    return df.select(*cols).mapInArrow(pack, f"t {tenant}, ids array<{kind}>, vecs binary")
+
+
 def best_match(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """(left id, right id, score): the most similar right row of every left row that shares ``on``."""
-    w = Window.partitionBy("a_id").orderBy(F.desc("score"), "b_id")
-    s = left.join(right, on).select(*on, "a_id", "b_id", F.round(vectors.cosine(F.col("a"), F.col("b")), 6).alias("score"))
-    return s.where("score is not null").withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+    """(a_id, b_id, score): the most similar right row (b_id, b) of every left row (a_id, a) that shares ``on``."""
+    q = left.select(F.col("a_id").alias("query_id"), F.col("a").alias("q"), *on)
+    r = right.select(F.col("b_id").alias("id"), F.col("b").alias("v"), *on)
+    return search(q, r, 1, -1.0, on).select(F.col("query_id").alias("a_id"), F.col("id").alias("b_id"), "score")
 
 
 def semantic_scores(ref: DataFrame, pred: DataFrame, on: list[str], threshold: float) -> DataFrame:

@@ -59,7 +59,7 @@ def nearest_join(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     a = e.where("vec_id % 50 <> 0").select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("a"), "label")
     b = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("b"), "label")
-    m = vector.best_match(a, b, ["label"]).drop("label")
+    m = vector.best_match(a, b, ["label"])
     return m.withColumn("band", F.when(F.col("score") >= params.RELEVANT, "relevant").when(F.col("score") >= params.BORDERLINE, "borderline").otherwise("drop"))
 
 

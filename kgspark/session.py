@@ -67,6 +67,7 @@ def ship(spark: SparkSession) -> None:
     out.write(data.getvalue())
     out.close()
     sc.addPyFile(path)
+    own(spark, path)
     _shipped["app"] = sc.applicationId
 
 
@@ -84,14 +85,19 @@ def cut(df: DataFrame, *partition_cols: str) -> DataFrame:
     path = f"{shared_dir(spark)}/kgspark-{uuid.uuid4().hex}"
     w = df.write.option("compression", "zstd")
     (w.partitionBy(*partition_cols) if partition_cols else w).parquet(path)
-    if not _written:
-        atexit.register(_sweep)
-    _written.append((spark, path))
+    own(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kgspark_path = path
     return out
 
 
+def own(spark: SparkSession, path: str) -> None:
+    """Have ``path`` in the shared folder removed at the end of the program, or by ``sweep``."""
+    if not _written:
+        atexit.register(sweep)
+    _written.append((spark, path))
+
+
 def forget(df: DataFrame) -> None:
     """Remove the table behind a frame returned by ``cut`` once nothing reads it any more."""
     path = getattr(df, "_kgspark_path", None)
@@ -106,9 +112,10 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def _sweep() -> None:
-    for spark, path in _written:
+def sweep() -> None:
+    """Remove everything this program still keeps in the shared folder, once its results are written."""
+    while _written:
         try:
-            _delete(spark, path)
+            _delete(*_written.pop())
         except Exception:  # the JVM may already be gone; the folder's own retention applies then
             return
