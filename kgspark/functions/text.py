@@ -137,3 +137,28 @@ def route(c: Column) -> Column:
 
 def dated_update(content: Column, at: Column) -> Column:
     return F.concat(F.lit("["), F.date_format(at, "dd.MM.yyyy HH:mm"), F.lit(" UTC] "), content)
+
+
+def tags_to_text(c: Column) -> Column:
+    """Comma-joined tags of the flat metadata form; null for none."""
+    return F.when(F.size(c) > 0, F.array_join(c, ","))
+
+
+def text_to_tags(c: Column) -> Column:
+    return F.coalesce(F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))
+
+
+def flag_to_text(c: Column) -> Column:
+    return F.when(c, "True").otherwise("False")
+
+
+def text_to_flag(c: Column) -> Column:
+    return F.coalesce(F.lower(F.trim(c)) == "true", F.lit(False))
+
+
+def coerced_tags(c: Column) -> Column:
+    """Tags from a list literal, else from comma-separated text; trimmed, non-empty; none for null and ``nan``."""
+    listed = F.from_json(F.replace(c, F.lit("'"), F.lit('"')), "array<string>")
+    t = F.when(F.trim(c).startswith("["), listed).otherwise(F.split(c, ","))
+    t = F.filter(F.transform(t, lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(c.isNull() | (F.lower(F.trim(c)) == "nan"), F.array().cast("array<string>")).otherwise(F.coalesce(t, F.array().cast("array<string>")))

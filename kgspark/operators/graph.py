@@ -22,6 +22,20 @@ def latest(nodes: DataFrame, key: str = "zettel_id", by: str = "updated_at") ->
     return nodes.where(F.col(key).isNotNull()).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def by_id(zettels: DataFrame, user_id: str, zettel_id: str) -> DataFrame:
+    """The tenant's node of that id; both tests reach the file scan."""
+    return zettels.where((F.col("user_id") == user_id) & (F.col("zettel_id") == zettel_id)).limit(1)
+
+
+def by_luhmann(zettels: DataFrame, user_id: str, luhmann_id: str) -> DataFrame:
+    return zettels.where((F.col("user_id") == user_id) & (F.col("luhmann_id") == luhmann_id)).orderBy("zettel_id").limit(1)
+
+
+def repeated_keys(rows: DataFrame, *keys: str) -> DataFrame:
+    """Keys that break uniqueness, with their number of rows."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def child_of(cards: DataFrame) -> DataFrame:
     """(user_id, child_id, parent_id) from cards, whichever way a card names its parent."""
     e = resolve_parents(cards).where("parent is not null").select(F.col("id").alias("child_id"), F.col("parent").alias("parent_id"))

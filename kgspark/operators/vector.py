@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kgspark import params
 from kgspark.functions import vectors
 
 
@@ -50,6 +51,16 @@ def search(queries: DataFrame, rows: DataFrame, k: int, threshold: float, on: li
     return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
 
+def first_then_threshold(queries: DataFrame, rows: DataFrame, n: int, threshold: float, on: list[str]) -> DataFrame:
+    """The older order of operators: the best ``n`` first, the threshold after."""
+    return search(queries, rows, n, -1.0, on).where(F.col("score") >= threshold)
+
+
+def delete_candidates(queries: DataFrame, rows: DataFrame, on: list[str], link_threshold: float) -> DataFrame:
+    """At most five numbered candidates for a deletion."""
+    return search(queries, rows, params.TOP_K, max(params.DELETE_THRESHOLD, link_threshold), on).withColumnRenamed("rank", "number")
+
+
 def _blocks(df: DataFrame, key: str, vector: str, on: list[str], size: int) -> DataFrame:
     """(tenant, ids, unit vectors as bytes): blocks of at most ``size`` rows of one tenant and one length."""
     kind = df.schema[key].dataType.simpleString()

@@ -101,3 +101,58 @@ def sentence_atoms(notes: DataFrame) -> DataFrame:
     p = notes.select("note_id", F.posexplode(parts).alias("pos", "content"))
     null = F.lit(None).cast("string")
     return p.select("note_id", "pos", "content", F.lit("fact").alias("thought_type"), F.array().cast("array<string>").alias("tags"), null.alias("parent_hint"), (F.col("pos") == 0).alias("is_root_topic"))
+
+
+def judged(rows: DataFrame, prompt: str, scores: list[str], make: Callable[[], Callable[[str], dict]]) -> DataFrame:
+    """``rows`` with one score column per name in [0, 1] and ``status``; a failed call has null scores.
+
+    Scores out of range are an error of the judge, not a value.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = make()
+        for b in batches:
+            out, state = {s: [] for s in scores}, []
+            for text in b.column(b.schema.get_field_index(prompt)).to_pylist():
+                try:
+                    got = judge(text)
+                    vals = [float(got[s]) for s in scores]
+                    if not all(0 <= v <= 1 for v in vals):
+                        raise ValueError("score out of range")
+                    state.append("ok")
+                except Exception as e:  # a failed call is a row, not a failed job
+                    vals = [None] * len(scores)
+                    state.append(f"error: {type(e).__name__}")
+                for s, v in zip(scores, vals, strict=True):
+                    out[s].append(v)
+            cols = [*b.columns, *(pa.array(out[s], pa.float64()) for s in scores), pa.array(state, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, *scores, "status"])
+
+    from pyspark.sql import types as T
+
+    fields = [*rows.schema.fields, *(T.StructField(s, T.DoubleType()) for s in scores), T.StructField("status", T.StringType())]
+    return rows.mapInArrow(scan, T.StructType(fields))
+
+
+def read_documents(files: DataFrame, readers: dict[str, Callable[[bytes], list[tuple[str, list[str]]]]]) -> DataFrame:
+    """(path, page, text, tables, status) of binary files (path, content, reader), e.g. by OCR or speech recognition.
+
+    A reader turns bytes into pages of (text, tables); plain text needs none. Failures are a status.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for path, content, kind in zip(*(b.column(c).to_pylist() for c in ("path", "content", "reader")), strict=True):
+                try:
+                    pages = readers[kind](content) if kind in readers else [(content.decode(), [])] if kind == "txt" else None
+                    if pages is None:
+                        rows.append({"path": path, "page": 0, "text": None, "tables": [], "status": "unsupported"})
+                        continue
+                    rows += [{"path": path, "page": i, "text": t, "tables": tables, "status": "ok"} for i, (t, tables) in enumerate(pages, 1)]
+                except Exception as e:
+                    rows.append({"path": path, "page": 0, "text": None, "tables": [], "status": f"error: {type(e).__name__}"})
+            kinds = pa.schema([("path", pa.string()), ("page", pa.int32()), ("text", pa.string()), ("tables", pa.list_(pa.string())), ("status", pa.string())])
+            yield pa.RecordBatch.from_pylist(rows, kinds)
+
+    return files.select("path", "content", "reader").mapInArrow(scan, "path string, page int, text string, tables array<string>, status string")

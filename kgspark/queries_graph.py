@@ -206,3 +206,14 @@ FROM s JOIN z ON z.zettel_id = s.id JOIN dep d ON d.id = s.id""")
 def graph_text(spark: SparkSession, d: str) -> DataFrame:
     """Each tenant's notes as an indented tree."""
     return graph.tree_lines(zettels(spark, d, "user_id", "luhmann_id", "content"), _tree(spark, d, path=True))
+
+
+@query("SELECT zettel_id, count(*) AS n FROM zettel_node GROUP BY 1 HAVING count(*) > 1")
+def uniqueness_check(spark: SparkSession, d: str) -> DataFrame:
+    """Ids that occur more than once: what a constraint would reject."""
+    return graph.repeated_keys(table(spark, d, "zettel_node", "zettel_id"), "zettel_id")
+
+
+@query(f"WITH {Z} SELECT user_id, luhmann_id, count(*) AS n FROM z GROUP BY 1, 2 HAVING count(*) > 1")
+def luhmann_uniqueness(spark: SparkSession, d: str) -> DataFrame:
+    return graph.repeated_keys(zettels(spark, d, "user_id", "luhmann_id"), "user_id", "luhmann_id")

@@ -409,3 +409,13 @@ def cost_join(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_CALLS} SELECT model, round(avg(duration_ms), 4) AS mean_duration, round(avg(amount), 4) AS mean_amount, round(avg(cost), 6) AS mean_cost, round(sum(cost), 4) AS total_cost FROM cl GROUP BY 1")
 def cost_by_model(spark: SparkSession, d: str) -> DataFrame:
     return cost.by_model(_calls(spark, d))
+
+
+@query("""SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std, round(min(value), 4) AS min, round(quantile_cont(value, 0.25), 4) AS p25,
+round(median(value), 4) AS p50, round(quantile_cont(value, 0.75), 4) AS p75, round(max(value), 4) AS max FROM events GROUP BY 1""")
+def describe_values(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("value")
+    q = lambda p: F.round(F.percentile(v, F.lit(p)), 4)
+    return table(spark, d, "events", "event_type", "value").groupBy("event_type").agg(
+        F.count("*").alias("n"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_samp(v), 4).alias("std"), F.round(F.min(v), 4).alias("min"), q(0.25).alias("p25"), q(0.5).alias("p50"), q(0.75).alias("p75"), F.round(F.max(v), 4).alias("max"),
+    )

@@ -141,3 +141,21 @@ replace(replace(message_type, '/', '_'), ':', '_') AS safe FROM history_messages
 def document_route(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "history_messages", "id", "user_id", "message_type")
     return m.select("id", text.route(F.col("message_type")).alias("reader"), text.tenant(F.col("user_id")).alias("tenant"), text.safe_file_name(F.col("message_type")).alias("safe"))
+
+
+@query(f"WITH {Z} SELECT zettel_id, CASE WHEN len(tags) > 0 AND len(list_filter(tags, lambda x: x IS NOT NULL)) >= 0 THEN array_to_string(tags, ',') END AS joined, CASE WHEN is_root_topic THEN 'True' ELSE 'False' END AS flag FROM z")
+def tag_codecs(spark: SparkSession, d: str) -> DataFrame:
+    """The flat metadata form of tags and flags."""
+    return zettels(spark, d, "tags", "is_root_topic").select("zettel_id", text.tags_to_text(F.col("tags")).alias("joined"), text.flag_to_text(F.col("is_root_topic")).alias("flag"))
+
+
+@query("SELECT qa_id, len(list_filter(list_transform(string_split(key_concepts, ','), lambda x: trim(x)), lambda x: x <> ''))::BIGINT AS n FROM qa_pair WHERE key_concepts IS NOT NULL AND NOT starts_with(trim(key_concepts), '[')")
+def coerced_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Tags out of loosely written lists."""
+    q = table(spark, d, "qa_pair", "qa_id", "key_concepts").where(F.col("key_concepts").isNotNull() & ~F.trim("key_concepts").startswith("["))
+    return q.select("qa_id", F.size(text.coerced_tags(F.col("key_concepts"))).cast("bigint").alias("n"))
+
+
+@query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
+def json_props(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events", "event_id", "props").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))

@@ -93,3 +93,18 @@ def legacy_similarity(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("c"))
     return e.join(first, "label").select("vec_id", vectors.legacy_similarity(1 - vectors.cosine(F.col("embedding"), F.col("c"))).alias("similarity"))
+
+
+@query(f"""WITH t AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round({_COS}, 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 6) DESC, b.vec_id) AS rank
+FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 QUALIFY rank <= 3) SELECT * FROM t WHERE score >= 0.15""")
+def legacy_search(spark: SparkSession, d: str) -> DataFrame:
+    """The best three first, the threshold after."""
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
+    return vector.first_then_threshold(q, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label"), 3, 0.15, ["label"])
+
+
+@query("""SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, round(embedding[1]::DOUBLE / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) + 1e-10), 6) AS first FROM embeddings""")
+def unit_vectors(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("embedding")
+    return table(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", F.round(vectors.norm(v), 6).alias("norm"), F.round(vectors.unit(v)[0], 6).alias("first"))

@@ -65,3 +65,9 @@ def test_scores(spark):
     x, lo, hi = F.col("x"), F.col("lo"), F.col("hi")
     assert [tuple(r) for r in df.select(scores.bounded(x, lo, hi), scores.inverted(x, lo, hi)).collect()] == [(0.5, 0.5), (1.0, 0.0), (1.0, 1.0)]
     assert math.isclose(df.select(scores.sigmoid(F.lit(0.0), 1.0)).head()[0], 0.5)
+
+
+def test_codecs(spark):
+    assert one(spark, text.coerced_tags, "['a', ' b ']", "a, ,b", "nan", None, "[broken") == [["a", "b"], ["a", "b"], [], [], []]
+    assert one(spark, text.text_to_tags, "a, b,,", None) == [["a", "b"], []]
+    assert one(spark, text.text_to_flag, "True", "false", None) == [True, False, False]

@@ -89,3 +89,21 @@ def test_embeddings_are_deterministic(spark):
     df = spark.createDataFrame([("a b",), (None,), ("a b",)], "t string")
     got = [r.v for r in providers.embedded(df, "t", "v", providers.hashed_embedder).collect()]
     assert got[0] == got[2] and got[1] is None and len(got[0]) == 64
+
+
+def test_judges_and_readers(spark):
+    r = spark.createDataFrame([("a", "good"), ("b", "bad"), ("c", "wild")], "id string, prompt string")
+
+    def make():
+        def judge(t):
+            if t == "bad":
+                raise TimeoutError
+            return {"x": 2.0 if t == "wild" else 0.5}
+
+        return judge
+
+    got = {r.id: (r.x, r.status) for r in providers.judged(r, "prompt", ["x"], make).collect()}
+    assert got == {"a": (0.5, "ok"), "b": (None, "error: TimeoutError"), "c": (None, "error: ValueError")}
+    f = spark.createDataFrame([("p.txt", b"hi", "txt"), ("p.pdf", b"x", "pdf"), ("p.doc", b"x", "unsupported")], "path string, content binary, reader string")
+    pages = {(r.path, r.page): (r.text, r.status) for r in providers.read_documents(f, {"pdf": lambda b: [("one", []), ("two", ["|t|"])]}).collect()}
+    assert pages == {("p.txt", 1): ("hi", "ok"), ("p.pdf", 1): ("one", "ok"), ("p.pdf", 2): ("two", "ok"), ("p.doc", 0): (None, "unsupported")}
