@@ -144,7 +144,7 @@ def _deeper(rows: DataFrame, sets: DataFrame, rate: float) -> DataFrame:
 def _limits(least: float) -> tuple[float, int]:
     """(least ratio of sizes, most differing sketch bits) of a pair that may reach ``least``."""
     p = (1 - least) / 2
-    return least, int(128 * p + 2.7 * (128 * p * (1 - p)) ** 0.5)
+    return least, int(128 * p + 2.6 * (128 * p * (1 - p)) ** 0.5)
 
 
 _SEEN = "node bigint, id bigint, n int, s0 bigint, s1 bigint, a bigint, b bigint"
@@ -271,16 +271,26 @@ def candidate_pairs(sets: DataFrame, least: float, trees: int, leaf: int, path_r
 
 
 def set_classes(records: DataFrame, key: str, text: str, latest: str, min_words: int) -> DataFrame:
-    """(key, id, id2, words): ``id`` and ``id2`` are two hashes of the word set, equal for equal sets."""
-    one = records.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(latest, text)).alias("s"))
-    w = one.select(F.col(key).alias("key"), word_hashes(F.coalesce(F.col(f"s.{text}"), F.lit(""))).alias("words"))
-    return w.where(F.size("words") >= min_words).select("key", F.xxhash64("words").alias("id"), F.xxhash64(F.reverse("words"), F.lit(5)).alias("id2"), "words")
+    """(key, at, id, id2, words) per row: ``id`` and ``id2`` are two hashes of the word set, equal for equal sets.
+
+    They are null where the text has fewer than ``min_words`` distinct words.
+    """
+    w = records.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(latest).alias("at"), word_hashes(F.coalesce(F.col(text), F.lit(""))).alias("w"))
+    w = w.select("key", "at", F.when(F.size("w") >= min_words, F.col("w")).alias("words"))
+    has = F.col("words").isNotNull()
+    return w.select("key", "at", F.when(has, F.xxhash64("words")).alias("id"), F.when(has, F.xxhash64(F.reverse("words"), F.lit(5))).alias("id2"), "words")
+
+
+def members(rows: DataFrame) -> DataFrame:
+    """(key, id, id2): the class of each key's latest row. Only hashes are shuffled, no texts or words."""
+    one = rows.groupBy("key").agg(F.max(F.struct("at", "id", "id2")).alias("s"))
+    return one.select("key", "s.id", "s.id2").where("id is not null")
 
 
-def similar_classes(members: DataFrame, least: float, trees: int = 6, leaf: int = 2000, path_rate: float | None = None) -> DataFrame:
+def similar_classes(rows: DataFrame, least: float, trees: int = 7, leaf: int = 2000, path_rate: float | None = None) -> DataFrame:
     """(a, a2, b, b2) class pairs whose word sets share at least ``least`` of their union."""
     share = Fraction(least).limit_denominator(1000)
-    sets = cut(members.groupBy("id", "id2").agg(F.first("words").alias("words")))
+    sets = cut(rows.where("id is not null").groupBy("id", "id2").agg(F.first("words").alias("words")))
     pairs = candidate_pairs(sets, least, trees, leaf, path_rate or least * 0.94)
     a = sets.select(F.col("id").alias("a"), F.col("id2").alias("a2"), F.col("words").alias("wa"))
     b = sets.select(F.col("id").alias("b"), F.col("id2").alias("b2"), F.col("words").alias("wb"))
@@ -289,9 +299,9 @@ def similar_classes(members: DataFrame, least: float, trees: int = 6, leaf: int
     return both.where(enough).select("a", "a2", "b", "b2")
 
 
-def similar_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
+def similar_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """(key_a, key_b): all pairs of keys of equal or similar classes, the smaller key first."""
-    m = members.select("key", "id", "id2")
+    m = cut(members(rows))
     same = m.alias("x").join(m.alias("y"), ["id", "id2"]).where("x.key < y.key").select(F.col("x.key").alias("p"), F.col("y.key").alias("q"))
     left = m.select(F.col("key").alias("p"), F.col("id").alias("a"), F.col("id2").alias("a2"))
     right = m.select(F.col("key").alias("q"), F.col("id").alias("b"), F.col("id2").alias("b2"))
@@ -321,19 +331,20 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("v"), F.col("v").alias("root")).unionByName(e.select("v", F.col("v").alias("root")).distinct())
 
 
-def _members(spark: SparkSession, d: str) -> DataFrame:
+def _rows(spark: SparkSession, d: str) -> DataFrame:
     return cut(set_classes(table(spark, d, "zettel_node", "zettel_id", "content", "updated_at"), "zettel_id", "content", "updated_at", 8))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    m = _members(spark, d)
-    return similar_pairs(m, similar_classes(m, 0.7)).select(F.col("key_a").alias("zettel_id_a"), F.col("key_b").alias("zettel_id_b"))
+    rows = _rows(spark, d)
+    return similar_pairs(rows, similar_classes(rows, 0.7)).select(F.col("key_a").alias("zettel_id_a"), F.col("key_b").alias("zettel_id_b"))
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     """One row per record with a partner: its class, the smallest class id of its group, and its number of linked classes."""
-    m = _members(spark, d)
-    c = cut(similar_classes(m, 0.7))
+    rows = _rows(spark, d)
+    m = cut(members(rows))
+    c = cut(similar_classes(rows, 0.7))
     rep = m.groupBy("id", "id2").agg(F.min("key").alias("class_id"), F.count("*").alias("n_copies"))
     r = rep.select("id", "id2", "class_id")
     named = c.join(r.toDF("a", "a2", "u"), ["a", "a2"]).join(r.toDF("b", "b2", "v"), ["b", "b2"]).select("u", "v")
