@@ -10,6 +10,7 @@ from kgspark.functions import vectors
 from kgspark.graphdata import E, M, R, Z, edges, mentions, related, zettels
 from kgspark.operators import graph, oplog
 from kgspark.plans import linking, retrieval
+from kgspark.session import cut
 from kgspark.tables import table
 
 QUERIES: dict = {}
@@ -121,7 +122,7 @@ gn AS (SELECT user_id, target_id, target_id AS zettel_id FROM tg UNION SELECT tg
 @query(f"WITH RECURSIVE {_VIEW}, {_TARGETS}, {_GONE} SELECT target_id, zettel_id FROM gn")
 def descendants(spark: SparkSession, d: str) -> DataFrame:
     """Every risk note with everything below it."""
-    v = oplog.current(_ops(spark, d))
+    v = cut(oplog.current(_ops(spark, d)))
     return oplog.cascade(v, v.where("thought_type = 'risk'")).select("target_id", "zettel_id")
 
 
@@ -132,7 +133,7 @@ dn AS (SELECT user_id, target_id, count(*) AS n FROM gn GROUP BY 1, 2)
 SELECT dn.target_id, cu.luhmann_id, dn.n AS deleted_count, coalesce(lo.removed, 0) AS removed_entities FROM dn JOIN cu ON cu.zettel_id = dn.target_id LEFT JOIN lo ON lo.user_id = dn.user_id AND lo.target_id = dn.target_id""")
 def delete_cascade(spark: SparkSession, d: str) -> DataFrame:
     """What deleting each risk note would remove: notes of its subtree and entities nothing else mentions."""
-    v = oplog.current(_ops(spark, d))
+    v = cut(oplog.current(_ops(spark, d)))
     gone = oplog.cascade(v, v.where("thought_type = 'risk'"))
     return oplog.deletion_report(v, gone).select("target_id", "luhmann_id", "deleted_count", "removed_entities")
 
@@ -141,7 +142,7 @@ def delete_cascade(spark: SparkSession, d: str) -> DataFrame:
 def delete_remaining(spark: SparkSession, d: str) -> DataFrame:
     """Notes per tenant after all those deletions were appended to the log."""
     ops = _ops(spark, d)
-    v = oplog.current(ops)
+    v = cut(oplog.current(ops))
     gone = oplog.cascade(v, v.where("thought_type = 'risk'"))
     return oplog.current(ops.unionByName(oplog.tombstones(gone, 3))).groupBy("user_id").agg(F.count("*").alias("remaining"))
 
