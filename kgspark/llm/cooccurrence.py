@@ -67,7 +67,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
     x = associations(_tags(spark, d))
-    return x.select(F.col("a").alias("tag_a"), F.col("b").alias("tag_b"), "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"), F.round("pmi", 6).alias("pmi"))
+    return x.select(F.col("a").alias("tag_a"), F.col("b").alias("tag_b"), "n_ab", "n_a", "n_b", F.round("lift", 8).alias("lift"), F.round("pmi", 8).alias("pmi"))
 
 
 _BASE = r"""WITH one AS (SELECT zettel_id, max_by(tags, updated_at) AS tags FROM zettel_node WHERE zettel_id IS NOT NULL GROUP BY zettel_id),
@@ -81,7 +81,7 @@ s AS (SELECT tag_a, tag_b, n_ab, a.c AS n_a, b.c AS n_b, n FROM p JOIN m a ON a.
 SQL = {
     "p4_found": _BASE + "SELECT tag_a, tag_b FROM s WHERE n_ab >= 5 AND n_ab >= 0.002 * n AND n_ab * n >= 3 * n_a * n_b",
     "p4_pairs": _BASE
-    + """SELECT tag_a, tag_b, n_ab, n_a, n_b, round(n_ab::DOUBLE * n / (n_a::DOUBLE * n_b), 6) AS lift,
-  round(log2(n_ab::DOUBLE * n / (n_a::DOUBLE * n_b)), 6) AS pmi FROM s""",
+    + """SELECT tag_a, tag_b, n_ab, n_a, n_b, round(n_ab::DOUBLE * n / (n_a::DOUBLE * n_b), 8) AS lift,
+  round(log2(n_ab::DOUBLE * n / (n_a::DOUBLE * n_b)), 8) AS pmi FROM s""",
 }
 QUERIES = {"p4_found": p4_found, "p4_pairs": p4_pairs}

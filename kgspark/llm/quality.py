@@ -115,11 +115,27 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return _rated(spark, d).where("kind <> 'prose'").select("doc_id", "kind").distinct()
 
 
+MEASURES = ("mean_word_len", "symbol_ratio", "end_punct_share", "common_share")
+
+
 def p10_stats(spark: SparkSession, d: str) -> DataFrame:
-    s = [F.col("stats.n_words").cast("bigint").alias("n_words")]
-    s += [F.round(f"stats.{c}", 6).alias(c) for c in ("mean_word_len", "symbol_ratio", "end_punct_share", "common_share")]
+    """The statistics of every document and its kind."""
+    s = [F.col("stats.n_words").cast("bigint").alias("n_words"), *[F.round(f"stats.{c}", 6).alias(c) for c in MEASURES]]
     return _rated(spark, d).select("doc_id", *s, "kind")
 
 
-QUERIES = {"p10_found": p10_found, "p10_stats": p10_stats}
-SQL: dict[str, str] = {}
+def p10_measures(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics alone, which SQL can express too."""
+    return p10_stats(spark, d).drop("kind")
+
+
+_LIST = ", ".join(f"'{w}'" for w in sorted(set(COMMON)))
+_SQL = rf"""WITH a AS (SELECT doc_id, coalesce(text, '') AS t, trim(regexp_replace(replace(lower(coalesce(text, '')), 'ё', 'е'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS p FROM documents),
+b AS (SELECT *, CASE WHEN p = '' THEN [] ELSE string_split(p, ' ') END AS w, length(translate(t, ' ' || chr(10) || chr(13) || chr(9) || chr(160) || chr(8203), '')) AS solid,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\s\x{{200b}}]')) AS l FROM a),
+c AS (SELECT *, len(w)::BIGINT AS n_words, length(p) - greatest(len(w) - 1, 0) AS chars FROM b)
+SELECT doc_id, n_words, round(coalesce(chars / nullif(n_words, 0), 0.0), 6) AS mean_word_len, round(coalesce(greatest(solid - chars, 0) / nullif(solid, 0), 0.0), 6) AS symbol_ratio,
+round(coalesce(len(list_filter(l, lambda x: regexp_matches(x, '[.!?…][''"»”)\]]*\s*$'))) / nullif(len(l), 0), 0.0), 6) AS end_punct_share,
+round(coalesce(len(list_filter(w, lambda x: x IN ({_LIST}))) / nullif(n_words, 0), 0.0), 6) AS common_share FROM c"""
+QUERIES = {"p10_found": p10_found, "p10_stats": p10_stats, "p10_measures": p10_measures}
+SQL: dict[str, str] = {"p10_measures": _SQL}
