@@ -75,6 +75,8 @@ def permute_number(text: str, key: bytes, kind: str) -> str:
     """``text`` with its digits permuted together and everything else in place; a leading country code stays."""
     m = re.match(r"\+(?:7|1|4\d|3\d)(?=\D|\d{10})", text) if kind == "phone" else None
     keep = m.end() if m else 0
+    if kind == "phone" and not m and re.match(r"8\D?", text) and sum(c.isdigit() for c in text) == 11:
+        keep = 1  # the domestic prefix stands for +7
     rest = text[keep:]
     new = iter(permute_digits("".join(c for c in rest if c.isdigit()), key, kind.encode()))
     return text[:keep] + "".join(next(new) if c.isdigit() else c for c in rest)
@@ -305,7 +307,8 @@ def _merged(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
             out.append((a, b))
-    return [(a, a + len(text[a:b].rstrip())) for a, b in out]
+    out = [(a, a + len(text[a:b].rstrip())) for a, b in out]
+    return [(a, b - 1 if re.search(r"[^\W\d_]{4}\.$", text[a:b]) else b) for a, b in out]  # a sentence's full stop
 
 
 def _late_surname(word: str) -> bool:

@@ -67,6 +67,9 @@ def test_equal_numbers_stay_linked_and_text_is_kept():
     digits = lambda s: "".join(c for c in s if c.isdigit())
     assert digits(a) == digits(b) != "70363571675"
     assert a.startswith("моб [phone:+7 ") and a.endswith("] вечером")
+    c = pii.redact("8 036 357 16 75", KEY)
+    assert digits(c)[1:] == digits(a)[1:] and c.startswith("[phone:8 ")
+    assert pii.redact("отвечает Бревезук Ольга Игоревна.", KEY).endswith("].")
     assert pii.redact("план на 57%", KEY) == "план на 57%"
 
 
