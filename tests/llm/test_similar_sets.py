@@ -1,3 +1,5 @@
+import inspect
+import math
 import random
 
 import numpy as np
@@ -75,3 +77,27 @@ def test_sketches_estimate_similarity():
     s0, s1 = s.sketches(np.concatenate([a, b]), np.array([0, 400, 800]))
     differ = int(np.bitwise_count(s0[0] ^ s0[1])) + int(np.bitwise_count(s1[0] ^ s1[1]))
     assert abs(1 - 2 * differ / 128 - 340 / 460) < 0.25
+
+
+def test_sketch_bound_keeps_pairs_at_the_threshold():
+    most = s._limits(0.7)[1]
+    bits = 64 * sum(c.startswith("s") for c in s._NODE.split(", "))
+    lost = sum(math.comb(bits, k) * 0.15**k * 0.85 ** (bits - k) for k in range(most + 1, bits + 1))
+    assert lost < 0.0005
+
+
+def test_trees_keep_pairs_at_the_threshold_six_words_deep():
+    """Sets of 20 words and 14 of them: similarity 0.7 in the shape that has the fewest common paths."""
+    trees = inspect.signature(s.similar_classes).parameters["trees"].default
+    n, rng = 2000, np.random.default_rng(1)
+    words = rng.integers(1, 2**63, (n, 20), dtype=np.uint64)
+    values, off = np.concatenate([words.ravel(), words[:, :14].ravel()]), np.append(np.arange(n) * 20, n * 20 + np.arange(n + 1) * 14)
+    met = np.zeros(n, bool)
+    for seed in s._seeds(trees):
+        path, own = np.full(2 * n, seed, np.uint64), np.arange(2 * n)
+        for _ in range(6):
+            path, own = s._branch(path, own, values, off, 0.7 * 0.94)
+        left, right = own < n, own >= n
+        both = set(zip(path[left].tolist(), own[left].tolist(), strict=True)) & set(zip(path[right].tolist(), (own[right] - n).tolist(), strict=True))
+        met[[k for _, k in both]] = True
+    assert met.mean() > 0.985
