@@ -2,10 +2,10 @@
 
 ``defects`` returns every rule that fires for a pair; ``defect`` keeps the first in ``ORDER`` as the pair's
 one defect type. All rules are local to the pair but one: whether a text without a final stop breaks
-off is judged by how often its last words end a sentence elsewhere. These counts come from a bounded
-sample of answers (``SAMPLE_ROWS``, by hash of the key) and are pruned to n-grams seen twice, so the model
-sent to the workers has a size bound; the tables themselves are read once, in Arrow batches, without a
-shuffle.
+off is judged by how often its last words end a sentence elsewhere. These counts are taken over all
+answers, each text of a batch once with its number of rows, summed with Spark and joined with the last
+words of the answers that need them; the tables are read twice, in Arrow batches, and only n-grams and
+last words are shuffled. Nothing is collected or sent to the workers.
 
 Defined results: a null or blank question makes no claim about language or copying; a null or blank
 answer is ``empty``; repeated rows give repeated results; very long texts are read whole.
@@ -21,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgspark.session import cut
 from kgspark.tables import table
 
-#: Most answers the model of sentence ends is fitted on.
-SAMPLE_ROWS = 20_000
+#: N-grams that a task holds before it hands on their counts.
+HELD = 200_000
 ORDER = ("empty", "refusal", "copies_question", "wrong_language", "truncated")
 
 _WORD = re.compile(r"[^\W_]+")
@@ -158,40 +159,47 @@ def _shape(w: str) -> str:
     return w.lower()
 
 
+def count_ends(texts: dict[str, int], grams: dict[str, list[int]]) -> None:
+    """Adds to ``grams`` how often 1 to 3 words were seen and twice how often they end a sentence, for texts with their number of rows."""
+    for t, times in texts.items():
+        for line in t.split("\n"):
+            toks = _TOKEN.findall(line)
+            words: list[str] = []
+            for i, w in enumerate(toks):
+                if not (w[0].isalnum()):
+                    if w in ".!?":
+                        words = []
+                    continue
+                words.append(_shape(w))
+                if i + 1 == len(toks):
+                    continue
+                nxt = toks[i + 1]
+                stops = nxt in (".", "!", "?")
+                opens = nxt[0].isupper() and nxt[1:].islower()
+                for n in (1, 2, 3):
+                    if len(words) >= n:
+                        c = grams.setdefault(" ".join(words[-n:]), [0, 0])
+                        c[0] += times
+                        c[1] += times * (2 if stops else int(opens))
+
+
+#: Fixed values by number of words: least times seen, and least share of ends among them, to judge by.
+_LEAST_SEEN, _LEAST_SHARE = (3, 12, 2), (0.04, 0.07, 0.3)
+
+
 class Ends:
     """How often 1 to 3 words end a sentence."""
 
     def __init__(self, texts: list[str]):
-        end: Counter = Counter()
-        seen: Counter = Counter()
-        for t in texts:
-            for line in t.split("\n"):
-                toks = _TOKEN.findall(line)
-                words: list[str] = []
-                for i, w in enumerate(toks):
-                    if not (w[0].isalnum()):
-                        if w in ".!?":
-                            words = []
-                        continue
-                    words.append(_shape(w))
-                    nxt = toks[i + 1] if i + 1 < len(toks) else None
-                    stops = nxt in (".", "!", "?") or nxt is None and line.rstrip().endswith(w) and False
-                    opens = nxt is not None and nxt[0].isupper() and nxt[1:].islower()
-                    for n in (1, 2, 3):
-                        if len(words) >= n:
-                            g = " ".join(words[-n:])
-                            if nxt is not None:
-                                seen[g] += 1
-                                end[g] += bool(stops)
-                                if opens and not stops:
-                                    end[g] += 0.5
-        self.share = {g: (min(1.0, end[g] / n), n) for g, n in seen.items() if n >= 2}
+        grams: dict[str, list[int]] = {}
+        count_ends(Counter(texts), grams)
+        self.share = {g: (min(1.0, end / 2 / n), n) for g, (n, end) in grams.items() if n >= 2}
 
     def ends(self, words: list[str]) -> bool | None:
         """Whether a sentence can end in these words; None if they were never seen."""
         for n in (3, 2, 1):
-            if len(words) >= n and (hit := self.share.get(" ".join(words[-n:]))) and hit[1] >= (3, 12, 2)[n - 1]:
-                return hit[0] >= (0.04, 0.07, 0.3)[n - 1]
+            if len(words) >= n and (hit := self.share.get(" ".join(words[-n:]))) and hit[1] >= _LEAST_SEEN[n - 1]:
+                return hit[0] >= _LEAST_SHARE[n - 1]
         return None
 
 
@@ -204,7 +212,8 @@ _HANGING = frozenset(
 _PAIRS = (("(", ")"), ("[", "]"), ("«", "»"), ("{", "}"), ("“", "”"))
 
 
-def is_truncated(answer: str, ends: Ends) -> bool:
+def breaks_off(answer: str) -> bool | tuple[list[str], bool, bool]:
+    """Whether the text breaks off; where its last words decide: these, the verdict if they were never seen, and if no sentence ends in them."""
     t = _BLANK.sub(" ", answer.replace("\n", "\ue000")).replace("\ue000", "\n").strip()
     if not t:
         return False
@@ -234,16 +243,27 @@ def is_truncated(answer: str, ends: Ends) -> bool:
     if len(whole) <= 4:  # a short factual answer
         return False
     if re.match(r"\s*(?:\d{1,3}[.)]|[-*•–])\s", last) and len(toks) <= 9:
-        verdict = ends.ends([_shape(w) for w in toks[-1:]])
-        return verdict is None and toks[-1].islower() and len(toks[-1]) <= 3
-    verdict = ends.ends([_shape(w) for w in toks])
-    if verdict is None:
-        return not toks[-1][0].isdigit()
-    return not verdict
+        return [_shape(toks[-1])], toks[-1].islower() and len(toks[-1]) <= 3, False
+    return [_shape(w) for w in toks[-3:]], not toks[-1][0].isdigit(), True
+
+
+def is_truncated(answer: str, ends: Ends) -> bool:
+    found = breaks_off(answer)
+    if isinstance(found, bool):
+        return found
+    words, unseen, no_end = found
+    verdict = ends.ends(words)
+    return unseen if verdict is None else no_end and not verdict
 
 
 def defects(question: str | None, answer: str | None, ends: Ends) -> list[str]:
     """Every defect type of the pair, in ``ORDER``."""
+    out = _local_defects(question, answer)
+    return [*out, "truncated"] if out != ["empty"] and is_truncated(answer, ends) else out
+
+
+def _local_defects(question: str | None, answer: str | None) -> list[str]:
+    """The defect types but ``truncated``."""
     if is_empty(answer):
         return ["empty"]
     out = []
@@ -254,32 +274,59 @@ def defects(question: str | None, answer: str | None, ends: Ends) -> list[str]:
             out.append("copies_question")
         if wrong_language(question, answer):
             out.append("wrong_language")
-    if is_truncated(answer, ends):
-        out.append("truncated")
     return out
 
 
-def fit_ends(pairs: DataFrame, rows: int = SAMPLE_ROWS) -> Ends:
-    """The model of sentence ends from at most ``rows`` answers, chosen by hash of their text."""
-    said = pairs.where("answer is not null").select("answer")
-    n = said.count()
-    part = int(min(1.0, rows / max(1, n)) * 1_000_000) or 1
-    pick = F.pmod(F.xxhash64("answer", F.lit(4)), F.lit(1_000_000)) < part
-    return Ends([r.answer for r in said.where(pick).limit(2 * rows).collect()])
+def fit_ends(pairs: DataFrame) -> DataFrame:
+    """The model of sentence ends from all answers: (gram, seen, share) of the n-grams seen twice."""
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams: dict[str, list[int]] = {}
+
+        def counts() -> pa.RecordBatch:
+            seen, end = ([c[i] for c in grams.values()] for i in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(grams.keys(), pa.string()), pa.array(seen, pa.int64()), pa.array(end, pa.int64())], ["gram", "seen", "end2"])
+
+        for b in batches:
+            count_ends(Counter(b.column(0).to_pylist()), grams)
+            if len(grams) >= HELD:
+                yield counts()
+                grams.clear()
+        yield counts()
 
-def pair_defects(pairs: DataFrame, ends: Ends) -> DataFrame:
+    each = pairs.where("answer is not null").select("answer").mapInArrow(scan, "gram string, seen bigint, end2 bigint")
+    total = each.groupBy("gram").agg(F.sum("seen").alias("seen"), F.sum("end2").alias("end2")).where("seen >= 2")
+    return total.select("gram", "seen", F.least(F.lit(1.0), F.col("end2") / 2 / F.col("seen")).alias("share"))
+
+
+def pair_defects(pairs: DataFrame, ends: DataFrame) -> DataFrame:
     """(src, row_key, defects) of ``pairs`` (src, row_key, question, answer)."""
-    sent = pairs.sparkSession.sparkContext.broadcast(ends.share)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Ends([])
-        model.share = sent.value
         for b in batches:
-            made = [defects(q, a, model) for q, a in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.list_(pa.string()))], ["src", "row_key", "defects"])
-
-    return pairs.select("src", "row_key", "question", "answer").mapInArrow(scan, "src string, row_key string, defects array<string>")
+            made, tail, unseen, no_end = [], [], [], []
+            for q, a in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                out = _local_defects(q, a)
+                found = out != ["empty"] and breaks_off(a)
+                open_ = not isinstance(found, bool)
+                made.append([*out, "truncated"] if found is True else out)
+                tail.append(" ".join(found[0]) if open_ else None)
+                unseen.append(found[1] if open_ else None)
+                no_end.append(found[2] if open_ else None)
+            cols = [pa.array(made, pa.list_(pa.string())), pa.array(tail, pa.string()), pa.array(unseen, pa.bool_()), pa.array(no_end, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["src", "row_key", "defects", "tail", "unseen", "no_end"])
+
+    p = cut(pairs.select("src", "row_key", "question", "answer").mapInArrow(scan, "src string, row_key string, defects array<string>, tail string, unseen boolean, no_end boolean"))
+    last = p.where("tail is not null").select("tail").distinct().withColumn("w", F.split("tail", " "))
+    last = last.select("tail", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("n"))
+    grams = last.select("tail", "n", F.concat_ws(" ", F.slice("w", -F.col("n"), F.col("n"))).alias("gram"))
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("n"))
+    hits = grams.join(ends, "gram").where(F.col("seen") >= of(_LEAST_SEEN))
+    judged = hits.groupBy("tail").agg(F.max(F.struct("n", (F.col("share") >= of(_LEAST_SHARE)).alias("ends"))).alias("m")).select("tail", "m.ends")
+    told = p.where("tail is not null").join(judged, "tail", "left")
+    off = F.when(F.col("ends").isNull(), F.col("unseen")).otherwise(F.col("no_end") & ~F.col("ends"))
+    told = told.select("src", "row_key", F.when(off, F.concat("defects", F.array(F.lit("truncated")))).otherwise(F.col("defects")).alias("defects"))
+    return p.where("tail is null").select("src", "row_key", "defects").unionByName(told)
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -48,3 +48,24 @@ def test_table_edges(spark):
     assert got == [("1", ["empty"]), ("2", []), ("2", [])]
     none = df.limit(0)
     assert pairs.pair_defects(none, pairs.fit_ends(none)).count() == 0
+
+
+def test_verdicts_do_not_depend_on_the_number_of_answers(spark):
+    """Each of 100 answers without a stop is told by three others, whatever else the table holds."""
+    word = lambda i: "".join(chr(97 + int(c)) for c in f"{i:05d}")
+    said = [f"the team saw x{word(i)} y{word(i)} z{word(i)}." for i in range(100) for _ in range(3)]
+    asked = [f"after the talk the team saw x{word(i)} y{word(i)} z{word(i)}" for i in range(100)]
+    cols = "src string, row_key string, question string, answer string"
+    own = spark.createDataFrame([("m", str(k), None, a) for k, a in enumerate(said + asked)], cols)
+    more = spark.range(60_000).selectExpr("'f' AS src", "cast(id AS string) AS row_key", "cast(null AS string) AS question", "concat('note ', id, ' is done and filed.') AS answer")
+    for df in (own, own.unionByName(more)):
+        assert pairs.pair_defects(df, pairs.fit_ends(df)).where("size(defects) > 0").count() == 0
+
+
+def test_joined_verdicts_equal_local_ones(spark):
+    texts = [*FULL, *(t[:n] for t in FULL for n in (20, 33, 46, len(t) - 1)), "1. план отгрузок на год вперед\n2. план до", "1. план отгрузок на год вперед\n2. план отгрузок ую"]
+    df = spark.createDataFrame([("m", str(k), None, a) for k, a in enumerate(texts)], "src string, row_key string, question string, answer string")
+    ends = pairs.Ends(texts)
+    got = {r.row_key: r.defects for r in pairs.pair_defects(df, pairs.fit_ends(df)).collect()}
+    want = {str(k): pairs.defects(None, a, ends) for k, a in enumerate(texts)}
+    assert got == want and {"truncated"} < {x for v in want.values() for x in v or [""]}
