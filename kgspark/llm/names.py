@@ -5,15 +5,17 @@ organisation (leading word and further words); ordinary subject words are neithe
 transliterated to Latin letters, short forms are brought to one given name, case endings and legal
 forms are dropped. The suffixes of the leading word from ``MIN_SUFFIX`` letters on are its blocking keys
 within the tenant, together with its forms with one letter left out, so that an edit near the end
-still leaves a common key. A suffix that more than ``COMMON`` names of a tenant share is first refined
-with the given name or the next word; only if the refined block is still larger is it discarded, which the
-remaining keys make up for. Pairs in a block are compared by LCS ratio and by their other parts. A
+still leaves a common key. A key that more than ``COMMON`` names of a tenant share is refined part by
+part: kind, initial, given name, second name and gender of a person, letters of the other words of an
+organisation, first letters of the key's word. Parts are chosen so that names they separate can't be
+linked; a name without the part meets all values of it, and nothing is discarded: what stays common
+after the last part is compared whole. Pairs in a block are compared by LCS ratio and by their other parts. A
 name that leaves out what tells two others apart (a bare family name, a bare initial) is linked only
 if all its matches agree with each other.
 
 Scale: keys are a few dozen short rows per name, counted with partial aggregation; pairs are built by
-an equi-join on (tenant, key) whose blocks are bounded but for equal leading words, where the pairs are
-results; a hot tenant is spread over its keys.
+an equi-join on (tenant, key) whose blocks are bounded but for names that agree in every part, which
+are mostly results and are spread by salt; a hot tenant is spread over its keys.
 
 Defined results: null or blank names and null tenants give no rows; repeated rows of (tenant, name)
 count once (the first display name by code points); an empty table gives no pairs.
@@ -32,6 +34,8 @@ from kgspark.session import cut
 from kgspark.tables import table
 
 MIN_SUFFIX, COMMON, LEAST_RATIO = 5, 60, 0.8
+#: Parts of a refinement, and the salts of a block that stays common after the last.
+PARTS, SALTS = 6, 16
 
 #: Latin spellings of Cyrillic letters.
 LATIN = dict(zip("абвгдезийклмнопрстуфыэ", "abvgdeziyklmnoprstufye", strict=True)) | {
@@ -195,7 +199,7 @@ def parse(display: str) -> dict | None:
 
 
 def block_keys(p: dict) -> list[tuple[str, str]]:
-    """(key, refinement) pairs of a parsed name."""
+    """(key, refinement) pairs of a parsed name; a refinement is ``PARTS`` parts, split by bars, of values split by commas."""
     keys: list[tuple[str, str]] = []
     if p["kind"] == "acronym":
         return [("a:" + "".join(sorted(x[0] for x in p["more"])), "acronym")]
@@ -205,10 +209,10 @@ def block_keys(p: dict) -> list[tuple[str, str]]:
         leads.append("".join(sorted(w.rstrip(".") for w in [p["lead"], *p["more"]])))
         if len(p["more"]) >= 1:
             keys.append(("a:" + "".join(sorted(w[0] for w in [p["lead"], *p["more"]] if w)), ""))
-    near = (p["given"] or p["short"])[:1] if p["kind"] == "person" else (p["more"][0][:1] if p["more"] else "")
     for lead in dict.fromkeys(leads):
         if len(lead) < 4:
             continue
+        near = _parts(p, lead)
         keys.append(("=" + lead, near))
         keys += [("s:" + lead[-n:], near) for n in range(MIN_SUFFIX, len(lead))]
         keys += [("d:" + lead[:i] + lead[i + 1 :], near) for i in range(len(lead))]
@@ -216,6 +220,19 @@ def block_keys(p: dict) -> list[tuple[str, str]]:
     return list(dict.fromkeys(keys))
 
 
+def _parts(p: dict, word: str) -> str:
+    """The refinement of the keys of ``word``: names that differ in a part both have are not linked by ``same`` through this word."""
+    plain = lambda xs: ",".join(sorted({x if x.isalnum() else "_" for x in xs}))
+    # A first letter may be wrong, left out or swapped with the second: either of the two is shared then.
+    head = plain(word[:2])
+    if p["kind"] == "person":
+        given = p["given"] or p["short"]
+        return "|".join(["p", plain(_initial(given)) if given else "", p["given"], plain(p["second"][:1]), p["sex"], head])
+    words = [p["lead"], *p["more"]]
+    rest = [w for i, w in enumerate(words) if w and i != words.index(word)] if word in words else []
+    return "|".join(["o", plain(c for w in rest for c in w.rstrip(".")[:2]), "", "", "", head])
+
+
 def same(a: dict, b: dict) -> str | None:
     """``full`` or ``weak`` (something that tells people or companies apart is left out), else None."""
     if a["kind"] == "acronym" or b["kind"] == "acronym":
@@ -323,26 +340,50 @@ def _compare(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("p.row").alias("a"), F.col("q.row").alias("b"), side("p").alias("x"), side("q").alias("y")).mapInArrow(scan, "a bigint, b bigint, verdict string")
 
 
+def _refined(many: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(user_id, row, key, side) of the refined blocks of ``many`` up to ``COMMON`` rows, and of those that stay larger.
+
+    A row without a part is put to every value that its block has, with side ``m``, and to a block of its likes.
+    """
+    cols = ["user_id", "row", "key", "side"]
+    rest, done = cut(many), many.select(cols).limit(0)
+    for part in range(PARTS):
+        if rest.isEmpty():
+            break
+        values = F.col("r")[part]
+        lacks = rest.where(values == "")
+        has = rest.where(values != "").withColumn("v", F.explode(F.split(values, ",")))
+        known = has.select("user_id", "key", "v").distinct()
+        alone = lacks.withColumn("v", F.lit(""))
+        guest = lacks.join(known, ["user_id", "key"]).withColumn("side", F.lit("m"))
+        split = has.unionByName(alone).unionByName(guest).withColumn("key", F.concat_ws("|", "key", "v")).drop("v")
+        split = cut(split)
+        size = split.groupBy("user_id", "key").agg(F.count("*").alias("n"))
+        split = split.join(size.where("n > 1"), ["user_id", "key"])
+        done = done.unionByName(split.where(F.col("n") <= COMMON).select(cols))
+        rest = cut(split.where(F.col("n") > COMMON).select(*cols, "r"))
+    return done, rest.select(cols)
+
+
 def linked_names(rows: DataFrame) -> DataFrame:
     """(user_id, name_a, name_b) of names that denote the same person or organisation."""
     p = cut(parsed_names(rows).withColumn("row", F.monotonically_increasing_id()))
     keys = cut(p.select("user_id", "row", F.explode("keys").alias("x")).select("user_id", "row", "x.k", "x.r"))
     size = keys.groupBy("user_id", "k").agg(F.count("*").alias("n"))
     k = keys.join(size.where("n > 1"), ["user_id", "k"])
-    acronym, whole = F.col("k").startswith("a:"), F.col("k").startswith("=")
+    acronym = F.col("k").startswith("a:")
     easy = k.where(acronym | (F.col("n") <= COMMON)).select("user_id", "row", F.col("k").alias("key"), F.when(acronym, F.col("r")).alias("side"))
-    # A common suffix is refined with the given name or next word; what stays common is discarded. A
-    # common leading word is refined too but never discarded, and names without a given name meet all.
-    many = k.where(~acronym & (F.col("n") > COMMON))
-    fine = many.where(~whole & (F.col("r") != "")).select("user_id", "row", F.concat_ws("|", "k", "r").alias("key"))
-    rare = fine.groupBy("user_id", "key").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= COMMON)).drop("n")
-    any_ = F.array(*[F.lit(c) for c in ("", *"abcdefghijklmnopqrstuvwxyz")])
-    first = F.explode(F.when(F.col("r").rlike("^[a-z]$"), F.array("r")).otherwise(any_))
-    led = many.where(whole).select("user_id", "row", "k", first.alias("f")).select("user_id", "row", F.concat_ws("|", "k", "f").alias("key"))
-    none = F.lit(None).cast("string").alias("side")
-    blocks = cut(easy.unionByName(fine.join(rare, ["user_id", "key"]).unionByName(led).select("user_id", "row", "key", none)))
-    met = blocks.alias("x").join(blocks.alias("y"), ["user_id", "key"]).where("x.row < y.row and (x.side is null or x.side <> y.side)")
-    pair = met.select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct()
+    many = k.where(~acronym & (F.col("n") > COMMON)).select("user_id", "row", F.col("k").alias("key"), F.lit(None).cast("string").alias("side"), F.split("r", "[|]").alias("r"))
+    small, large = _refined(many)
+    blocks = cut(easy.unionByName(small))
+    # Rows that lack a part met each other in a block of their own, and acronyms meet full names only.
+    meet = "x.row < y.row and not (x.side is not null and x.side <=> y.side)"
+    met = blocks.alias("x").join(blocks.alias("y"), ["user_id", "key"]).where(meet)
+    salt = large.withColumn("salt", F.pmod("row", F.lit(SALTS)))
+    every = large.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    wide = salt.alias("x").join(every.alias("y"), ["user_id", "key", "salt"]).where(meet)
+    both = [m.select(F.col("x.row").alias("a"), F.col("y.row").alias("b")) for m in (met, wide)]
+    pair = cut(both[0].unionByName(both[1])).distinct()
     full = p.drop("keys")
     joined = pair.join(full.alias("p"), F.col("a") == F.col("p.row")).join(full.alias("q"), F.col("b") == F.col("q.row"))
     links = cut(_compare(joined).where("verdict is not null"))

@@ -66,3 +66,16 @@ def test_empty(spark):
 
 def test_lcs_ratio():
     assert n.lcs_ratio("abcd", "abcd") == 1.0 and n.lcs_ratio("abcd", "abd") == 6 / 7 and n.lcs_ratio("", "a") == 0.0
+
+
+def test_misspelt_variants_of_a_frequent_name_are_kept(spark):
+    """More than COMMON names share every key of the misspelt one, with the same initial."""
+    many = [("u", f"n{i:03d}", "Иван Бошажамовский") for i in range(n.COMMON + 10)]
+    got = linked(spark, [*many, ("u", "zz", "Иван Бошажмовский")])
+    assert {("u", m[1], "zz") for m in many} <= got
+
+
+def test_bare_names_meet_all_refinements(spark):
+    many = [("u", f"n{i:03d}", "Иван Бошажамовский") for i in range(n.COMMON + 10)]
+    got = linked(spark, [*many, ("u", "zz", "Бошажмовский")])
+    assert {("u", m[1], "zz") for m in many} <= got
