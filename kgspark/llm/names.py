@@ -169,6 +169,7 @@ def parse(display: str) -> dict | None:
     if not words:
         return None
     initials, fulls, abbrev = [], [], []
+    two = [w for i, w in enumerate(words) if len(raw[i]) == 2 and i not in dotted and (not raw[i].isupper() or text.isupper())]
     for i, w in enumerate(words):
         n = len(raw[i])
         if n <= 2 and (i in dotted or n == 1 or len(words) > 1 and n == 2):
@@ -183,6 +184,8 @@ def parse(display: str) -> dict | None:
         given = next((g for w in rest if (g := given_name(w)) and not (len(rest) == 1 and _SUR_END.search(w))), None)
         given_word = next((w for w in rest if given and given_name(w) == given), None)
         family = [w for w in rest if w is not given_word]
+        if given and not family and not abbrev and len(two) == 1:  # a family name of two letters, not two initials
+            family, initials = two, [latin(q) for q in raw if len(q) == 1]
         if len(family) == 1 and len(abbrev) <= 1 and (given or (_SUR_END.search(family[0]) and len(family[0]) >= 5)):
             stem, sex = family_stem(family[0])
             short = abbrev[0] if abbrev else (initials[0] if initials and not given else "")
@@ -210,12 +213,12 @@ def block_keys(p: dict) -> list[tuple[str, str]]:
         if len(p["more"]) >= 1:
             keys.append(("a:" + "".join(sorted(w[0] for w in [p["lead"], *p["more"]] if w)), ""))
     for lead in dict.fromkeys(leads):
-        if len(lead) < 4:
+        if not lead:
             continue
         near = _parts(p, lead)
         keys.append(("=" + lead, near))
         keys += [("s:" + lead[-n:], near) for n in range(MIN_SUFFIX, len(lead))]
-        keys += [("d:" + lead[:i] + lead[i + 1 :], near) for i in range(len(lead))]
+        keys += [("d:" + lead[:i] + lead[i + 1 :], near) for i in range(len(lead)) if len(lead) > 1]
         keys.append(("d:" + lead, near))
     return list(dict.fromkeys(keys))
 

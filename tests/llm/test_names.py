@@ -79,3 +79,12 @@ def test_bare_names_meet_all_refinements(spark):
     many = [("u", f"n{i:03d}", "Иван Бошажамовский") for i in range(n.COMMON + 10)]
     got = linked(spark, [*many, ("u", "zz", "Бошажмовский")])
     assert {("u", m[1], "zz") for m in many} <= got
+
+
+def test_short_family_names_are_compared(spark):
+    rows = [("u", "a", "Ольга Ким"), ("u", "b", "Ким Оля"), ("u", "c", "Ольга Ли"), ("u", "d", "ли_оля"), ("u", "e", "Ирина Ким")]
+    assert linked(spark, rows) == {("u", "a", "b"), ("u", "c", "d")}
+
+
+def test_two_capitals_stay_initials():
+    assert n.parse("Бруретидская ТЮ")["second"] == "yu" and n.parse("Елена ТЮ")["kind"] != "person"
