@@ -35,7 +35,7 @@ def validated(thoughts: DataFrame) -> DataFrame:
     ).drop("there", "clean")
 
 
-def build_cards(thoughts: DataFrame, levels: int = 32) -> DataFrame:
+def build_cards(thoughts: DataFrame) -> DataFrame:
     """(note_id, pos, temp_id, parent_temp, luhmann_id, content, thought_type, tags, is_root_topic).
 
     A quote resolves to the last earlier thought with exactly that content (never to itself); a thought
@@ -50,7 +50,7 @@ def build_cards(thoughts: DataFrame, levels: int = 32) -> DataFrame:
     c = cut(c.withColumn("k", F.row_number().over(w)))
     front = c.where("parent_temp is null").select("temp_id", luhmann.child_id(F.lit(None).cast("string"), F.col("k")).alias("luhmann_id"))
     ids = front
-    for _ in range(levels):
+    while True:
         front = cut(c.join(front.select(F.col("temp_id").alias("parent_temp"), F.col("luhmann_id").alias("above")), "parent_temp").select("temp_id", luhmann.child_id(F.col("above"), F.col("k")).alias("luhmann_id")))
         if front.isEmpty():
             break

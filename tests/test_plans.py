@@ -107,3 +107,11 @@ def test_judges_and_readers(spark):
     f = spark.createDataFrame([("p.txt", b"hi", "txt"), ("p.pdf", b"x", "pdf"), ("p.doc", b"x", "unsupported")], "path string, content binary, reader string")
     pages = {(r.path, r.page): (r.text, r.status) for r in providers.read_documents(f, {"pdf": lambda b: [("one", []), ("two", ["|t|"])]}).collect()}
     assert pages == {("p.txt", 1): ("hi", "ok"), ("p.pdf", 1): ("one", "ok"), ("p.pdf", 2): ("two", "ok"), ("p.doc", 0): (None, "unsupported")}
+
+
+def test_build_cards_keeps_long_chains(spark):
+    """Every thought quotes the one before: more levels than 32."""
+    rows = [("n", i, f"thought number {i}", "fact", [], f"thought number {i - 1}" if i else None, i == 0) for i in range(36)]
+    t = spark.createDataFrame(rows, "note_id string, pos int, content string, thought_type string, tags array<string>, parent_hint string, is_root_topic boolean")
+    got = {r.pos: r.parent_temp for r in linking.build_cards(t).collect()}
+    assert got == {i: f"n#{i - 1}" if i else None for i in range(36)}
