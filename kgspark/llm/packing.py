@@ -22,6 +22,7 @@ from __future__ import annotations
 import base64
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +71,7 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     best = -(-int(s.sum()) // capacity)
     total = np.concatenate([[0], np.cumsum(s)])
     # Sizes above capacity - t count as a whole container, sizes below t as nothing.
-    for t in np.unique(np.concatenate([s[s <= capacity // 2], capacity - s[s > capacity // 2] + 1, [1]]))[:: max(1, len(s) // 2000)]:
+    for t in np.unique(np.concatenate([s[s <= capacity // 2], capacity - s[s > capacity // 2] + 1, [1]])):
         low, high = np.searchsorted(s, t), np.searchsorted(s, capacity - t, side="right")
         best = max(best, len(s) - high - (-(int(total[high] - total[low])) // capacity))
     # Rounding down to multiples of 1/k, unless the size is such a multiple already.
@@ -133,7 +134,7 @@ def _deal(items: DataFrame, parts: dict[int, int], seed: int) -> DataFrame:
     return items.withColumn("part", F.pmod(F.xxhash64("id", "piece", F.lit(seed)), n).cast("int"))
 
 
-def pack(sizes: DataFrame, capacities: dict[int, int], per_partition: int = 40_000, rounds: int = 4, seed: int = 1) -> DataFrame:
+def pack(sizes: DataFrame, capacities: dict[int, int], per_partition: int = 40_000, seed: int = 1) -> DataFrame:
     """(kind, id, piece, size, part, bin) for ``sizes`` (id, n_tokens) and capacity per kind.
 
     A container is a (kind, part, bin); full pieces of long items have parts of their own.
@@ -152,7 +153,7 @@ def pack(sizes: DataFrame, capacities: dict[int, int], per_partition: int = 40_0
     kept = cut(_pack_parts(_deal(rest, parts, seed), key, capacities))
     base = 0  # partitions of a later round are numbered behind those of the rounds before
     settled: list[DataFrame] = []
-    for r in range(rounds):
+    for r in count():
         per = kept.groupBy("kind", "part").agg(F.max("bins").alias("bins"), F.max("bound").alias("bound"))
         open_parts = per.where("bins > bound").groupBy("kind").agg(F.count("*").alias("n")).collect()
         if not open_parts:

@@ -69,3 +69,19 @@ def test_exact_capacity_fills_one(spark):
     df = spark.createDataFrame([(1, 64), (2, 128), (3, 65)], "id bigint, n_tokens bigint")
     rows = p.number(p.pack(df, {0: 64})).collect()
     assert sorted((r.id, r.piece, r.size) for r in rows) == [(1, 0, 64), (2, 0, 64), (2, 1, 64), (3, 0, 64), (3, 1, 1)]
+
+
+def test_bound_tries_every_threshold():
+    """3,000 items of 6,000 need a container each; no item of 4,001 fits beside them."""
+    sizes = np.repeat([6000, 4001], 3000)
+    assert p.lower_bound(sizes, 10_000) >= 4201
+
+
+def test_rounds_go_on_while_they_save(spark, monkeypatch):
+    deals, deal = [], p._deal
+    monkeypatch.setattr(p, "_deal", lambda *a: deals.append(1) or deal(*a))
+    rng = random.Random(3)
+    sizes = {i: rng.randint(150, 480) for i in range(2400)}
+    df = spark.createDataFrame(list(sizes.items()), "id bigint, n_tokens bigint")
+    check(p.number(p.pack(df, {0: 1000}, per_partition=40)).collect(), {0: 1000}, sizes)
+    assert len(deals) > 5
