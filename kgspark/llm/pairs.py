@@ -1,14 +1,15 @@
 """Broken prompt and response pairs: ordered rules for emptiness, breaking off, refusal, copying and language.
 
 ``defects`` returns every rule that fires for a pair; ``defect`` keeps the first in ``ORDER`` as the pair's
-one defect type. All rules are local to the pair but one: whether a text without a final stop breaks
-off is judged by how often its last words end a sentence elsewhere. These counts are taken over all
-answers, each text of a batch once with its number of rows, summed with Spark and joined with the last
-words of the answers that need them; the tables are read twice, in Arrow batches, and only n-grams and
-last words are shuffled. Nothing is collected or sent to the workers.
+one defect type. A text breaks off if it ends in an open bracket or quote, a joining mark, an ellipsis, a
+bare list marker, a word that no sentence ends in, or inside a word. For the last, a text without a final
+stop gives its last word; it is cut if longer words that begin with it are seen ``TIMES`` times as often as
+the word itself, counted with Spark over all questions and answers but for the words that end one. A missing
+stop after a whole word is no defect. Only words and last words are shuffled; nothing is collected or
+sent to the workers.
 
 Defined results: a null or blank question makes no claim about language or copying; a null or blank
-answer is ``empty``; repeated rows give repeated results; very long texts are read whole.
+answer is ``empty`` and nothing else; a last word that no longer word begins with is whole; repeated rows give repeated results; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from kgspark.session import cut
 from kgspark.tables import table
 
-#: N-grams that a task holds before it hands on their counts.
-HELD = 200_000
+#: Salts of rows with the same last word.
+SALTS = 16
 ORDER = ("empty", "refusal", "copies_question", "wrong_language", "truncated")
 
 _WORD = re.compile(r"[^\W_]+")
@@ -147,73 +148,23 @@ def wrong_language(question: str, answer: str) -> bool:
 
 # ---------------------------------------------------------------- breaking off
 
-_TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,:]\d+)*|\S")
-
-
-def _shape(w: str) -> str:
-    """Numbers and capitalised words stand for their class."""
-    if w[0].isdigit():
-        return "<n>"
-    if w[0].isupper() and w[1:].islower():
-        return "<c>" + w[-2:].lower()  # the ending tells names from projects
-    return w.lower()
-
-
-def count_ends(texts: dict[str, int], grams: dict[str, list[int]]) -> None:
-    """Adds to ``grams`` how often 1 to 3 words were seen and twice how often they end a sentence, for texts with their number of rows."""
-    for t, times in texts.items():
-        for line in t.split("\n"):
-            toks = _TOKEN.findall(line)
-            words: list[str] = []
-            for i, w in enumerate(toks):
-                if not (w[0].isalnum()):
-                    if w in ".!?":
-                        words = []
-                    continue
-                words.append(_shape(w))
-                if i + 1 == len(toks):
-                    continue
-                nxt = toks[i + 1]
-                stops = nxt in (".", "!", "?")
-                opens = nxt[0].isupper() and nxt[1:].islower()
-                for n in (1, 2, 3):
-                    if len(words) >= n:
-                        c = grams.setdefault(" ".join(words[-n:]), [0, 0])
-                        c[0] += times
-                        c[1] += times * (2 if stops else int(opens))
-
-
-#: Fixed values by number of words: least times seen, and least share of ends among them, to judge by.
-_LEAST_SEEN, _LEAST_SHARE = (3, 12, 2), (0.04, 0.07, 0.3)
-
-
-class Ends:
-    """How often 1 to 3 words end a sentence."""
-
-    def __init__(self, texts: list[str]):
-        grams: dict[str, list[int]] = {}
-        count_ends(Counter(texts), grams)
-        self.share = {g: (min(1.0, end / 2 / n), n) for g, (n, end) in grams.items() if n >= 2}
-
-    def ends(self, words: list[str]) -> bool | None:
-        """Whether a sentence can end in these words; None if they were never seen."""
-        for n in (3, 2, 1):
-            if len(words) >= n and (hit := self.share.get(" ".join(words[-n:]))) and hit[1] >= _LEAST_SEEN[n - 1]:
-                return hit[0] >= _LEAST_SHARE[n - 1]
-        return None
-
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: A tail is cut inside a word if longer words that begin with it are seen so many times as often.
+TIMES = 100
+#: Letters of the longest word of the vocabulary; longer runs are damaged text.
+LONGEST = 64
 
 #: Words no sentence ends in.
 _HANGING = frozenset(
-    "и в во на с со к ко о об от до по за из у не что как а но или же бы если то для при под над без между через после перед чтобы потому поэтому который которая которые пока где когда также это "
+    "и в во на с со к ко о об от до по за из у не что как а но или же бы если то для при под над без между через после перед про вместо около против насчет насчёт среди чтобы потому поэтому который которая которые пока где когда также это "
     "the of and to in is for that with as by at from an a or if so but our my this has have because while until once before than which who although when about into "
     "der die das und zu den von mit für auf ist im des dem ein eine bei um bis weil dass ob sonst oder aber wir nach".split()
 )
 _PAIRS = (("(", ")"), ("[", "]"), ("«", "»"), ("{", "}"), ("“", "”"))
 
 
-def breaks_off(answer: str) -> bool | tuple[list[str], bool, bool]:
-    """Whether the text breaks off; where its last words decide: these, the verdict if they were never seen, and if no sentence ends in them."""
+def breaks_off(answer: str) -> bool | str:
+    """Whether the text breaks off; where only its last word can tell, that word."""
     t = _BLANK.sub(" ", answer.replace("\n", "\ue000")).replace("\ue000", "\n").strip()
     if not t:
         return False
@@ -229,37 +180,26 @@ def breaks_off(answer: str) -> bool | tuple[list[str], bool, bool]:
             return True
     if t.count('"') % 2 or t.count("```") % 2:
         return True
-    if t[-1] in "\"'»”)]}" and len(_WORD.findall(t)) > 1:  # all brackets and quotes are closed
-        return False
     tail = t.rstrip("*")
-    if not tail or tail[-1] in ".!?…%" or not tail[-1].isalnum():
-        return False
-    toks = [w for w in _TOKEN.findall(re.split(r"[.!?]\s", last)[-1]) if w[0].isalnum()]
-    if not toks:
-        return False
-    if toks[-1].lower() in _HANGING:
-        return True
-    whole = [w for w in _TOKEN.findall(t) if w[0].isalnum()]
-    if len(whole) <= 4:  # a short factual answer
+    if not tail or not tail[-1].isalpha():
         return False
-    if re.match(r"\s*(?:\d{1,3}[.)]|[-*•–])\s", last) and len(toks) <= 9:
-        return [_shape(toks[-1])], toks[-1].islower() and len(toks[-1]) <= 3, False
-    return [_shape(w) for w in toks[-3:]], not toks[-1][0].isdigit(), True
+    word = _LETTERS.findall(tail)[-1].lower()
+    return word in _HANGING or (word if len(word) <= LONGEST else False)
 
 
-def is_truncated(answer: str, ends: Ends) -> bool:
+def is_truncated(answer: str, vocabulary: dict[str, int]) -> bool:
+    """The verdict on one text by word counts (``vocabulary``)."""
     found = breaks_off(answer)
     if isinstance(found, bool):
         return found
-    words, unseen, no_end = found
-    verdict = ends.ends(words)
-    return unseen if verdict is None else no_end and not verdict
+    longer = sum(n for w, n in vocabulary.items() if len(w) > len(found) and w.startswith(found))
+    return longer >= max(1, TIMES * vocabulary.get(found, 0))
 
 
-def defects(question: str | None, answer: str | None, ends: Ends) -> list[str]:
+def defects(question: str | None, answer: str | None, vocabulary: dict[str, int]) -> list[str]:
     """Every defect type of the pair, in ``ORDER``."""
     out = _local_defects(question, answer)
-    return [*out, "truncated"] if out != ["empty"] and is_truncated(answer, ends) else out
+    return [*out, "truncated"] if out != ["empty"] and is_truncated(answer, vocabulary) else out
 
 
 def _local_defects(question: str | None, answer: str | None) -> list[str]:
@@ -277,55 +217,43 @@ def _local_defects(question: str | None, answer: str | None) -> list[str]:
     return out
 
 
-def fit_ends(pairs: DataFrame) -> DataFrame:
-    """The model of sentence ends from all answers: (gram, seen, share) of the n-grams seen twice."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams: dict[str, list[int]] = {}
+def word_counts(pairs: DataFrame) -> DataFrame:
+    """(word, n) over all questions and answers; a word that ends its text is left out, as it may be cut."""
+    texts = pairs.select(F.explode(F.array("question", "answer")).alias("t")).where("t is not null")
+    # Whatever follows the last run of letters keeps that run whole; else it is dropped as the last piece.
+    words = texts.select(F.split(F.lower("t"), r"[^\p{L}]+").alias("w"))
+    words = words.select(F.explode(F.slice("w", F.lit(1), F.size("w") - 1)).alias("word"))
+    return words.where((F.length("word") > 0) & (F.length("word") <= LONGEST)).groupBy("word").agg(F.count("*").alias("n"))
 
-        def counts() -> pa.RecordBatch:
-            seen, end = ([c[i] for c in grams.values()] for i in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(grams.keys(), pa.string()), pa.array(seen, pa.int64()), pa.array(end, pa.int64())], ["gram", "seen", "end2"])
-
-        for b in batches:
-            count_ends(Counter(b.column(0).to_pylist()), grams)
-            if len(grams) >= HELD:
-                yield counts()
-                grams.clear()
-        yield counts()
 
-    each = pairs.where("answer is not null").select("answer").mapInArrow(scan, "gram string, seen bigint, end2 bigint")
-    total = each.groupBy("gram").agg(F.sum("seen").alias("seen"), F.sum("end2").alias("end2")).where("seen >= 2")
-    return total.select("gram", "seen", F.least(F.lit(1.0), F.col("end2") / 2 / F.col("seen")).alias("share"))
+def cut_tails(tails: DataFrame, words: DataFrame) -> DataFrame:
+    """The ``tails`` (tail) that are a word cut inside, by ``words`` (word, n)."""
+    longer = words.where(F.length("word") > 1).select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), F.lit(1), i))).alias("tail"))
+    longer = longer.groupBy("tail").agg(F.sum("n").alias("longer"))
+    seen = tails.distinct().join(longer, "tail").join(words.select(F.col("word").alias("tail"), "n"), "tail", "left")
+    return seen.where(F.col("longer") >= TIMES * F.coalesce("n", F.lit(0))).select("tail")
 
 
-def pair_defects(pairs: DataFrame, ends: DataFrame) -> DataFrame:
-    """(src, row_key, defects) of ``pairs`` (src, row_key, question, answer)."""
+def pair_defects(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """(src, row_key, defects) of ``pairs`` (src, row_key, question, answer); ``words`` as from ``word_counts``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made, tail, unseen, no_end = [], [], [], []
+            made, tail = [], []
             for q, a in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 out = _local_defects(q, a)
                 found = out != ["empty"] and breaks_off(a)
-                open_ = not isinstance(found, bool)
                 made.append([*out, "truncated"] if found is True else out)
-                tail.append(" ".join(found[0]) if open_ else None)
-                unseen.append(found[1] if open_ else None)
-                no_end.append(found[2] if open_ else None)
-            cols = [pa.array(made, pa.list_(pa.string())), pa.array(tail, pa.string()), pa.array(unseen, pa.bool_()), pa.array(no_end, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["src", "row_key", "defects", "tail", "unseen", "no_end"])
-
-    p = cut(pairs.select("src", "row_key", "question", "answer").mapInArrow(scan, "src string, row_key string, defects array<string>, tail string, unseen boolean, no_end boolean"))
-    last = p.where("tail is not null").select("tail").distinct().withColumn("w", F.split("tail", " "))
-    last = last.select("tail", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("n"))
-    grams = last.select("tail", "n", F.concat_ws(" ", F.slice("w", -F.col("n"), F.col("n"))).alias("gram"))
-    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("n"))
-    hits = grams.join(ends, "gram").where(F.col("seen") >= of(_LEAST_SEEN))
-    judged = hits.groupBy("tail").agg(F.max(F.struct("n", (F.col("share") >= of(_LEAST_SHARE)).alias("ends"))).alias("m")).select("tail", "m.ends")
-    told = p.where("tail is not null").join(judged, "tail", "left")
-    off = F.when(F.col("ends").isNull(), F.col("unseen")).otherwise(F.col("no_end") & ~F.col("ends"))
-    told = told.select("src", "row_key", F.when(off, F.concat("defects", F.array(F.lit("truncated")))).otherwise(F.col("defects")).alias("defects"))
+                tail.append(found or None if isinstance(found, str) else None)
+            cols = [pa.array(made, pa.list_(pa.string())), pa.array(tail, pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["src", "row_key", "defects", "tail"])
+
+    p = cut(pairs.select("src", "row_key", "question", "answer").mapInArrow(scan, "src string, row_key string, defects array<string>, tail string"))
+    open_ = p.where("tail is not null")
+    # A common last word is spread by salt.
+    off = cut_tails(open_.select("tail"), words).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("off", F.lit(True))
+    told = open_.withColumn("salt", F.pmod(F.xxhash64("src", "row_key"), F.lit(SALTS)).cast("int")).join(off, ["tail", "salt"], "left")
+    told = told.select("src", "row_key", F.when(F.col("off"), F.concat("defects", F.array(F.lit("truncated")))).otherwise(F.col("defects")).alias("defects"))
     return p.where("tail is null").select("src", "row_key", "defects").unionByName(told)
 
 
@@ -338,7 +266,7 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def _rated(spark: SparkSession, d: str) -> DataFrame:
     p = _pairs(spark, d)
-    return pair_defects(p, fit_ends(p)).where("size(defects) > 0")
+    return pair_defects(p, word_counts(p)).where("size(defects) > 0")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

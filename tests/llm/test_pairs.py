@@ -1,9 +1,21 @@
+from collections import Counter
+
 import pytest
 
 from kgspark.llm import pairs
 
 FULL = [f"Отдел {x} готовит план отгрузок до {n} марта. Клиент доволен, срок {n} апреля." for n in range(1, 30) for x in ("продаж", "сервиса")]
-ENDS = pairs.Ends(FULL)
+
+
+def vocabulary(texts):
+    words = Counter()
+    for t in texts:
+        found = pairs._LETTERS.findall(t.lower())
+        words.update(found[:-1] if t and t[-1].isalpha() else found)
+    return words
+
+
+KNOWN = vocabulary([*FULL, "der Einkaufsplan ist fertig."])
 
 
 @pytest.mark.parametrize(
@@ -28,6 +40,12 @@ ENDS = pairs.Ends(FULL)
         ("Какой срок по плану?", "4 апреля", None),
         ("Какой срок по плану?", "63%", None),
         ("Какой срок по плану?", "Клиент доволен, срок 3 апреля", None),
+        ("Какой срок по плану?", "короче пока тихо, план отгрузок лежит у отдела продаж с 17 апреля", None),
+        ("Какой срок по плану?", "выходит Николай с 3 апреля, первый участок план отгрузок", None),
+        ("What is the first job?", "joined in June, first job is the renewal contract", None),
+        ("What changed in the pilot?", "the move takes 4 weeks because the staging rig was down", None),
+        ("Was ist fertig?", "für den Standort ist der Einkaufsplan", None),
+        ("Was ist fertig?", "für den Standort ist der Einkaufspl", "truncated"),
         ("Какой срок по плану?", "Отдел продаж готовит план отгр", "truncated"),
         ("Какой срок по плану?", "Отдел продаж готовит план отгрузок до", "truncated"),
         ("Какой срок по плану?", "Отдел продаж готовит пла…", "truncated"),
@@ -38,34 +56,34 @@ ENDS = pairs.Ends(FULL)
     ],
 )
 def test_defect(q, a, want):
-    got = pairs.defects(q, a, ENDS)
+    got = pairs.defects(q, a, KNOWN)
     assert (got[0] if got else None) == want
 
 
 def test_table_edges(spark):
     df = spark.createDataFrame([("m", "1", None, None, 1), ("m", "2", "q?", "ok " * 100_000 + ".", 1), ("m", "2", "q?", "ok " * 100_000 + ".", 1)], "src string, row_key string, question string, answer string, defects int")
-    got = sorted((r.row_key, r.defects) for r in pairs.pair_defects(df, pairs.fit_ends(df)).collect())
+    got = sorted((r.row_key, r.defects) for r in pairs.pair_defects(df, pairs.word_counts(df)).collect())
     assert got == [("1", ["empty"]), ("2", []), ("2", [])]
     none = df.limit(0)
-    assert pairs.pair_defects(none, pairs.fit_ends(none)).count() == 0
+    assert pairs.pair_defects(none, pairs.word_counts(none)).count() == 0
 
 
 def test_verdicts_do_not_depend_on_the_number_of_answers(spark):
-    """Each of 100 answers without a stop is told by three others, whatever else the table holds."""
-    word = lambda i: "".join(chr(97 + int(c)) for c in f"{i:05d}")
-    said = [f"the team saw x{word(i)} y{word(i)} z{word(i)}." for i in range(100) for _ in range(3)]
-    asked = [f"after the talk the team saw x{word(i)} y{word(i)} z{word(i)}" for i in range(100)]
+    """A whole last word that is seen elsewhere, or begins no longer word, is whole in any table; a piece of a word is cut."""
+    said = ["the team saw the warehouse plan."] * 3
+    asked = ["after the talk the team saw the warehouse plan", "after the talk the team saw quoxil", "after the talk the team saw the wareho"]
     cols = "src string, row_key string, question string, answer string"
     own = spark.createDataFrame([("m", str(k), None, a) for k, a in enumerate(said + asked)], cols)
     more = spark.range(60_000).selectExpr("'f' AS src", "cast(id AS string) AS row_key", "cast(null AS string) AS question", "concat('note ', id, ' is done and filed.') AS answer")
     for df in (own, own.unionByName(more)):
-        assert pairs.pair_defects(df, pairs.fit_ends(df)).where("size(defects) > 0").count() == 0
+        got = pairs.pair_defects(df, pairs.word_counts(df)).where("size(defects) > 0").collect()
+        assert [(r.row_key, r.defects) for r in got] == [("5", ["truncated"])]
 
 
 def test_joined_verdicts_equal_local_ones(spark):
     texts = [*FULL, *(t[:n] for t in FULL for n in (20, 33, 46, len(t) - 1)), "1. план отгрузок на год вперед\n2. план до", "1. план отгрузок на год вперед\n2. план отгрузок ую"]
     df = spark.createDataFrame([("m", str(k), None, a) for k, a in enumerate(texts)], "src string, row_key string, question string, answer string")
-    ends = pairs.Ends(texts)
-    got = {r.row_key: r.defects for r in pairs.pair_defects(df, pairs.fit_ends(df)).collect()}
-    want = {str(k): pairs.defects(None, a, ends) for k, a in enumerate(texts)}
+    known = vocabulary(texts)
+    got = {r.row_key: r.defects for r in pairs.pair_defects(df, pairs.word_counts(df)).collect()}
+    want = {str(k): pairs.defects(None, a, known) for k, a in enumerate(texts)}
     assert got == want and {"truncated"} < {x for v in want.values() for x in v or [""]}
