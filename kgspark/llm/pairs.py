@@ -228,6 +228,7 @@ def word_counts(pairs: DataFrame) -> DataFrame:
 
 def cut_tails(tails: DataFrame, words: DataFrame) -> DataFrame:
     """The ``tails`` (tail) that are a word cut inside, by ``words`` (word, n)."""
+    words = cut(words)
     longer = words.where(F.length("word") > 1).select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), F.lit(1), i))).alias("tail"))
     longer = longer.groupBy("tail").agg(F.sum("n").alias("longer"))
     seen = tails.distinct().join(longer, "tail").join(words.select(F.col("word").alias("tail"), "n"), "tail", "left")
