@@ -30,16 +30,28 @@ COMMON = (
 ).split()
 
 BLANKS = " \n\r\t\u00a0\u200b"
-_MARK = r"^\s*(?:[-*•▪◦‣·→►>+✓✔☐☑☒–—]+|\[[ xXхХ✓]?\]|\(?\d{1,3}[.)]|\(?\p{L}[.)])\s+\S"
-_END = r"[.!?…]['\"»”)\]]*+\s*+$"
+#: What ends a line as a sentence, and what opens it as an item; all patterns run over whole texts, line by line.
+_LINES = "(?dm)"
+_STOP = r"[.!?…]['\"»”)\]]*+[^\S\n]*+$"
+_CLOSED = rf"(?![^\n]*{_STOP})"
+_MARK = r"^[^\S\n]*(?:[-*•▪◦‣·→►>+✓✔☐☑☒–—]+|\[[ xXхХ✓]?\]|\(?\d{1,3}[.)]|\(?\p{L}[.)])[^\S\n]+\S"
+_SHORT = r"^(?=[^\n]{1,59}$)"
+_SEEN = r"(?=[^\n]*[^\s\u200b])"
+#: A first line that is one sentence: it introduces what follows and does not count in the shapes of the lines.
+_LEAD = r"(?d)^\s*+(?![^\n]*\p{Ll}{2}['\"»”)]*[.!?…]\s+\p{Lu})[^\n]*[.!?…:]['\"»”)\]]*[^\S\n]*\n(?=\s*\S)"
 
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a.cast("double") / b).otherwise(F.lit(0.0))
 
 
-def _share(lines: Column, test) -> Column:
-    return _ratio(F.size(F.filter(lines, test)), F.size(lines))
+def _count(t: Column, pattern: str) -> Column:
+    return F.regexp_count(t, F.lit(_LINES + pattern))
+
+
+def _held(t: Column, pattern: str) -> Column:
+    """Letters and marks of the lines that match, from the match on."""
+    return F.length(t) - F.length(F.regexp_replace(t, _LINES + pattern + r"[^\n]*+", ""))
 
 
 def with_statistics(df: DataFrame, text: str = "text", out: str = "stats") -> DataFrame:
@@ -47,12 +59,14 @@ def with_statistics(df: DataFrame, text: str = "text", out: str = "stats") -> Da
     t = F.coalesce(F.col(text), F.lit(""))
     plain = F.trim(F.regexp_replace(F.translate(F.lower(t), "ё", "е"), r"[^\p{L}\p{N}]+", " "))
     parts = F.struct(
+        t.alias("t"),
         F.length(t).alias("n"),
         F.length(F.translate(t, BLANKS, "")).alias("solid"),
         F.length(F.translate(t, "0123456789", "")).alias("no_digits"),
         F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " ")).alias("w"),
-        F.length(plain).alias("plain"),
-        F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\s\u200b]")).alias("lines"),
+        plain.alias("plain"),
+        F.regexp_replace(t, _LEAD, "").alias("body"),
+        _count(t, rf"^{_SEEN}").alias("lines"),
     )
     # A generator over one element keeps the optimizer from repeating the expressions of a row in
     # every statistic, and those of the statistics in every rule.
@@ -60,17 +74,17 @@ def with_statistics(df: DataFrame, text: str = "text", out: str = "stats") -> Da
     while tmp in df.columns:
         tmp += "_"
     made = df.withColumn(tmp, F.explode(F.array(parts)))
-    w, lines, n, n_solid, plain_len = (F.col(f"{tmp}.{c}") for c in ("w", "lines", "n", "solid", "plain"))
-    n_words, n_lines = F.size(w), F.size(lines)
-    n_word_chars = plain_len - F.greatest(n_words - 1, F.lit(0))
-    is_open = lambda x: (F.length(x) < 60) & ~x.rlike(_END)
+    whole, w, plain, body, n_lines, n, n_solid = (F.col(f"{tmp}.{c}") for c in ("t", "w", "plain", "body", "lines", "n", "solid"))
+    n_words, n_body = F.size(w), _count(body, rf"^{_SEEN}")
+    n_word_chars = F.length(plain) - F.greatest(n_words - 1, F.lit(0))
 
     def several(share: Column) -> Column:
         return F.when(n_lines > 1, share).otherwise(F.lit(0.0))
 
     def delimited(sep: str, least: int = 2) -> Column:
-        return _share(lines, lambda x: x.rlike(sep + f"(?:.*?{sep})" * (least - 1)))
+        return _count(body, rf"^[^\n]*?{sep}" + rf"(?:[^\n]*?{sep})" * (least - 1) + r"[^\n]*+")
 
+    in_words = lambda pattern: F.regexp_count(plain, F.lit(rf"(?<![^ ]){pattern}(?![^ ])"))
     stats = F.struct(
         n.alias("n_chars"),
         n_words.alias("n_words"),
@@ -79,15 +93,17 @@ def with_statistics(df: DataFrame, text: str = "text", out: str = "stats") -> Da
         _ratio(n - F.col(f"{tmp}.no_digits"), n_solid).alias("digit_ratio"),
         n_lines.alias("n_lines"),
         _ratio(n_words, n_lines).alias("words_per_line"),
-        _share(lines, lambda x: x.rlike(_END)).alias("end_punct_share"),
-        several(_share(lines, lambda x: x.rlike(_MARK) & ~x.rlike(_END))).alias("marker_share"),
-        _share(lines, is_open).alias("short_open_share"),
-        _ratio(F.aggregate(F.filter(lines, is_open), F.lit(0), lambda a, x: a + F.length(x)), n).alias("open_chars"),
-        several(F.greatest(delimited(r"\|"), delimited(";"), delimited("\t"), delimited(r'",\s?"|";"', 1), delimited(r"\S {2,}(?=\S)"), delimited(r"\S,(?=\S)"))).alias("cell_share"),
-        _ratio(F.size(F.array_distinct(lines)), n_lines).alias("distinct_lines"),
-        _ratio(F.size(F.filter(w, lambda x: x.isin(*COMMON))), n_words).alias("common_share"),
+        _ratio(_count(whole, _STOP), n_lines).alias("end_punct_share"),
+        several(_ratio(_count(body, _MARK + _CLOSED), n_body)).alias("marker_share"),
+        _ratio(_count(body, _SHORT + _SEEN + _CLOSED), n_body).alias("short_open_share"),
+        _ratio(_held(body, _SHORT + _CLOSED), F.length(body)).alias("open_chars"),
+        several(_ratio(_held(body, rf"(?:{_SHORT}|(?={_MARK})){_CLOSED}"), F.length(body))).alias("item_chars"),
+        several(_ratio(F.greatest(delimited(r"\|"), delimited(";"), delimited("\t"), delimited(r'(?:",\s?"|";")', 1), delimited(r"\S {2,}(?=\S)"), delimited(r"\S,(?=\S)")), n_body)).alias("cell_share"),
+        _ratio(F.size(F.array_distinct(F.split(body, r"\s*\n\s*"))), F.greatest(n_body, F.lit(1))).alias("distinct_lines"),
+        _ratio(in_words(f"(?:{'|'.join(sorted(set(COMMON)))})"), n_words).alias("common_share"),
         _ratio(F.size(F.array_distinct(w)), n_words).alias("distinct_words"),
-        _ratio(F.size(F.filter(w, lambda x: F.length(x) == 1)), n_words).alias("single_share"),
+        _ratio(in_words("."), n_words).alias("single_share"),
+        _ratio(F.regexp_count(whole, F.lit(r"(?<![\p{L}\p{N}])\p{Lu}(?!\p{Lu})")), n_words).alias("title_share"),
     )
     return made.withColumn(out, F.explode(F.array(stats))).drop(tmp)
 

@@ -17,16 +17,25 @@ import numpy as np
 
 #: Bound on labelled rows used for fitting.
 MAX_LABELLED = 20_000
-#: Runs with other grow/prune splits; the best on the fitting rows is kept.
-RESTARTS = 8
+#: Runs of each kind with other grow/prune splits; the best on the fitting rows is kept.
+RESTARTS = 32
 KINDS = ("junk", "table", "list")
 STATISTICS = (
-    "n_chars n_words mean_word_len symbol_ratio digit_ratio n_lines words_per_line end_punct_share marker_share short_open_share open_chars "
-    "cell_share distinct_lines common_share distinct_words single_share"
+    "n_chars n_words mean_word_len symbol_ratio digit_ratio n_lines words_per_line end_punct_share marker_share short_open_share open_chars item_chars "
+    "cell_share distinct_lines common_share distinct_words single_share title_share"
 ).split()
 
+#: Directions a kind's rules may test a statistic in: they hold beyond the texts at hand. Sizes may be tested both ways.
+_SIZES = [(s, op) for s in ("n_chars", "n_words", "n_lines") for op in ("<=", ">=")]
+DIRECTIONS = {
+    "junk": [("mean_word_len", ">="), ("symbol_ratio", ">="), ("digit_ratio", ">="), ("single_share", ">="), ("title_share", ">="), ("distinct_words", "<="), ("distinct_lines", "<="), ("common_share", "<="), ("item_chars", "<="), ("cell_share", "<="), *_SIZES],
+    "table": [("cell_share", ">="), ("digit_ratio", ">="), ("symbol_ratio", ">="), ("common_share", "<="), ("end_punct_share", "<="), *_SIZES],
+    "list": [("marker_share", ">="), ("short_open_share", ">="), ("open_chars", ">="), ("item_chars", ">="), ("end_punct_share", "<="), ("words_per_line", "<="), ("common_share", "<="), *_SIZES],
+}
+
 _MARK = re.compile(r"\s*(?:[-*•▪◦‣·→►>+✓✔☐☑☒–]+|\[[ xXхХ✓]?\]|\(?\d{1,3}[.)]|\(?[a-zа-я][.)])\s+\S", re.I)
 _END = re.compile(r"[.!?…]['\"»”)\]]*\s*$")
+_NEXT = re.compile(r"[а-яa-zäöüß]{2}['\"»”)]*[.!?…]\s+[А-ЯЁA-ZÄÖÜ]")
 _WORD = re.compile(r"[^\W_]+")
 _MIXED = re.compile(r"[а-яё][a-z]|[a-z][а-яё]", re.I)
 
@@ -49,7 +58,7 @@ def label(text: str | None) -> str | None:
     if not words:
         return "junk"
     lines = [x for x in re.split(r"[\r\n]+", t) if x.strip()]
-    body = lines[1:] if len(lines) > 3 and _END.search(lines[0]) and len(_WORD.findall(lines[0])) >= 5 else lines
+    body = lines[1:] if len(lines) > 3 and re.search(r"[.!?…:]['\"»”)\]]*\s*$", lines[0]) and not _NEXT.search(lines[0]) else lines
     if len(body) >= 3:
         cells = [_cells(x) for x in body]
         seps = [c[0] for c in cells if c]
@@ -77,23 +86,18 @@ def label(text: str | None) -> str | None:
 
     common = sum(w in COMMON for w in words) / len(words)
     ends = sum(bool(_END.search(x)) for x in body) / len(body)
-    if len(words) >= 12 and len(set(words)) < 0.6 * len(words) and common < 0.1 and ends < 0.2 and len(words) < 200:
-        return "junk"
-    if len(words) >= 9 and len(set(words)) < 0.75 * len(words) and not re.search(r"[,;:?!]", t) and ends < 0.2:
-        if sum(w[0].isupper() for w in _WORD.findall(t)) > 0.5 * len(words) and not t.isupper():
-            return "junk"  # page furniture
     if len(body) >= 3:
         items = [bool(_MARK.match(x) or len(_WORD.findall(x)) <= 8) and not _END.search(x) for x in body]
         marks = sum(bool(_MARK.match(x)) for x in body)
         wrapped = sum(45 <= len(x) <= 75 for x in body[:-1]) >= 0.7 * (len(body) - 1)
-        listed = sum(len(x) for x, i in zip(lines, [False] * (len(lines) - len(body)) + items, strict=True) if i)
-        share = listed / sum(map(len, lines))
-        if not wrapped and sum(items) >= 3 and share >= 0.5:
-            return "list"
-        if marks >= 0.75 * len(body) and ends < 0.4:
-            return "list"
-        if not wrapped and sum(items) >= 3 and share > 0.4:
-            return None
+        share = sum(len(x) for x, i in zip(body, items, strict=True) if i) / sum(map(len, body))
+        if sum(items) >= 3 and share > 0.4 and not (wrapped and marks < 0.5 * len(body)):
+            return "list" if share >= 0.6 else None
+    if len(words) >= 12 and len(set(words)) < 0.6 * len(words) and common < 0.1 and ends < 0.2 and len(words) < 200:
+        return "junk"
+    if len(words) >= 9 and len(set(words)) < 0.75 * len(words) and not re.search(r"[,;:?!]", t) and (ends < 0.2 or len(body) == 1):
+        if sum(w[0].isupper() for w in _WORD.findall(t)) > 0.5 * len(words) and not t.isupper():
+            return "junk"  # page furniture
     if len(words) >= 40 and common < 0.085:
         return "junk" if ends < 1 or len(lines) == 1 else None
     if len(words) >= 40 and common < 0.12:
@@ -101,7 +105,8 @@ def label(text: str | None) -> str | None:
     return "prose"
 
 
-def _grow(x, y, names, rng_order):
+def _grow(x, y, names, allowed=None):
+    """Conditions that cover rows of ``y`` only, by FOIL gain; ``allowed``: (statistic, comparison) pairs that may be tested."""
     conds, m = [], np.ones(len(y), bool)
     while (~y[m]).any() and len(conds) < 6:
         p0, n0 = y[m].sum(), (~y[m]).sum()
@@ -114,6 +119,8 @@ def _grow(x, y, names, rng_order):
             cuts = np.unique(np.concatenate([cuts, (cuts[1:] + cuts[:-1]) / 2]))
             for c in cuts:
                 for op, k in (("<=", v <= c), (">=", v >= c)):
+                    if allowed is not None and (name, op) not in allowed:
+                        continue
                     p, n = (y[m] & k).sum(), (~y[m] & k).sum()
                     if p >= 5 and (gain := p * (np.log2(p / (p + n)) - base)) > best[0]:
                         best = (gain, (name, op, float(round(c, 6))), (j, op, float(round(c, 6))))
@@ -148,7 +155,7 @@ def _prune(conds, x, y, names):
     return conds, worth(conds)
 
 
-def irep(x: np.ndarray, kinds: np.ndarray, names: list[str], order=KINDS, seed: int = 7, most: int = 14) -> list:
+def irep(x: np.ndarray, kinds: np.ndarray, names: list[str], order=KINDS, seed: int = 7, most: int = 14, directions: dict | None = None) -> list:
     """Ordered rules for the kinds in ``order``; rows no rule covers get the default kind."""
     rng, rules = np.random.default_rng(seed), []
     for kind in order:
@@ -158,7 +165,7 @@ def irep(x: np.ndarray, kinds: np.ndarray, names: list[str], order=KINDS, seed:
             if y.sum() < 12:
                 break
             take = rng.random(len(y)) < 2 / 3
-            conds = _grow(x[take], y[take], names, rng)
+            conds = _grow(x[take], y[take], names, directions.get(kind) if directions else None)
             if not conds:
                 misses += 1
                 if misses == 3:
@@ -166,7 +173,7 @@ def irep(x: np.ndarray, kinds: np.ndarray, names: list[str], order=KINDS, seed:
                 continue
             conds, good = _prune(conds, x[~take], y[~take], names)
             m = covered(conds, x, names)
-            if good < 0.6 or not (y & m).any():
+            if good < 0.9 or not (y & m).any():
                 misses += 1
                 if misses == 3:
                     break
@@ -215,8 +222,12 @@ def fit(pdf) -> None:
     known = np.array([k is not None for k in kinds])
     x, y = pdf[names].to_numpy(float)[known], kinds[known]
     test = np.random.default_rng(11).random(len(y)) < 1 / 3
-    tries = [irep(x[~test], y[~test], names, seed=k) for k in range(RESTARTS)]
-    rules = max(tries, key=lambda r: (apply_rules(r, x[~test], names) == y[~test]).mean())
+    rules, left, left_y = [], x[~test], y[~test]
+    for kind in KINDS:  # the best split for each kind, on the rows that no earlier rule covers
+        tries = [irep(left, left_y, names, order=(kind,), seed=k, directions=DIRECTIONS) for k in range(RESTARTS)]
+        best = max(tries, key=lambda r: ((apply_rules(r, left, names) == kind) == (left_y == kind)).mean())  # noqa: B023
+        rest = apply_rules(best, left, names) != kind
+        rules, left, left_y = rules + best, left[rest], left_y[rest]
     got = apply_rules(rules, x[test], names)
     print(f"{len(y)} labelled of {len(pdf)}; agreement on the held-out third: {(got == y[test]).mean():.4f}")
     for k in (*KINDS, "prose"):

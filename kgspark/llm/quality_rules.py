@@ -1,17 +1,13 @@
 """Rules exported by ``quality_fit``: (kind, [(statistic, comparison, threshold), ...]) in order."""
 
 RULES: list = [
-    ('junk', [('n_chars', '<=', 867.357), ('distinct_words', '<=', 0.42994)]),
-    ('junk', [('common_share', '<=', 0.0), ('short_open_share', '<=', 0.238595), ('cell_share', '<=', 0.0), ('n_chars', '>=', 131.402)]),
-    ('junk', [('distinct_words', '<=', 0.619571), ('single_share', '>=', 0.234314)]),
-    ('junk', [('distinct_lines', '<=', 0.46875)]),
-    ('junk', [('mean_word_len', '>=', 13.812485)]),
-    ('junk', [('distinct_words', '<=', 0.611438), ('n_words', '<=', 39.0), ('end_punct_share', '<=', 0.0)]),
-    ('junk', [('common_share', '<=', 0.157639), ('distinct_words', '<=', 0.733333), ('cell_share', '<=', 0.0), ('mean_word_len', '<=', 5.05041)]),
-    ('junk', [('open_chars', '>=', 0.969531), ('distinct_words', '<=', 0.595745), ('cell_share', '<=', 0.0)]),
-    ('table', [('cell_share', '>=', 0.6875), ('n_lines', '>=', 5.0)]),
-    ('list', [('marker_share', '>=', 0.6), ('short_open_share', '>=', 0.828571)]),
-    ('list', [('marker_share', '>=', 0.6), ('end_punct_share', '>=', 0.3)]),
-    ('list', [('short_open_share', '>=', 0.8), ('mean_word_len', '>=', 5.688796)]),
-    ('list', [('marker_share', '>=', 0.58), ('symbol_ratio', '>=', 0.038938)]),
+    ('junk', [('distinct_words', '<=', 0.54902), ('n_chars', '<=', 815.1215), ('n_lines', '<=', 1.0)]),
+    ('junk', [('common_share', '<=', 0.0), ('item_chars', '<=', 0.106919), ('cell_share', '<=', 0.0), ('n_chars', '>=', 119.29)]),
+    ('junk', [('distinct_lines', '<=', 0.708333)]),
+    ('junk', [('distinct_words', '<=', 0.708333), ('title_share', '>=', 0.640756)]),
+    ('junk', [('mean_word_len', '>=', 13.898)]),
+    ('junk', [('symbol_ratio', '>=', 0.106181), ('cell_share', '<=', 0.0), ('distinct_words', '<=', 0.74359)]),
+    ('table', [('cell_share', '>=', 0.75), ('n_lines', '>=', 4.07)]),
+    ('list', [('short_open_share', '>=', 0.8125), ('words_per_line', '<=', 5.875079)]),
+    ('list', [('marker_share', '>=', 1.0)]),
 ]
