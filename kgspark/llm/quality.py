@@ -57,40 +57,38 @@ def _held(t: Column, pattern: str) -> Column:
 def with_statistics(df: DataFrame, text: str = "text", out: str = "stats") -> DataFrame:
     """``df`` with a struct column ``out`` holding the statistics of column ``text``."""
     t = F.coalesce(F.col(text), F.lit(""))
-    plain = F.trim(F.regexp_replace(F.translate(F.lower(t), "ё", "е"), r"[^\p{L}\p{N}]+", " "))
-    parts = F.struct(
-        t.alias("t"),
-        F.length(t).alias("n"),
-        F.length(F.translate(t, BLANKS, "")).alias("solid"),
-        F.length(F.translate(t, "0123456789", "")).alias("no_digits"),
-        F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " ")).alias("w"),
-        plain.alias("plain"),
-        F.regexp_replace(t, _LEAD, "").alias("body"),
-        _count(t, rf"^{_SEEN}").alias("lines"),
-    )
     # A generator over one element keeps the optimizer from repeating the expressions of a row in
     # every statistic, and those of the statistics in every rule.
     tmp = "_parts"
     while tmp in df.columns:
         tmp += "_"
-    made = df.withColumn(tmp, F.explode(F.array(parts)))
-    whole, w, plain, body, n_lines, n, n_solid = (F.col(f"{tmp}.{c}") for c in ("t", "w", "plain", "body", "lines", "n", "solid"))
-    n_words, n_body = F.size(w), _count(body, rf"^{_SEEN}")
+    held = lambda c: F.explode(F.array(c))
+    plain = F.trim(F.regexp_replace(F.replace(F.lower(t), F.lit("ё"), F.lit("е")), r"[^\p{L}\p{N}]+", " "))
+    made = df.withColumn(tmp, held(F.struct(t.alias("t"), plain.alias("plain"), F.regexp_replace(t, _LEAD, "").alias("body"))))
+    whole, plain, body = (F.col(f"{tmp}.{c}") for c in ("t", "plain", "body"))
+    parts = F.struct(
+        whole.alias("t"), plain.alias("plain"), body.alias("body"),
+        F.length(F.regexp_replace(whole, f"[{BLANKS}]+", "")).alias("solid"),
+        F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " ")).alias("w"),
+        _count(whole, rf"^{_SEEN}").alias("lines"), _count(body, rf"^{_SEEN}").alias("n_body"),
+    )
+    made = made.withColumn(tmp, held(parts))
+    n_lines, n_body, n_solid, w = (F.col(f"{tmp}.{c}") for c in ("lines", "n_body", "solid", "w"))
+    n, n_words = F.length(whole), F.size(w)
     n_word_chars = F.length(plain) - F.greatest(n_words - 1, F.lit(0))
 
     def several(share: Column) -> Column:
         return F.when(n_lines > 1, share).otherwise(F.lit(0.0))
 
-    def delimited(sep: str, least: int = 2) -> Column:
-        return _count(body, rf"^[^\n]*?{sep}" + rf"(?:[^\n]*?{sep})" * (least - 1) + r"[^\n]*+")
+    def delimited(seen: str, sep: str, least: int = 2) -> Column:
+        return F.when(F.contains(body, F.lit(seen)), _count(body, rf"^[^\n]*?{sep}" + rf"(?:[^\n]*?{sep})" * (least - 1) + r"[^\n]*+")).otherwise(0)
 
-    in_words = lambda pattern: F.regexp_count(plain, F.lit(rf"(?<![^ ]){pattern}(?![^ ])"))
     stats = F.struct(
         n.alias("n_chars"),
         n_words.alias("n_words"),
         _ratio(n_word_chars, n_words).alias("mean_word_len"),
         _ratio(F.greatest(n_solid - n_word_chars, F.lit(0)), n_solid).alias("symbol_ratio"),
-        _ratio(n - F.col(f"{tmp}.no_digits"), n_solid).alias("digit_ratio"),
+        _ratio(n - F.length(F.regexp_replace(whole, "[0-9]+", "")), n_solid).alias("digit_ratio"),
         n_lines.alias("n_lines"),
         _ratio(n_words, n_lines).alias("words_per_line"),
         _ratio(_count(whole, _STOP), n_lines).alias("end_punct_share"),
@@ -98,14 +96,14 @@ def with_statistics(df: DataFrame, text: str = "text", out: str = "stats") -> Da
         _ratio(_count(body, _SHORT + _SEEN + _CLOSED), n_body).alias("short_open_share"),
         _ratio(_held(body, _SHORT + _CLOSED), F.length(body)).alias("open_chars"),
         several(_ratio(_held(body, rf"(?:{_SHORT}|(?={_MARK})){_CLOSED}"), F.length(body))).alias("item_chars"),
-        several(_ratio(F.greatest(delimited(r"\|"), delimited(";"), delimited("\t"), delimited(r'(?:",\s?"|";")', 1), delimited(r"\S {2,}(?=\S)"), delimited(r"\S,(?=\S)")), n_body)).alias("cell_share"),
+        several(_ratio(F.greatest(delimited("|", r"\|"), delimited(";", ";"), delimited("\t", "\t"), delimited('"', r'(?:",\s?"|";")', 1), delimited("  ", r"\S {2,}(?=\S)"), delimited(",", r"\S,(?=\S)")), n_body)).alias("cell_share"),
         _ratio(F.size(F.array_distinct(F.split(body, r"\s*\n\s*"))), F.greatest(n_body, F.lit(1))).alias("distinct_lines"),
-        _ratio(in_words(f"(?:{'|'.join(sorted(set(COMMON)))})"), n_words).alias("common_share"),
+        _ratio(F.size(F.filter(w, lambda x: x.isin(*COMMON))), n_words).alias("common_share"),
         _ratio(F.size(F.array_distinct(w)), n_words).alias("distinct_words"),
-        _ratio(in_words("."), n_words).alias("single_share"),
-        _ratio(F.regexp_count(whole, F.lit(r"(?<![\p{L}\p{N}])\p{Lu}(?!\p{Lu})")), n_words).alias("title_share"),
+        _ratio(F.regexp_count(plain, F.lit("(?<![^ ])[^ ](?![^ ])")), n_words).alias("single_share"),
+        _ratio(F.regexp_count(whole, F.lit(r"\p{Lu}(?<![\p{L}\p{N}]\p{Lu})(?!\p{Lu})")), n_words).alias("title_share"),
     )
-    return made.withColumn(out, F.explode(F.array(stats))).drop(tmp)
+    return made.withColumn(out, held(stats)).drop(tmp)
 
 
 def case_sql(rules: list, stats: str = "stats", default: str = "prose") -> str:
