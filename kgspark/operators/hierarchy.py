@@ -1,19 +1,22 @@
 """Parent-child rows to full hierarchies: path, depth, root, descendants, cycles.
 
 ``resolve_parents`` turns the three ways a card can name its parent into one edge per card.
-``hierarchy`` then walks the forest level by level from its roots: the frontier of one level is
-joined with the edges to give the next, extending root, depth and (optionally) path. Nodes that
-no frontier reaches hang on a cycle; among them, those still in the image of an ever longer jump to
-the ancestors are the cycles themselves.
-
-Scale: the edges are hash-partitioned by parent once and kept; each round shuffles only the
-frontier. Children of a parent with more than ``hot_children`` of them are spread over ``splits``
-partitions and that parent's frontier row is repeated as often. Several levels are advanced per job, so the number of jobs is depth / ``unroll``. No
-id list or edge is ever collected, and no level is broadcast by hand.
+``hierarchy`` then advances a frontier from the roots, extending root, depth and (optionally) path. Step
+0 reaches level 1 over the edges themselves; links of 1, 2, 4, ... levels, doubled in the same join, let the
+next steps reach levels 2 to 3, 4 to 7, and so on. Nodes that a step leaves unreached go on with
+a link twice as long; when a step reaches no node, what is left hangs on a cycle. Among
+it, the nodes still in the image of an ever longer link are the cycles themselves.
+
+Scale: a step is one job with one join on the upper end of the link; steps are log2 of the depth, so a chain
+of 100,000 takes 17. Reached and open rows are written to separate folders, so a step reads what it
+joins and no more. Lower ends of an end that more than ``hot_children`` of them share are spread by
+salt, and that end's row is repeated as often. No id list or edge is ever collected, nothing is
+cached on an executor, and nothing is broadcast by hand.
 
 Defined results: repeated rows of a node count once; a null id is dropped; a null tenant is its own
 tenant (the empty string); an unparsable own id has no parent by id; a node that names itself is on
-a cycle; empty input gives an empty result. Other columns of the input are ignored, so names that
+a cycle; a parent that is no row of ``edges`` (``resolve_parents`` gives none) counts as a cycle above;
+empty input gives an empty result. Other columns of the input are ignored, so names that
 clash with the working columns do no harm.
 """
 
@@ -21,15 +24,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from kgspark.session import cut, own, shared_dir
 
-#: Levels that one job advances the frontier by.
-HOPS = 4
-
 #: Spellings that mean "no parent".
 NOTHING = ("", "null", "nan", "none")
 
@@ -70,30 +70,32 @@ def resolve_parents(cards: DataFrame) -> DataFrame:
     )
 
 
-def _spread_hot(links: DataFrame, hot_children: int, splits: int) -> tuple[DataFrame, DataFrame | None]:
-    """Add ``part`` to links: 0, or for a parent with many children one of ``splits`` by child."""
-    hot = links.groupBy("above").count().where(F.col("count") > hot_children).select("above", F.lit(splits).alias("n"))
-    if hot.isEmpty():
-        return links.withColumn("part", F.lit(0)), None
-    part = F.coalesce(F.pmod(F.xxhash64("child"), F.col("n")), F.lit(0)).cast("int")
-    return links.join(hot, "above", "left").withColumn("part", part).drop("n"), hot
-
-
 def _rings(rest: DataFrame) -> DataFrame:
-    """Ids of ``rest`` (id, parent; every parent in it) that lie on a cycle.
+    """Ids of ``rest`` (id, up) that lie on a cycle; ``up`` is the ancestor some number of levels above.
 
-    The parent function is squared until its image stops shrinking; an image that a further squaring
-    leaves as large is mapped onto itself, so it consists of cycles only.
+    The link is squared until its image stops shrinking; an image that a further squaring leaves as
+    large is mapped onto itself, so it consists of cycles only.
     """
     jump, size = rest, None
     while True:
-        image = jump.select("parent").distinct()
+        image = jump.select("up").distinct()
         now = image.count()
-        if now == size:
-            return image.select(F.col("parent").alias("id"))
+        if now == size or not now:
+            return image.select(F.col("up").alias("id"))
         size = now
-        to = jump.select(F.col("id").alias("mid"), F.col("parent").alias("far"))
-        jump = cut(jump.join(to, jump["parent"] == to["mid"]).select("id", F.col("far").alias("parent")))
+        to = jump.select(F.col("id").alias("mid"), F.col("up").alias("far"))
+        jump = cut(jump.join(to, jump["up"] == to["mid"]).select("id", F.col("far").alias("up")))
+
+
+def _joined(low: DataFrame, high: DataFrame, crowded: bool, hot_children: int, splits: int) -> DataFrame:
+    """``low`` left joined with ``high`` (columns prefixed x_) on ``up``; the rows of a common ``up`` are spread by salt."""
+    if crowded:
+        hot = cut(low.groupBy("up").count().where(F.col("count") > hot_children).select(F.col("up").alias("x_id"), F.lit(splits).alias("n")))
+        if not hot.isEmpty():
+            low = low.join(hot.withColumnRenamed("x_id", "up"), "up", "left").withColumn("at", F.coalesce(F.pmod(F.xxhash64("id"), F.col("n")), F.lit(0)).cast("int")).drop("n")
+            high = high.join(hot, "x_id", "left").withColumn("x_at", F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1))).drop("n")
+            return low.join(high, (low["up"] == high["x_id"]) & (low["at"] == high["x_at"]), "left")
+    return low.join(high, low["up"] == high["x_id"], "left")
 
 
 def hierarchy(edges: DataFrame, with_path: bool = True, hot_children: int = 100_000, splits: int = 32) -> DataFrame:
@@ -103,59 +105,50 @@ def hierarchy(edges: DataFrame, with_path: bool = True, hot_children: int = 100_
     ``below_cycle``. For the cycle states root and path are null and depth is -1.
     """
     spark = edges.sparkSession
-    edges = cut(edges)
     kept = ["id", "root", "depth", "status"] + ["path"] * with_path
-    links = edges.where("parent is not null").select(F.col("parent").alias("above"), F.col("id").alias("child"))
-
-    # Links over up to HOPS levels, so that one job advances the frontier by HOPS levels.
-    seg = [F.array("child").alias("seg")] if with_path else []
-    near = links.select("above", "child", F.lit(1).alias("hops"), *seg)
-    for far in (1, 2):
-        start = near.where(F.col("hops") == far)
-        step = near.select(F.col("above").alias("mid"), F.col("child").alias("c2"), F.col("hops").alias("h2"), *([F.col("seg").alias("s2")] if with_path else []))
-        more = start.join(step, start["child"] == step["mid"]).select(
-            "above", F.col("c2").alias("child"), (F.col("hops") + F.col("h2")).alias("hops"), *([F.concat("seg", "s2").alias("seg")] if with_path else [])
-        )
-        near = cut(near.unionByName(more))
-    near, hot = _spread_hot(near, hot_children, splits)
-    near = near.repartition("above", "part").persist(StorageLevel.MEMORY_AND_DISK)
-
     home = f"{shared_dir(spark)}/kgspark-levels-{uuid.uuid4().hex}"
     own(spark, home)
-    front = edges.where("parent is null").select(
-        "id", F.col("id").alias("root"), F.lit(0).cast("bigint").alias("depth"),
-        F.when(F.col("lost"), "detached").otherwise("tree").alias("status"), F.array("id").alias("path"),
-    ).select(*kept)
-    front.write.parquet(f"{home}/step=0")
-    step = 0
-    while True:
-        front = spark.read.schema(front.schema).parquet(f"{home}/step={step}").where(F.col("depth") == step * HOPS)
-        if hot is None:
-            front = front.withColumn("at", F.lit(0))
-        else:
-            fan = F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1)
-            front = front.join(hot.withColumnRenamed("above", "id"), "id", "left").withColumn("at", F.explode(fan)).drop("n")
-        grown = front.join(near, (front["id"] == near["above"]) & (front["at"] == near["part"])).select(
-            F.col("child").alias("id"), "root", (F.col("depth") + F.col("hops")).alias("depth"), "status",
-            *([F.concat("path", "seg").alias("path")] if with_path else []),
-        )
+
+    def written(rows: DataFrame, step: int) -> tuple[int, int]:
+        """Reached and open rows of a step. Of open rows ``depth`` counts the levels to ``up`` and ``path`` those below it."""
         seen = Observation()
+        rows.observe(seen, F.count_if(~F.col("open")).alias("reached"), F.count_if("open").alias("open")).write.option("compression", "zstd").partitionBy("open").parquet(f"{home}/step={step}")
+        return seen.get["reached"], seen.get["open"]
+
+    is_root = F.col("parent").isNull()
+    start = edges.select(
+        "id", F.when(is_root, F.col("id")).alias("root"), F.when(is_root, 0).otherwise(1).cast("bigint").alias("depth"),
+        F.when(is_root, F.when(F.col("lost"), "detached").otherwise("tree")).alias("status"), *([F.array("id").alias("path")] if with_path else []),
+        F.col("parent").alias("up"), (~is_root).alias("open"),
+    )
+    shape = StructType([*start.drop("open").schema.fields, *start.select("open").schema.fields, StructField("step", IntegerType())])
+    reached, left = written(start, 0)
+    step = 0
+    while reached and left:
+        all_ = spark.read.schema(shape).parquet(home)
         step += 1
-        grown.observe(seen, F.max("depth").alias("deepest")).write.parquet(f"{home}/step={step}")
-        front = grown
-        if (seen.get["deepest"] or 0) < step * HOPS:
-            break
-    near.unpersist()
-    reached = spark.read.schema(front.schema).parquet(home).drop("step")
-
-    rest = cut(edges.where("parent is not null").join(reached.select("id"), "id", "left_anti").select("id", "parent"))
-    ring = _rings(rest)
-    state = F.when(F.col("on").isNotNull(), "on_cycle").otherwise("below_cycle")
-    nowhere = rest.join(ring.select("id", F.lit(True).alias("on")), "id", "left").select(
-        "id", F.lit(None).cast("string").alias("root"), F.lit(-1).cast("bigint").alias("depth"), state.alias("status"),
+        low = all_.where((F.col("step") == step - 1) & F.col("open")).select("id", "depth", "up", *(["path"] * with_path))
+        high = all_.where(~F.col("open") | (F.col("step") == step - 1)).select([F.col(c).alias(f"x_{c}") for c in [*kept, "up", "open"]])
+        hit = F.coalesce(~F.col("x_open"), F.lit(False))
+        grown = _joined(low, high, left > hot_children, hot_children, splits).select(
+            "id", F.when(hit, F.col("x_root")).alias("root"), (F.col("depth") + F.coalesce("x_depth", F.lit(0))).alias("depth"), F.when(hit, F.col("x_status")).alias("status"),
+            # An upper end that the way up from the node has passed before is on a cycle: the way is kept no longer.
+            *([F.when(~F.array_contains("path", F.col("up")), F.concat("x_path", "path")).alias("path")] if with_path else []),
+            F.when(hit, None).otherwise(F.coalesce("x_up", "up")).alias("up"), (~hit).alias("open"),
+        )
+        reached, left = written(grown, step)
+    all_ = spark.read.schema(shape).parquet(home)
+    done = all_.where(~F.col("open")).select(*kept)
+    if not left:
+        return done
+
+    rest = all_.where((F.col("step") == step) & F.col("open")).select("id", "up")
+    ring = _rings(rest).select("id", F.lit(True).alias("on"))
+    nowhere = rest.join(ring, "id", "left").select(
+        "id", F.lit(None).cast("string").alias("root"), F.lit(-1).cast("bigint").alias("depth"), F.when(F.col("on"), "on_cycle").otherwise("below_cycle").alias("status"),
         *([F.lit(None).cast("array<string>").alias("path")] if with_path else []),
     )
-    return reached.unionByName(nowhere)
+    return done.unionByName(nowhere)
 
 
 def descendants(tree: DataFrame) -> DataFrame:

@@ -50,6 +50,21 @@ def test_deep_chain_and_hot_parent(spark):
     assert d["n39"] == 39 and d["z"] == 2 and len(d) == len(deep) + len(hot)
 
 
+def test_very_deep_chain(spark):
+    n = 100_000
+    e = spark.range(n).selectExpr("cast(id AS string) AS id", "CASE WHEN id > 0 THEN cast(id - 1 AS string) END AS parent", "false AS lost")
+    t = hierarchy(e, with_path=False)
+    assert t.where("depth = cast(id AS bigint) AND root = '0' AND status = 'tree'").count() == n
+
+
+def test_long_tails_below_cycles(spark):
+    e = [("a", "b", False), ("b", "a", False), ("t0", "a", False)] + [(f"t{i}", f"t{i - 1}", False) for i in range(1, 60)] + [("x", None, False)]
+    t = hierarchy(spark.createDataFrame(e, "id string, parent string, lost boolean"))
+    got = {r.id: (r.depth, r.status) for r in t.collect()}
+    assert got["a"] == got["b"] == (-1, "on_cycle") and got["x"] == (0, "tree")
+    assert all(got[f"t{i}"] == (-1, "below_cycle") for i in range(60)) and len(got) == len(e)
+
+
 def test_empty(spark):
     t = hierarchy(resolve_parents(spark.createDataFrame([], CARD)))
     assert t.count() == 0 and descendants(t).count() == 0
