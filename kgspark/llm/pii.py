@@ -1,17 +1,19 @@
 """Personal information inside free text: finding it and replacing it by typed pseudonyms.
 
-``find`` returns the spans of e-mail addresses, phone numbers, identity numbers, street addresses and
-person names of one text; ``redact`` replaces each by a placeholder of its type. Numbers keep their
-format: their digits go through a keyed Feistel permutation of all digit strings of that length, so
-equal numbers have equal pseudonyms in every document and spelling, different ones different ones, and
-the key holder can undo it. Letters (names, mailboxes, streets) get a keyed token. Dates inside an
-identity span would be permuted within the valid days (``permute_date``).
+``replaced`` is the operator: it finds the spans of e-mail addresses, phone numbers, identity numbers, street
+addresses and person names of each text, and of dates that stand beside an identity number or
+after a word for a birth, and puts ``[type:pseudonym]`` in their place. Pseudonyms are keyed permutations within the
+format of the value: the digits of a validated number (``valid_number``) go through a Feistel network over all
+digit strings of that length; where a check digit holds, the pseudonym's holds too; where none does, none
+appears by chance (cycle walking). Dates are permuted among the days of two centuries and written as the
+original was. So equal values have equal pseudonyms in every document and spelling, different ones different ones,
+and the key holder can undo it. Letters (names, mailboxes, streets) and digits that are no valid number get a keyed token.
 
 Scale: one pass of Arrow batches per table, without a shuffle; the texts are read whole and only rows
 and columns needed reach Python. The rules are fixed, so nothing is broadcast.
 
 Defined results: a null or blank text stays as it is and has no spans; where two rules claim
-overlapping spans the earlier in ``ORDER`` wins; repeated rows give repeated results.
+overlapping spans the earlier in ``ORDER`` wins; a date that no calendar has stays; repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -71,15 +73,114 @@ def permute_date(day: date, key: bytes, undo: bool = False) -> date:
             return FIRST_DAY + timedelta(days=n)
 
 
-def permute_number(text: str, key: bytes, kind: str) -> str:
-    """``text`` with its digits permuted together and everything else in place; a leading country code stays."""
+def _luhn(body: str) -> str:
+    total = 0
+    for i, c in enumerate(reversed(body)):
+        d = int(c) * (2 if i % 2 == 0 else 1)
+        total += d - 9 if d > 9 else d
+    return str(-total % 10)
+
+
+def _weighted(body: str, weights: tuple[int, ...]) -> str:
+    return str(sum(int(c) * w for c, w in zip(body, weights, strict=True)) % 11 % 10)
+
+
+def _inn12(body: str) -> str:
+    first = _weighted(body, (7, 2, 4, 10, 3, 5, 9, 4, 6, 8))
+    return first + _weighted(body + first, (3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8))
+
+
+def _snils(body: str) -> str:
+    return f"{sum(int(c) * (9 - i) for i, c in enumerate(body)) % 101 % 100:02d}"
+
+
+def _mod_11_10(body: str) -> str:
+    p = 10
+    for c in body:
+        p = (int(c) + p) % 10 or 10
+        p = p * 2 % 11
+    return str((11 - p) % 10)
+
+
+#: Check digits by length of an identity number, in the order they are tried: (their number, how they follow from the digits before).
+CHECKS: dict[int, tuple[tuple[int, Callable[[str], str]], ...]] = {
+    10: ((1, lambda b: _weighted(b, (2, 4, 10, 3, 5, 9, 4, 6, 8))),),
+    11: ((2, _snils), (1, _mod_11_10)),
+    12: ((2, _inn12),),
+    16: ((1, _luhn),),
+}
+
+
+def _check(digits: str) -> tuple[int, Callable[[str], str]] | None:
+    return next(((n, f) for n, f in CHECKS.get(len(digits), ()) if f(digits[:-n]) == digits[-n:]), None)
+
+
+def valid_number(digits: str, kind: str) -> bool:
+    """Whether digits can be a number of the kind: by length, and not one digit throughout."""
+    least, most = (7, 15) if kind == "phone" else (6, 26)
+    return least <= len(digits) <= most and len(set(digits)) > 1
+
+
+def permute_valid(digits: str, key: bytes, kind: str, undo: bool = False) -> str:
+    """A keyed permutation of the valid numbers of one length that keeps whether a check digit holds, and which."""
+    tweak = kind.encode()
+    found = _check(digits) if kind == "identity_number" else None
+    if found:
+        n, check = found
+        new = digits
+        while True:  # within the numbers whose first holding check is the same
+            body = permute_digits(new[:-n], key, tweak + b"|%d" % n, undo)
+            new = body + check(body)
+            if _check(new) == found and len(set(new)) > 1:
+                return new
+    new = digits
+    while True:
+        new = permute_digits(new, key, tweak, undo)
+        if len(set(new)) > 1 and not (kind == "identity_number" and _check(new)):
+            return new
+
+
+def permute_number(text: str, key: bytes, kind: str, undo: bool = False) -> str | None:
+    """``text`` with its digits permuted together and everything else in place, or None for no valid number.
+
+    A leading country code stays.
+    """
     m = re.match(r"\+(?:7|1|4\d|3\d)(?=\D|\d{10})", text) if kind == "phone" else None
     keep = m.end() if m else 0
     if kind == "phone" and not m and re.match(r"8\D?", text) and sum(c.isdigit() for c in text) == 11:
         keep = 1  # the domestic prefix stands for +7
     rest = text[keep:]
-    new = iter(permute_digits("".join(c for c in rest if c.isdigit()), key, kind.encode()))
-    return text[:keep] + "".join(next(new) if c.isdigit() else c for c in rest)
+    digits = "".join(str(int(c)) for c in rest if c.isdecimal())
+    if not valid_number(digits, kind):
+        return None
+    new = iter(permute_valid(digits, key, kind, undo))
+    return text[:keep] + "".join(next(new) if c.isdecimal() else c for c in rest)
+
+
+DATE = re.compile(r"(?<![\d.])(?:(?P<d>\d{1,2})(?P<s>[./-])(?P<m>\d{1,2})(?P=s)(?P<y>(?:19|20)\d\d)|(?P<y2>(?:19|20)\d\d)-(?P<m2>\d\d)-(?P<d2>\d\d))(?![\d])(?!\.\d)")
+_BORN = re.compile(r"(?:рожд\w*|д\.\s?р\.|г\.\s?р\.|born(?: on)?|birth(?: ?date|day)?|dob|geb(?:oren|urtsdatum)?\.?(?: am)?)\s*[:,—–-]?\s*$", re.I)
+#: Letters between an identity number and a date that belongs to it.
+BESIDE = 30
+
+
+def _day(m: re.Match) -> date | None:
+    try:
+        return date(int(m["y"] or m["y2"]), int(m["m"] or m["m2"]), int(m["d"] or m["d2"]))
+    except ValueError:
+        return None
+
+
+def permute_written(text: str, key: bytes, undo: bool = False) -> str | None:
+    """A written date with its day permuted and its spelling kept; None where no calendar has it.
+
+    Days are written with two digits, so that the length of the original does not tell them.
+    """
+    m = DATE.fullmatch(text)
+    day = m and _day(m)
+    if not day:
+        return None
+    new = permute_date(day, key, undo)
+    return f"{new:%Y-%m-%d}" if m["y2"] else f"{new:%d}{m['s']}{new:%m}{m['s']}{new:%Y}"
 
 
 def token(text: str, key: bytes, kind: str) -> str:
@@ -89,15 +190,7 @@ def token(text: str, key: bytes, kind: str) -> str:
 
 # ---------------------------------------------------------------- rules
 
-#: Given names and their short forms (Russian stems without the ending vowel or й).
-RU_GIVEN = (
-    "александр алексе андре антон артём борис вадим валенти валери василий викто витали владимир вячеслав геннади григори "
-    "дмитри евгени егор иван игор илья кирилл константин максим матве михаил никит никола олег павел пётр роман серге степан "
-    "тимур фёдор юри ярослав анастаси ангелин ан анн валентин варвар вероник виктори галин дарь екатерин елен елизавет жанн зо "
-    "ирин кристин ксени лиди людмил маргарит марин мари надежд наталь наталь нин оксан ольг полин раис светлан софи софь "
-    "тамар татьян ульян юли ян саш лёш лех алёш фед ван вов волод гриш дим мит жен кол кост кат ки лен лиз маш миш наст "
-    "наташ ол паш пет пол рит свет серёж слав сон тан тол тол юл юр яш аня ксюш даш"
-).split()
+#: Given names and their short forms.
 RU_NAMES = frozenset(
     "александр алексей андрей антон артем борис вадим валентин валерий василий виктор виталий владимир вячеслав геннадий "
     "григорий дмитрий евгений егор иван игорь илья кирилл константин максим матвей михаил никита николай олег павел петр роман "
@@ -128,6 +221,8 @@ ORDINARY = frozenset(
     "main login begin plugin admin berlin dublin within margin coin join again train certain remain captain domain captain "
     "sky whisky reason season lesson person comparison version valley volley alley trolley barley medley parsley oxford "
     "baby hobby lobby standby nearby ruby sandwich wicked session mission commission john benjamin katherine catherine catalog "
+    "january february march april june july august september october november december monday tuesday wednesday thursday friday saturday sunday "
+    "montag dienstag mittwoch donnerstag freitag samstag sonntag januar februar märz mai juni juli oktober dezember "
     "звук наук бамбук стук внук звука внука сундук каблук паук крюк люк утюг сюртук".split()
 )
 _TITLE = re.compile(r"[^\W\d_]+")
@@ -195,7 +290,9 @@ ADDRESS_EN = re.compile(
 ADDRESS_DE = re.compile(r"[A-ZÄÖÜ][\w-]*(?:straße|strasse|str\.|weg|platz|gasse|allee|ufer|damm)\s+\d{1,4}\s?[a-z]?(?!\w)|(?:Am|An der|Im)\s[A-ZÄÖÜ]\w+\s\d{1,3}(?=,\s\d{5})")
 
 #: Types in order of precedence over overlapping spans.
-ORDER = ("email", "street_address", "identity_number", "phone", "person_name")
+ORDER = ("email", "street_address", "identity_number", "phone", "date", "person_name")
+#: The types of personal information; dates are replaced beside them and are none themselves.
+TYPES = tuple(k for k in ORDER if k != "date")
 
 
 def _given(word: str) -> bool:
@@ -263,6 +360,10 @@ _INITIALS = re.compile(rf"\s?(?:{_INIT_RU}|{_INIT_EN}|[А-ЯЁA-Z]{{1,2}}(?![\w.
 _INITIALS_AHEAD = re.compile(rf"(?:{_INIT_RU}|{_INIT_EN})\s?$")
 
 
+#: A capitalised word right behind a given name: any in Latin letters, one with an ending of family names in Cyrillic.
+_FAMILY_NEXT = re.compile(r"\s([A-Z][a-zäöüßéèçñ'’-]{2,}|[А-ЯЁ][а-яё-]*(?:янц?|дзе|швили|ец|ич|[ыи]х|ко|ой|ман|штейн|берг|[аяи]к|ль|ер))(?![\w@])(?<!['’-])")
+#: Two initials and a capitalised word.
+_TWO_INITIALS = re.compile(r"(?<![\w.])(?:[А-ЯЁ]\.\s?[А-ЯЁ]\.\s?[А-ЯЁ][а-яё-]{2,}|[A-Z]\.\s?[A-Z]\.\s?[A-Z][a-z'’-]{2,})(?!\w)")
 _BESIDE = re.compile(r",?\s([А-ЯЁA-Z][а-яёa-z]+)")
 _BESIDE_BACK = re.compile(r"([А-ЯЁA-Z][а-яёa-z]+),?\s$")
 
@@ -287,7 +388,11 @@ def _names(text: str, shouted: bool = False) -> Iterator[tuple[int, int]]:
                 near = _BESIDE.match(text, b), _BESIDE_BACK.search(text[max(0, a - 24) : a])
                 if not any(x and _word_kind(x.group(1)) == 3 for x in near):
                     continue
+            if _word_kind(m.group()) == 3 and not shouted and (next_ := _FAMILY_NEXT.match(text, b)) and next_.group(1).lower() not in ORDINARY:
+                b = next_.end()
             yield a, b
+    for m in _TWO_INITIALS.finditer(text):
+        yield m.span()
     for m in _SLOT.finditer(text):
         g = "a" if m.group("a") else "b"
         words = _CAPWORD.findall(m.group(g))
@@ -329,9 +434,21 @@ def find(text: str) -> list[tuple[int, int, str]]:
         for rx in (ADDRESS_RU, ADDRESS_EN, ADDRESS_DE):
             spans += [(*m.span(), "street_address") for m in rx.finditer(text)]
         for rx in (IDENTITY, IDENTITY_BACK):
-            spans += [(*m.span("n"), "identity_number") for m in rx.finditer(text) if sum(c.isdigit() for c in m.group("n")) >= 6]
+            for m in rx.finditer(text):
+                a, b = m.span("n")
+                day = DATE.search(text, a, b)
+                if day and day.start() > a:  # a date that follows a number is none of its digits
+                    b = a + len(re.sub(r"\D+$", "", text[a : day.start()]))
+                if sum(c.isdigit() for c in text[a:b]) >= 6:
+                    spans.append((a, b, "identity_number"))
         spans += [(*m.span(), "phone") for m in PHONE.finditer(text) if 7 <= sum(c.isdigit() for c in m.group()) <= 15]
         spans += [(*m.span("n"), "phone") for m in PHONE_CUED.finditer(text) if 7 <= sum(c.isdigit() for c in m.group("n")) <= 15]
+        numbers = [(a, b) for a, b, kind in spans if kind == "identity_number"]
+        for m in DATE.finditer(text):
+            a, b = m.span()
+            beside = any(0 <= a - y <= BESIDE or 0 <= x - b <= BESIDE for x, y in numbers) or _BORN.search(text[max(0, a - 24) : a])
+            if beside and _day(m):
+                spans.append((a, b, "date"))
     shown = text
     if text.isupper():
         shown = _TITLE.sub(lambda m: m.group()[0] + m.group()[1:].lower(), text)
@@ -346,35 +463,32 @@ def find(text: str) -> list[tuple[int, int, str]]:
     return sorted(kept)
 
 
-def redact(text: str, key: bytes) -> str:
-    """The text with each span replaced by ``[type:pseudonym]``; the rest is unchanged."""
-    out, at = [], 0
+def replace(text: str, key: bytes) -> tuple[str, list[str]]:
+    """The text with each span replaced by ``[type:pseudonym]`` and the rest unchanged, and the types that occur."""
+    out, at, kinds = [], 0, set()
     for a, b, kind in find(text):
         piece = text[a:b]
-        pseudo = permute_number(piece, key, kind) if kind in ("phone", "identity_number") else token(piece, key, kind)
-        out += [text[at:a], f"[{kind}:{pseudo}]"]
+        pseudo = permute_written(piece, key) if kind == "date" else permute_number(piece, key, kind) if kind in ("phone", "identity_number") else None
+        out += [text[at:a], f"[{kind}:{pseudo or token(piece, key, kind)}]"]
         at = b
-    return "".join([*out, text[at:]])
-
+        kinds.add(kind)
+    return "".join([*out, text[at:]]), sorted(kinds.intersection(TYPES))
 
-def _map_text(df: DataFrame, row: Callable[[str], object], field: str, kind: pa.DataType, schema: str) -> DataFrame:
-    """(src, row_key, text) -> (src, row_key, field)."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [None if t is None else row(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, kind)], ["src", "row_key", field])
 
-    return df.select("src", "row_key", "text").mapInArrow(scan, schema)
+def redact(text: str, key: bytes) -> str:
+    return replace(text, key)[0]
 
 
-def pii_types(df: DataFrame) -> DataFrame:
-    """(src, row_key, kinds): the distinct types found in each text."""
-    return _map_text(df, lambda t: sorted({s[2] for s in find(t)}), "kinds", pa.list_(pa.string()), "src string, row_key string, kinds array<string>")
+def replaced(df: DataFrame, key: bytes) -> DataFrame:
+    """(src, row_key, text, kinds) from (src, row_key, text): the texts with pseudonyms and the types found in each."""
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [(None, None) if t is None else replace(t, key) for t in b.column(2).to_pylist()]
+            cols = [pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["src", "row_key", "text", "kinds"])
 
-def redacted(df: DataFrame, key: bytes) -> DataFrame:
-    return _map_text(df, lambda t: redact(t, key), "text", pa.string(), "src string, row_key string, text string")
+    return df.select("src", "row_key", "text").mapInArrow(scan, "src string, row_key string, text string, kinds array<string>")
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -384,17 +498,20 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return m.unionByName(z.select(F.lit("zettel").alias("src"), F.col("zettel_id").alias("row_key"), F.col("content").alias("text")))
 
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii_types(_texts(spark, d).where("text is not null")).select("src", "row_key", F.explode("kinds").alias("pii_type")).distinct()
-
-
 #: Stands in where no secret is configured; a real run sets ``spark.kgspark.pseudonymKey``.
 DEFAULT_KEY = "not-a-secret"
 
 
+def _replaced(spark: SparkSession, d: str) -> DataFrame:
+    return replaced(_texts(spark, d), spark.conf.get("spark.kgspark.pseudonymKey", DEFAULT_KEY).encode())
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _replaced(spark, d).select("src", "row_key", F.explode("kinds").alias("pii_type")).distinct()
+
+
 def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
-    key = spark.conf.get("spark.kgspark.pseudonymKey", DEFAULT_KEY).encode()
-    return redacted(_texts(spark, d), key)
+    return _replaced(spark, d).select("src", "row_key", "text")
 
 
 QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted}

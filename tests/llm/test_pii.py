@@ -34,6 +34,12 @@ def kinds(text):
         ("From now on Liz R. Grarogizhwick leads Katana", [("Liz R. Grarogizhwick", "person_name")]),
         ("Глубина просмотра выросла. По проекту Вусашида тихо.", []),
         ("", []),
+        # texts unlike those of the tables
+        ("Ask Robert Kowalski or A. S. Byatt.", [("Robert Kowalski", "person_name"), ("A. S. Byatt", "person_name")]),
+        ("Вчера Ирина Гогоберидзе и Н. В. Гоголь спорили", [("Ирина Гогоберидзе", "person_name"), ("Н. В. Гоголь", "person_name")]),
+        ("Steuer-ID 86095742719, geb. am 05.03.1981", [("86095742719", "identity_number"), ("05.03.1981", "date")]),
+        ("паспорт 4805 953566, выдан 12/03/2010, сдать 01.02.2026 г.", [("4805 953566", "identity_number"), ("12/03/2010", "date"), ("01.02.2026", "date")]),
+        ("Отчёт от 12.03.2010, версия 1.2.2010", []),
     ],
 )
 def test_find(text, want):
@@ -62,6 +68,33 @@ def test_dates_round_trip():
     assert len(seen) == 4 and pii.permute_date(date(1800, 1, 1), KEY) == date(1800, 1, 1)
 
 
+CHECKED = ["7707083893", "11223344595", "86095742719", "500100732259", "4539578763621486"]
+
+
+@pytest.mark.parametrize("digits", [*CHECKED, "7707083894", "12345678901", "4805953566", "123456", "500100732250"])
+def test_numbers_keep_length_and_check_digits(digits):
+    new = pii.permute_valid(digits, KEY, "identity_number")
+    assert len(new) == len(digits) and new != digits and pii.permute_valid(new, KEY, "identity_number", undo=True) == digits
+    assert pii._check(new) == pii._check(digits) and (pii._check(digits) is not None) == (digits in CHECKED)
+
+
+def test_no_valid_number_and_no_calendar_date():
+    assert pii.permute_number("000 000 000", KEY, "phone") is None and pii.permute_number("12 34", KEY, "identity_number") is None
+    assert pii.permute_written("31.02.2001", KEY) is None and pii.permute_written("1.2.2001 г", KEY) is None
+
+
+@pytest.mark.parametrize("text", ["05.03.1981", "05/03/1981", "1981-03-05", "05-03-1981"])
+def test_written_dates_round_trip_and_stay_linked(text):
+    new = pii.permute_written(text, KEY)
+    assert new != text and pii.permute_written(new, KEY, undo=True) == text
+    m, first = pii.DATE.fullmatch(new), pii.DATE.fullmatch(pii.permute_written("05.03.1981", KEY))
+    assert pii._day(m) == pii._day(first)
+    line = f"born {text}, passport 4805 953566"
+    out = pii.redact(line, KEY)
+    assert out == f"born [date:{new}], passport [identity_number:{pii.permute_number('4805 953566', KEY, 'identity_number')}]"
+    assert pii.replace(line, KEY)[1] == ["identity_number"]
+
+
 def test_equal_numbers_stay_linked_and_text_is_kept():
     a, b = pii.redact("моб +7 036 357-16-75 вечером", KEY), pii.redact("Call +7 (036) 357 16 75.", KEY)
     digits = lambda s: "".join(c for c in s if c.isdigit())
@@ -75,6 +108,6 @@ def test_equal_numbers_stay_linked_and_text_is_kept():
 
 def test_table_edges(spark):
     df = spark.createDataFrame([("m", "1", None, 0), ("m", "2", "", 0), ("m", "3", "a@b.test", 0), ("m", "3", "a@b.test", 0), ("m", "4", "x " * 200_000 + "a@b.test", 0), (None, None, "555-0101", 0)], "src string, row_key string, text string, kinds int")
-    got = {r.row_key: r.kinds for r in pii.pii_types(df).collect()}
+    got = {r.row_key: r.kinds for r in pii.replaced(df, KEY).collect()}
     assert got == {"1": None, "2": [], "3": ["email"], "4": ["email"], None: ["phone"]}
-    assert pii.redacted(df.limit(0), KEY).count() == 0
+    assert pii.replaced(df.limit(0), KEY).count() == 0
