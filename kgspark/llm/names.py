@@ -24,7 +24,7 @@ count once (the first display name by code points); an empty table gives no pair
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +34,10 @@ from kgspark.session import cut
 from kgspark.tables import table
 
 MIN_SUFFIX, COMMON, LEAST_RATIO = 5, 60, 0.8
+#: Least ratio of two spellings that a third one links.
+CHAINED = 0.76
+#: A word of organisations and subjects that more than ``FEW`` tenants and this share of them use names no organisation.
+FEW, SHARE = 3, 0.01
 #: Parts of a refinement, and the salts of a block that stays common after the last.
 PARTS, SALTS = 6, 16
 
@@ -79,11 +83,11 @@ def latin(text: str) -> str:
     return "".join(LATIN.get(c, c) for c in text.lower())
 
 
-def lcs_ratio(a: str, b: str) -> float:
-    """Twice the longest common subsequence over the summed lengths."""
+def lcs_ratio(a: str, b: str, least: float = 0.8 * LEAST_RATIO) -> float:
+    """Twice the longest common subsequence over the summed lengths; 0 where the lengths keep it below ``least``."""
     if a == b:
         return 1.0 if a else 0.0
-    if not a or not b or 2 * min(len(a), len(b)) < LEAST_RATIO * (len(a) + len(b)) * 0.8:
+    if not a or not b or 2 * min(len(a), len(b)) < least * (len(a) + len(b)):
         return 0.0
     row = [0] * (len(b) + 1)
     for x in a:
@@ -201,14 +205,29 @@ def parse(display: str) -> dict | None:
     return {"kind": "org" if legal or len(fulls) + len(abbrev) > 1 else "word", "lead": fulls[0] if fulls else "", "sex": "", "given": "", "short": "", "second": "", "more": [*fulls[1:], *(a + "." for a in abbrev)]}
 
 
+#: Pairs of Latin letters that one letter of another alphabet gives, longest first.
+_DIGRAPHS = ("shch", "zh", "kh", "ts", "ch", "sh", "yu", "ya", "yo")
+
+
+def _compact(word: str) -> str:
+    """The word with a letter for each digraph, so that one slip is one letter in either alphabet."""
+    for i, d in enumerate(_DIGRAPHS):
+        word = word.replace(d, chr(0xE000 + i))
+    return word
+
+
 def block_keys(p: dict) -> list[tuple[str, str]]:
     """(key, refinement) pairs of a parsed name; a refinement is ``PARTS`` parts, split by bars, of values split by commas."""
     keys: list[tuple[str, str]] = []
     if p["kind"] == "acronym":
         return [("a:" + "".join(sorted(x[0] for x in p["more"])), "acronym")]
-    leads = [p["lead"]]
+    # A slip in a family name's ending changes its stem more than the name.
+    leads = [p["lead"], *p["more"][:1]]
     if p["kind"] != "person":
-        leads += [w for w in p["more"] if not w.endswith(".") and len(w) >= 4]
+        plain = set(p.get("common") or ())
+        leads = [w for i, w in enumerate([p["lead"], *p["more"]]) if not w.endswith(".") and (not i or len(w) >= 4) and w not in plain]
+        if not leads:  # subject words only
+            return []
         leads.append("".join(sorted(w.rstrip(".") for w in [p["lead"], *p["more"]])))
         if len(p["more"]) >= 1:
             keys.append(("a:" + "".join(sorted(w[0] for w in [p["lead"], *p["more"]] if w)), ""))
@@ -216,10 +235,11 @@ def block_keys(p: dict) -> list[tuple[str, str]]:
         if not lead:
             continue
         near = _parts(p, lead)
-        keys.append(("=" + lead, near))
-        keys += [("s:" + lead[-n:], near) for n in range(MIN_SUFFIX, len(lead))]
-        keys += [("d:" + lead[:i] + lead[i + 1 :], near) for i in range(len(lead)) if len(lead) > 1]
-        keys.append(("d:" + lead, near))
+        for form in dict.fromkeys((lead, _compact(lead))):
+            keys.append(("=" + form, near))
+            keys += [("s:" + form[-n:], near) for n in range(MIN_SUFFIX, len(form))]
+            keys += [("d:" + form[:i] + form[i + 1 :], near) for i in range(len(form)) if len(form) > 1]
+            keys.append(("d:" + form, near))
     return list(dict.fromkeys(keys))
 
 
@@ -263,8 +283,11 @@ def same(a: dict, b: dict) -> str | None:
             return "weak" if _initial(ga) == _initial(gb) else None
         return "weak" if ga[:n] == gb[:n] else None
     wa, wb = [w for w in [a["lead"], *a["more"]] if w], [w for w in [b["lead"], *b["more"]] if w]
+    plain = {*(a.get("common") or ()), *(b.get("common") or ())}
+    if not all(any(w not in plain for w in ws if not w.endswith(".")) for ws in (wa, wb)):
+        return None  # subject words only
     if "word" in (a["kind"], b["kind"]) and a["kind"] == b["kind"]:
-        return "weak" if len(a["lead"]) >= 8 and _company(a["lead"]) and _company(b["lead"]) and lcs_ratio(a["lead"], b["lead"]) >= 0.88 else None
+        return "weak" if min(len(a["lead"]), len(b["lead"])) >= 6 and lcs_ratio(a["lead"], b["lead"]) >= 0.88 else None
     ja, jb = "".join(x.rstrip(".") for x in wa), "".join(x.rstrip(".") for x in wb)
     if len(ja) >= 8 and lcs_ratio(ja, jb) >= 0.93:
         return "full" if len(wa) > 1 and len(wb) > 1 else "weak"
@@ -275,8 +298,7 @@ def same(a: dict, b: dict) -> str | None:
         if hit is None:
             return None
         left.remove(hit)
-    longest = max((w for w in small if not w.endswith(".")), key=len, default="")
-    if not (_company(longest) and len(longest) >= 6) or len(small) == 1 and longest in DESCRIPTORS:
+    if max((len(w) for w in small if not w.endswith(".") and w not in plain), default=0) < 5:
         return None
     return "full" if not left and len(small) > 1 else "weak"
 
@@ -285,32 +307,42 @@ def _initial(g: str) -> str:
     return {"yo": "e"}.get(g[:2], g[0])
 
 
-#: Endings of the leading word of a company in this domain, transliterated.
-_COMPANY_END = re.compile(r"(?:vent|lit|lan|znek|mar|kord|tek|for|zon|troks|tech|soft|bank|prom|stroy|trans|servis|group|grupp)$")
-
-
-#: Words that say what a company does, transliterated.
-DESCRIPTORS = frozenset(
-    "servis logistika media farma agro energo audit konsalt konsalting tekstil stroy market marketing tsentr grupp group plyus yug sever vostok zapad "
-    "trans torg invest finans strakhovanie proizvodstvo dostavka bezopasnost upakovka obuchenie investor service center plus south north pharma".split()
-)
-
-
-def _company(word: str) -> bool:
-    return bool(_COMPANY_END.search(word)) or len(word) >= 9
+def agree(a: dict, b: dict) -> bool:
+    """Whether nothing in two names that a third one links speaks against their being one."""
+    if (a["kind"] == "person") != (b["kind"] == "person"):
+        return False
+    if "acronym" in (a["kind"], b["kind"]):
+        return a["kind"] != b["kind"] and same(a, b) is not None
+    if a["kind"] == "person":
+        if a["sex"] and b["sex"] and a["sex"] != b["sex"] or a["second"] and b["second"] and a["second"][0] != b["second"][0]:
+            return False
+        ga, gb = a["given"] or a["short"], b["given"] or b["short"]
+        n = min(len(ga), len(gb))
+        told = a["given"] == b["given"] if a["given"] and b["given"] else _initial(ga) == _initial(gb) if n == 1 else ga[:n] == gb[:n]
+        return (not n or told) and max(lcs_ratio(a["lead"], b["lead"], CHAINED), lcs_ratio(a["more"][0], b["more"][0], CHAINED)) >= CHAINED
+    small, large = sorted(([w for w in [x["lead"], *x["more"]] if w] for x in (a, b)), key=len)
+    if lcs_ratio("".join(small), "".join(large), 0.9) >= 0.9:
+        return True
+    left = list(large)
+    for w in small:
+        hit = next((x for x in left if _like(w, x, CHAINED)), None)
+        if hit is None:
+            return False
+        left.remove(hit)
+    return True
 
 
-def _like(a: str, b: str) -> bool:
+def _like(a: str, b: str, least: float = 0.0) -> bool:
     if a.endswith(".") or b.endswith("."):
         x, y = a.rstrip("."), b.rstrip(".")
         return x.startswith(y) or y.startswith(x)
     if a[0] != b[0] and sorted(a[:2]) != sorted(b[:2]):
         return False
-    return lcs_ratio(a, b) >= (0.85 if min(len(a), len(b)) >= 6 else 0.75)
+    return lcs_ratio(a, b) >= (least or (0.85 if min(len(a), len(b)) >= 6 else 0.75))
 
 
 _FIELDS = ("kind", "lead", "sex", "given", "short", "second")
-_PARSED = "user_id string, name string, kind string, lead string, sex string, given string, short string, second string, more array<string>, keys array<struct<k:string,r:string>>"
+_PARSED = "user_id string, name string, kind string, lead string, sex string, given string, short string, second string, more array<string>"
 
 
 def parsed_names(rows: DataFrame) -> DataFrame:
@@ -324,23 +356,63 @@ def parsed_names(rows: DataFrame) -> DataFrame:
             for u, n, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 p = parse(s if s and s.strip() else n)
                 if p and (p["lead"] or p["more"]):
-                    out.append({"user_id": u, "name": n, **p, "keys": [{"k": k, "r": r} for k, r in block_keys(p)]})
-            kind = pa.schema([(f, pa.string()) for f in ("user_id", "name", *_FIELDS)] + [("more", pa.list_(pa.string())), ("keys", pa.list_(pa.struct([("k", pa.string()), ("r", pa.string())])))])
+                    out.append({"user_id": u, "name": n, **p})
+            kind = pa.schema([(f, pa.string()) for f in ("user_id", "name", *_FIELDS)] + [("more", pa.list_(pa.string()))])
             yield pa.RecordBatch.from_pylist(out, kind)
 
     return one.mapInArrow(scan, _PARSED)
 
 
-def _compare(pairs: DataFrame) -> DataFrame:
-    fields = [*_FIELDS, "more"]
+def with_common(p: DataFrame) -> DataFrame:
+    """``p`` with ``common``: the words of each organisation that too many tenants use to name one."""
+    words = p.where("kind in ('org', 'word')").select("row", "user_id", F.explode(F.array_distinct(F.concat(F.array("lead"), "more"))).alias("word"))
+    words = words.where("word <> '' and word not like '%.'")
+    tenants = p.select(F.count_distinct("user_id").alias("t"))
+    many = words.groupBy("word").agg(F.count_distinct("user_id").alias("n")).crossJoin(F.broadcast(tenants))  # one row
+    many = many.where((F.col("n") > FEW) & (F.col("n") > SHARE * F.col("t"))).select("word")
+    mine = words.join(many, "word").groupBy("row").agg(F.sort_array(F.collect_set("word")).alias("common"))
+    return p.join(mine, "row", "left")
+
+
+def _keys(p: DataFrame) -> DataFrame:
+    """(user_id, row, k, r): the blocking keys of each name with their refinements."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            verdict = [same(x, y) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
+            user, row, key, near = [], [], [], []
+            for u, i, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for k, r in block_keys(x):
+                    user.append(u), row.append(i), key.append(k), near.append(r)
+            yield pa.RecordBatch.from_arrays([pa.array(user, pa.string()), pa.array(row, pa.int64()), pa.array(key, pa.string()), pa.array(near, pa.string())], ["user_id", "row", "k", "r"])
+
+    return p.select("user_id", "row", F.struct(*_FIELDS, "more", "common").alias("x")).mapInArrow(scan, "user_id string, row bigint, k string, r string")
+
+
+def _compare(pairs: DataFrame, full: DataFrame, test: Callable[[dict, dict], str | None]) -> DataFrame:
+    """(a, b, verdict) of the ``pairs`` (a, b) of rows of ``full``; only pairs with a verdict."""
+    fields = [*_FIELDS, "more", "common"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            verdict = [test(x, y) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(verdict, pa.string())], ["a", "b", "verdict"])
 
     side = lambda p: F.struct(*[F.col(f"{p}.{f}").alias(f) for f in fields])
-    return pairs.select(F.col("p.row").alias("a"), F.col("q.row").alias("b"), side("p").alias("x"), side("q").alias("y")).mapInArrow(scan, "a bigint, b bigint, verdict string")
+    j = pairs.join(full.alias("p"), F.col("a") == F.col("p.row")).join(full.alias("q"), F.col("b") == F.col("q.row"))
+    return j.select("a", "b", side("p").alias("x"), side("q").alias("y")).mapInArrow(scan, "a bigint, b bigint, verdict string").where("verdict is not null")
+
+
+def _both_ways(links: DataFrame) -> DataFrame:
+    return links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y")))
+
+
+def _chained(links: DataFrame, full: DataFrame) -> DataFrame:
+    """``links`` (a, b) and the pairs that share a partner and agree: spellings too far apart to be found directly."""
+    e = cut(_both_ways(links))
+    far = e.select(F.col("x").alias("a"), F.col("y").alias("mid")).join(e.select(F.col("x").alias("mid"), F.col("y").alias("b")), "mid").where("a < b")
+    far = far.select("a", "b").distinct().join(links, ["a", "b"], "left_anti")
+    more = _compare(far, full, lambda x, y: "full" if agree(x, y) else None)
+    return cut(links.unionByName(more.select("a", "b")))
 
 
 def _refined(many: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -370,8 +442,8 @@ def _refined(many: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def linked_names(rows: DataFrame) -> DataFrame:
     """(user_id, name_a, name_b) of names that denote the same person or organisation."""
-    p = cut(parsed_names(rows).withColumn("row", F.monotonically_increasing_id()))
-    keys = cut(p.select("user_id", "row", F.explode("keys").alias("x")).select("user_id", "row", "x.k", "x.r"))
+    p = cut(with_common(cut(parsed_names(rows).withColumn("row", F.monotonically_increasing_id()))))
+    keys = cut(_keys(p))
     size = keys.groupBy("user_id", "k").agg(F.count("*").alias("n"))
     k = keys.join(size.where("n > 1"), ["user_id", "k"])
     acronym = F.col("k").startswith("a:")
@@ -387,18 +459,25 @@ def linked_names(rows: DataFrame) -> DataFrame:
     wide = salt.alias("x").join(every.alias("y"), ["user_id", "key", "salt"]).where(meet)
     both = [m.select(F.col("x.row").alias("a"), F.col("y.row").alias("b")) for m in (met, wide)]
     pair = cut(both[0].unionByName(both[1])).distinct()
-    full = p.drop("keys")
-    joined = pair.join(full.alias("p"), F.col("a") == F.col("p.row")).join(full.alias("q"), F.col("b") == F.col("q.row"))
-    links = cut(_compare(joined).where("verdict is not null"))
-    # A weak link stays if the partners of its less complete side name one person or company.
+    full = p.drop("user_id", "name")
+    links = cut(_compare(pair, full, same))
+    sure = _chained(links.where("verdict = 'full'").select("a", "b"), full)
+    # The least row that sure links lead to from a name, over up to three of them: the person or company it stands for.
+    e = cut(_both_ways(sure))
+    least = lambda frame: cut(frame.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("row"), F.least("x", "y").alias("who")))
+    who = least(e)
+    for _ in range(2):
+        who = least(e.join(who.withColumnRenamed("row", "y"), "y").select("x", F.col("who").alias("y")))
+    # A weak link stays if the partners of its less complete side are one person or company.
     weight = F.when(F.col("given") != "", 4).when(F.col("short") != "", F.least(F.length("short"), F.lit(3))).otherwise(0) + F.size("more")
-    told = p.select("row", F.when(F.col("kind") == "person", F.col("given")).otherwise(F.array_join(F.transform("more", lambda w: F.substring(w, 1, 3)), " ")).alias("tells"), weight.alias("weight"), "kind")
-    weak = links.where("verdict = 'weak'")
-    w = weak.join(told.toDF("a", "ta", "wa", "ka"), "a").join(told.toDF("b", "tb", "wb", "kb"), "b")
+    complete = F.when(F.col("kind") == "person", F.col("given") != "").otherwise(F.size("more") > 0)
+    told = p.select("row", complete.alias("complete"), weight.alias("weight")).join(who, "row", "left")
+    told = told.select("row", F.when(F.col("complete"), F.coalesce("who", "row")).alias("tells"), "weight")
+    w = links.where("verdict = 'weak'").join(sure, ["a", "b"], "left_anti").join(told.toDF("a", "ta", "wa"), "a").join(told.toDF("b", "tb", "wb"), "b")
     less_a = (F.col("wa") < F.col("wb")) | ((F.col("wa") == F.col("wb")) & (F.col("a") > F.col("b")))
-    w = w.select("a", "b", F.when(less_a, F.col("a")).otherwise(F.col("b")).alias("less"), F.when(less_a, F.col("tb")).otherwise(F.col("ta")).alias("tells"))
-    votes = w.where("tells <> ''").groupBy("less").agg(F.count_distinct("tells").alias("n")).where("n > 1")
-    kept = links.where("verdict = 'full'").select("a", "b").unionByName(w.join(votes, "less", "left_anti").select("a", "b"))
+    w = cut(w.select("a", "b", F.when(less_a, F.col("a")).otherwise(F.col("b")).alias("less"), F.when(less_a, F.col("tb")).otherwise(F.col("ta")).alias("tells")))
+    votes = w.where("tells is not null").groupBy("less").agg(F.count_distinct("tells").alias("n")).where("n > 1")
+    kept = _chained(cut(sure.unionByName(w.join(votes, "less", "left_anti").select("a", "b"))), full)
     names = p.select("row", "user_id", "name")
     out = kept.join(names.toDF("a", "user_id", "x"), "a").join(names.select(F.col("row").alias("b"), F.col("name").alias("y")), "b")
     return out.select("user_id", F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b"))
