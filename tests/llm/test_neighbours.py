@@ -59,3 +59,17 @@ def test_equal_vectors_take_the_smallest_ids(spark):
 def test_few_or_no_vectors(spark):
     assert n.nearest(make(spark, [np.ones(64)])).count() == 0
     assert n.nearest(make(spark, [np.ones(64)]).limit(0)).count() == 0
+
+
+def test_large_leaves_get_trees_of_their_own(spark):
+    """A tree fitted on some 100 rows has a dozen leaves; recall holds and most of the products are saved."""
+    rng = np.random.default_rng(5)
+    c = rng.normal(size=(400, 64))
+    x = c[rng.integers(0, 400, 8000)] + 0.25 * rng.normal(size=(8000, 64))
+    y = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    assert sum(len(a) * len(p) for a, p in n._pieces(y, y[:800], 4, 1000)) < 0.5 * 8000 * 800
+    got = {}
+    for r in n.nearest(make(spark, x), most=100, split=500).collect():
+        got.setdefault(int(r.id[1:]), set()).add(int(r.other[1:]))
+    want = truth(x)
+    assert np.mean([len(got[i] & set(want[i].tolist())) / 3 for i in range(8000)]) >= 0.98
