@@ -7,16 +7,23 @@ from pyspark.sql import functions as F
 
 from kgspark.functions import scores
 
-#: Metric, category, direction (up, down, target), low, high, target.
+#: Metric, category, direction (up, down, target), bounds, target.
 METRICS = (
-    ("count_ratio", "coverage", "target", 0.0, 1.0, 1.0),
-    ("count_mae", "coverage", "down", 0.0, 10.0, None),
-    ("valid_share", "hierarchy", "up", 0.0, 1.0, None),
-    ("parent_consistency", "hierarchy", "up", 0.0, 1.0, None),
-    ("depth_mae", "hierarchy", "down", 0.0, 5.0, None),
-    ("tag_f1", "tags", "up", 0.0, 1.0, None),
-    ("type_overlap", "types", "up", 0.0, 1.0, None),
-    ("latency_ms", "speed", "down", 0.0, 15000.0, None),
+    ("latency_ms_total", "Производительность", "down", 0.0, 30000.0, None),
+    ("count_ratio", "Декомпозиция", "target", 0.0, 2.0, 1.0),
+    ("count_mae", "Декомпозиция", "down", 0.0, 10.0, None),
+    ("pred_hierarchy_valid_ratio", "Иерархия", "up", 0.0, 1.0, None),
+    ("root_count_delta", "Иерархия", "down", 0.0, 10.0, None),
+    ("depth_mae", "Иерархия", "down", 0.0, 5.0, None),
+    ("tag_f1", "Теги", "up", 0.0, 1.0, None),
+    ("tag_precision", "Теги", "up", 0.0, 1.0, None),
+    ("tag_recall", "Теги", "up", 0.0, 1.0, None),
+    ("semantic_similarity_mean", "Семантика", "up", 0.0, 1.0, None),
+    ("semantic_coverage_ratio", "Семантика", "up", 0.0, 1.0, None),
+    ("hallucination_ratio", "Семантика", "down", 0.0, 1.0, None),
+    ("faithfulness_score", "Качество", "up", 0.0, 1.0, None),
+    ("hallucination_score", "Качество", "down", 0.0, 1.0, None),
+    ("thought_type_distribution_overlap", "Типы мыслей", "up", 0.0, 1.0, None),
 )
 
 
@@ -30,16 +37,16 @@ def normalised(means: DataFrame, cfg: DataFrame) -> DataFrame:
     s = (
         F.when(F.col("direction") == "up", scores.bounded(F.col("value"), F.col("lo"), F.col("hi")))
         .when(F.col("direction") == "down", scores.inverted(F.col("value"), F.col("lo"), F.col("hi")))
-        .otherwise(scores.on_target(F.col("value"), F.col("target"), F.col("hi") - F.col("lo")))
+        .otherwise(scores.on_target(scores.clip(F.col("value"), F.col("lo"), F.col("hi")), F.col("target"), F.greatest(F.abs(F.col("lo") - F.col("target")), F.abs(F.col("hi") - F.col("target")))))
     )
-    return x.select("model", "metric", "category", F.round(s, 4).alias("score"))
+    return x.select("model", "metric", "category", s.alias("score"))
 
 
 def category_scores(norm: DataFrame) -> DataFrame:
-    """Mean score per model and category, and ``overall`` as the mean of the categories."""
-    c = norm.groupBy("model", "category").agg(F.avg("score").alias("s"))
-    o = c.groupBy("model").agg(F.avg("s").alias("s")).withColumn("category", F.lit("overall"))
-    return c.unionByName(o).select("model", "category", F.round("s", 6).alias("score"))
+    """Mean score per model and category, and ``overall`` as the mean of all its metrics."""
+    g = norm.groupBy("model", "category").agg(F.sum("score").alias("t"), F.count("score").alias("n"))
+    o = g.groupBy("model").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).withColumn("category", F.lit("overall"))
+    return g.unionByName(o).select("model", "category", F.round(F.col("t") / F.col("n"), 6).alias("score"))
 
 
 def cost_blend(rows: DataFrame, weight: float = 0.15) -> DataFrame:
@@ -71,21 +78,23 @@ def ranking(rows: DataFrame, score: str) -> DataFrame:
     r = F.row_number().over(Window.orderBy(F.desc(score), "model"))
     medal = F.when(r == 1, "gold").when(r == 2, "silver").when(r == 3, "bronze").otherwise("")
     pct = F.floor(F.col(score) * 100)
-    return rows.select("model", r.cast("bigint").alias("rank"), medal.alias("medal"), pct.cast("bigint").alias("percent"), F.repeat(F.lit("#"), F.floor(pct / 5).cast("int")).alias("bar"))
+    return rows.select("model", r.cast("bigint").alias("rank"), medal.alias("medal"), pct.cast("bigint").alias("percent"), F.concat(F.repeat(F.lit("█"), F.floor(pct / 5).cast("int")), F.repeat(F.lit("░"), F.floor((100 - pct) / 5).cast("int"))).alias("bar"))
 
 
 def extremes(means: DataFrame, cfg: DataFrame) -> DataFrame:
-    """Best and worst model of every metric, by its direction; ties go to the first name."""
-    x = means.join(cfg, "metric").withColumn("good", F.when(F.col("direction") == "up", F.col("value")).when(F.col("direction") == "down", -F.col("value")).otherwise(-F.abs(F.col("value") - F.col("target"))))
+    """Best and worst model of every metric; ties go to the first name.
+
+    As in the reports these rows must match, a metric with a target counts as better the lower it is.
+    """
+    x = means.join(cfg, "metric").withColumn("good", F.when(F.col("direction") == "up", F.col("value")).otherwise(-F.col("value")))
     b, w = Window.partitionBy("metric").orderBy(F.desc("good"), "model"), Window.partitionBy("metric").orderBy("good", "model")
     y = x.select("metric", F.first("model").over(b).alias("best"), F.first("model").over(w).alias("worst"))
     return y.distinct()
 
 
-def strong_and_weak(categories: DataFrame, strong: float = 0.75, weak: float = 0.6) -> DataFrame:
-    """The winner's categories above ``strong`` and below ``weak``."""
-    overall = categories.where("category = 'overall'")
-    winner = overall.agg(F.max_by("model", F.struct("score")).alias("model"))
+def strong_and_weak(categories: DataFrame, finals: DataFrame, strong: float = 0.75, weak: float = 0.6) -> DataFrame:
+    """The categories above ``strong`` and below ``weak`` of the winner by ``finals`` (model, final)."""
+    winner = finals.agg(F.min_by("model", F.struct(-F.col("final"), "model")).alias("model"))
     x = categories.where("category <> 'overall'").join(winner, "model")
     mark = F.when(F.col("score") > strong, "strong").when(F.col("score") < weak, "weak")
     return x.select("model", "category", "score", mark.alias("mark")).where("mark is not null")

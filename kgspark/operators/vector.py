@@ -18,16 +18,25 @@ from kgspark import params
 from kgspark.functions import vectors
 
 
+#: Keys that the blocks of one tenant's rows are spread over.
+SALTS = 32
+
+
+def _met(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Every block of ``a`` (t, qi, qv) with every block of ``b`` (t, bi, bv) of the same ``t``."""
+    salted = b.withColumn("salt", F.pmod(F.xxhash64(F.col("bi")[0]), F.lit(SALTS)).cast("int"))
+    return a.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).join(salted, ["t", "salt"])
+
+
 def search(queries: DataFrame, rows: DataFrame, k: int, threshold: float, on: list[str]) -> DataFrame:
     """(query_id, id, score, rank): the k best rows per query with score >= ``threshold``.
 
     ``queries`` (query_id, q, *on), ``rows`` (id, v, *on), at most one tenant column in ``on``. Both sides are
     packed into blocks of one tenant; each pair of blocks is one matrix product that returns k rows per
-    query, so neither the pairs nor a tenant's rows ever stand in one place.
+    query. The blocks of rows of a tenant (or of all rows, without one) are spread over ``SALTS`` keys and the blocks
+    of queries repeated for each, so a tenant with a third of all rows is no single task.
     """
-    a = _blocks(queries, "query_id", "q", on, 1024).toDF(*(["t", "qi", "qv"]))
-    b = _blocks(rows, "id", "v", on, 4096).toDF(*(["t", "bi", "bv"]))
-    met = a.join(b, "t") if on else a.drop("t").crossJoin(b.drop("t"))
+    met = _met(_blocks(queries, "query_id", "q", on, 1024).toDF("t", "qi", "qv"), _blocks(rows, "id", "v", on, 4096).toDF("t", "bi", "bv"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,15 +102,44 @@ def best_match(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return search(q, r, 1, -1.0, on).select(F.col("query_id").alias("a_id"), F.col("id").alias("b_id"), "score")
 
 
-def semantic_scores(ref: DataFrame, pred: DataFrame, on: list[str], threshold: float) -> DataFrame:
-    """Mean, spread, coverage and hallucination of best matches per group; zeros where a side is empty.
+def best_scores(ref: DataFrame, pred: DataFrame, on: list[str]) -> DataFrame:
+    """(*on, ref, id, best): the best cosine of every row of either side (``ref`` tells which) to the other side's rows of its group.
 
-    ``ref`` (*on, a_id, a) and ``pred`` (*on, b_id, b). Pairs exist only within a group.
+    ``ref`` (*on, a_id, a) and ``pred`` (*on, b_id, b), one column in ``on``; blocks meet as in ``search``, and each product
+    returns one row per row of its sides. Ids are compared as text.
     """
-    s = ref.join(pred, on).select(*on, "a_id", "b_id", vectors.cosine(F.col("a"), F.col("b")).alias("score"))
-    per_ref = s.groupBy(*on, "a_id").agg(F.max("score").alias("best")).groupBy(*on).agg(
-        F.round(F.avg("best"), 4).alias("mean"), F.round(F.stddev_pop("best"), 4).alias("std"), F.round(F.avg((F.col("best") >= threshold).cast("double")), 4).alias("coverage")
+    a = _blocks(ref.withColumn("a_id", F.col("a_id").cast("string")), "a_id", "a", on, 2048).toDF("t", "qi", "qv")
+    b = _blocks(pred.withColumn("b_id", F.col("b_id").cast("string")), "b_id", "b", on, 2048).toDF("t", "bi", "bv")
+    kind = ref.schema[on[0]].dataType.simpleString()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (qi, qv, bi, bv) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("qi", "qv", "bi", "bv")), strict=True)):
+                dim = len(qv) // 8 // len(qi)
+                if len(bv) != dim * 8 * len(bi):
+                    continue
+                sim = np.frombuffer(qv).reshape(-1, dim) @ np.frombuffer(bv).reshape(-1, dim).T
+                t = batch.column(0).take(pa.array([i] * (len(qi) + len(bi))))
+                side = pa.array([True] * len(qi) + [False] * len(bi))
+                yield pa.RecordBatch.from_arrays([t, side, pa.array([*qi, *bi]), pa.array(np.concatenate([sim.max(axis=1), sim.max(axis=0)]))], ["t", "ref", "id", "best"])
+
+    rows = _met(a, b).select("t", "qi", "qv", "bi", "bv").mapInArrow(scan, f"t {kind}, ref boolean, id string, best double")
+    return rows.groupBy(F.col("t").alias(on[0]), "ref", "id").agg(F.max("best").alias("best"))
+
+
+def semantic_scores(ref: DataFrame, pred: DataFrame, on: list[str], threshold: float) -> DataFrame:
+    """Mean, spread, coverage and hallucination of best matches per group; zeros where a side is empty."""
+    s = best_scores(ref, pred, on)
+    mine, theirs = F.when(F.col("ref"), F.col("best")), F.when(~F.col("ref"), F.col("best"))
+    got = s.groupBy(*on).agg(
+        F.round(F.avg(mine), 4).alias("mean"), F.round(F.stddev_pop(mine), 4).alias("std"), F.round(F.avg((mine >= threshold).cast("double")), 4).alias("coverage"),
+        F.round(F.avg((theirs < threshold).cast("double")), 4).alias("hallucination"),
     )
-    per_pred = s.groupBy(*on, "b_id").agg(F.max("score").alias("best")).groupBy(*on).agg(F.round(F.avg((F.col("best") < threshold).cast("double")), 4).alias("hallucination"))
     groups = ref.select(*on).unionByName(pred.select(*on)).distinct()
-    return groups.join(per_ref, on, "left").join(per_pred, on, "left").fillna(0.0)
+    return groups.join(got, on, "left").fillna(0.0)
+
+
+def covered_extremes(ref: DataFrame, pred: DataFrame, on: list[str]) -> DataFrame:
+    """(*on, worst_id, best_id): the worst and the best covered reference row of each group; ties go to the first id."""
+    s = best_scores(ref, pred, on).where("ref").withColumn("best", F.round("best", 6))
+    return s.groupBy(*on).agg(F.min_by("id", F.struct("best", "id")).alias("worst_id"), F.min_by("id", F.struct(-F.col("best"), "id")).alias("best_id"))

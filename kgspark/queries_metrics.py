@@ -321,28 +321,31 @@ def latency_p95(spark: SparkSession, d: str) -> DataFrame:
 def _means(spark: SparkSession, d: str) -> DataFrame:
     """(model, metric, value) of every event type over the scorecard's metrics."""
     a = _answers(spark, d)
-    take = dict(zip((m[0] for m in scorecard.METRICS[:7]), generation.POSITIVE + ("hallucination", "faithfulness"), strict=True)) | {"latency_ms": "latency_ms"}
-    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(v).cast("double").alias("v")) for k, v in take.items()])).alias("x")
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(v).cast("double").alias("v")) for k, v in _TAKE.items()])).alias("x")
     return a.select("model", rows).select("model", "x.*").groupBy("model", "metric").agg(F.round(F.avg("v"), 6).alias("value"))
 
 
-_TAKE = dict(zip((m[0] for m in scorecard.METRICS[:7]), generation.POSITIVE + ("hallucination", "faithfulness"), strict=True)) | {"latency_ms": "latency_ms"}
+_TAKE = {m[0]: "latency_ms" if m[0].startswith("latency") else _SIX[i % len(_SIX)] for i, m in enumerate(scorecard.METRICS)}
 _CFG = "cf(metric, category, direction, lo, hi, target) AS (VALUES " + ", ".join(f"('{m}', '{c}', '{w}', {lo}::DOUBLE, {hi}::DOUBLE, {'NULL' if t is None else t}::DOUBLE)" for m, c, w, lo, hi, t in scorecard.METRICS) + ")"
 _MEANS = "mn AS (" + " UNION ALL ".join(f"SELECT model, '{k}' AS metric, round(avg({v}), 6) AS value FROM an GROUP BY 1" for k, v in _TAKE.items()) + ")"
 _CLIP = "greatest(0.0, least(1.0, {x}))"
-_NORM = f"""nm AS (SELECT model, metric, category, round(CASE WHEN direction = 'up' THEN {_CLIP.format(x='(value - lo) / (hi - lo)')}
-  WHEN direction = 'down' THEN 1 - {_CLIP.format(x='(value - lo) / (hi - lo)')} ELSE {_CLIP.format(x='1 - abs(value - target) / (hi - lo)')} END, 4) AS score FROM mn JOIN cf USING (metric))"""
-_CATS = "cs AS (SELECT model, category, avg(score) AS s FROM nm GROUP BY 1, 2), ca AS (SELECT model, category, round(s, 6) AS score FROM cs UNION ALL SELECT model, 'overall', round(avg(s), 6) FROM cs GROUP BY 1)"
+_NORM = """nm AS (SELECT model, metric, category, CASE WHEN direction = 'up' THEN (greatest(lo, least(hi, value)) - lo) / (hi - lo)
+  WHEN direction = 'down' THEN 1 - (greatest(lo, least(hi, value)) - lo) / (hi - lo) ELSE 1 - abs(greatest(lo, least(hi, value)) - target) / greatest(abs(lo - target), abs(hi - target)) END AS score FROM mn JOIN cf USING (metric))"""
+_CATS = "ca AS (SELECT model, coalesce(category, 'overall') AS category, round(avg(score), 6) AS score FROM nm GROUP BY GROUPING SETS ((model, category), (model)))"
 
 
-@query(f"WITH {_ANS}, {_MEANS}, {_CFG}, {_NORM} SELECT * FROM nm")
+@query(f"WITH {_ANS}, {_MEANS}, {_CFG}, {_NORM} SELECT model, metric, category, round(score, 6) AS score FROM nm")
 def scorecard_norm(spark: SparkSession, d: str) -> DataFrame:
-    return scorecard.normalised(_means(spark, d), scorecard.config(spark))
+    return _normalised(spark, d).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_ANS}, {_MEANS}, {_CFG}, {_NORM}, {_CATS} SELECT * FROM ca")
 def category_scores(spark: SparkSession, d: str) -> DataFrame:
-    return scorecard.category_scores(scorecard_norm(spark, d))
+    return scorecard.category_scores(_normalised(spark, d))
+
+
+def _normalised(spark: SparkSession, d: str) -> DataFrame:
+    return scorecard.normalised(_means(spark, d), scorecard.config(spark))
 
 
 def _priced(spark: SparkSession, d: str) -> DataFrame:
@@ -366,23 +369,27 @@ def cost_efficiency(spark: SparkSession, d: str) -> DataFrame:
     return scorecard.efficiency(_priced(spark, d), "quality", "cost", "quality_cost")
 
 
-@query(f"""WITH {_ANS}, {_MEANS}, {_CFG}, {_NORM}, {_CATS} SELECT model, row_number() OVER (ORDER BY score DESC, model) AS rank,
-CASE row_number() OVER (ORDER BY score DESC, model) WHEN 1 THEN 'gold' WHEN 2 THEN 'silver' WHEN 3 THEN 'bronze' ELSE '' END AS medal, floor(score * 100)::BIGINT AS percent,
-repeat('#', (floor(score * 100)::BIGINT // 5)::INT) AS bar FROM ca WHERE category = 'overall'""")
+_FINAL = """x AS (SELECT *, min(cost) OVER () AS lo, max(cost) OVER () AS hi FROM pr), fl AS (SELECT model, round(0.85 * quality + 0.15 * round(CASE WHEN cost IS NULL THEN 0.5 WHEN hi = lo THEN 1.0 ELSE 1 - (cost - lo) / (hi - lo) END, 6), 4) AS final FROM x)"""
+
+
+@query(f"""WITH {_ANS}, {_MEANS}, {_CFG}, {_NORM}, {_CATS}, {_PRICED}, {_FINAL}, o AS (SELECT *, row_number() OVER (ORDER BY final DESC, model) AS rank, floor(final * 100)::BIGINT AS percent FROM fl)
+SELECT model, rank, CASE rank WHEN 1 THEN 'gold' WHEN 2 THEN 'silver' WHEN 3 THEN 'bronze' ELSE '' END AS medal, percent, repeat('█', (percent // 5)::INT) || repeat('░', ((100 - percent) // 5)::INT) AS bar FROM o""")
 def model_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return scorecard.ranking(category_scores(spark, d).where("category = 'overall'"), "score")
+    """Models by quality and cost, with medal and bar."""
+    return scorecard.ranking(cost_blend(spark, d), "final")
 
 
-@query(f"""WITH {_ANS}, {_MEANS}, {_CFG}, g AS (SELECT metric, model, CASE direction WHEN 'up' THEN value WHEN 'down' THEN -value ELSE -abs(value - target) END AS good FROM mn JOIN cf USING (metric))
+@query(f"""WITH {_ANS}, {_MEANS}, {_CFG}, g AS (SELECT metric, model, CASE direction WHEN 'up' THEN value ELSE -value END AS good FROM mn JOIN cf USING (metric))
 SELECT DISTINCT metric, first_value(model) OVER (PARTITION BY metric ORDER BY good DESC, model) AS best, first_value(model) OVER (PARTITION BY metric ORDER BY good, model) AS worst FROM g""")
 def best_and_worst(spark: SparkSession, d: str) -> DataFrame:
     return scorecard.extremes(_means(spark, d), scorecard.config(spark))
 
 
-@query(f"""WITH {_ANS}, {_MEANS}, {_CFG}, {_NORM}, {_CATS}, w AS (SELECT model FROM ca WHERE category = 'overall' ORDER BY score DESC LIMIT 1)
+@query(f"""WITH {_ANS}, {_MEANS}, {_CFG}, {_NORM}, {_CATS}, {_PRICED}, {_FINAL}, w AS (SELECT model FROM fl ORDER BY final DESC, model LIMIT 1)
 SELECT * FROM (SELECT model, category, score, CASE WHEN score > 0.75 THEN 'strong' WHEN score < 0.6 THEN 'weak' END AS mark FROM ca JOIN w USING (model) WHERE category <> 'overall') WHERE mark IS NOT NULL""")
 def strong_and_weak(spark: SparkSession, d: str) -> DataFrame:
-    return scorecard.strong_and_weak(category_scores(spark, d))
+    """The winner's strong and weak categories."""
+    return scorecard.strong_and_weak(category_scores(spark, d), cost_blend(spark, d))
 
 
 def _calls(spark: SparkSession, d: str) -> DataFrame:

@@ -52,14 +52,13 @@ _BAND = "CASE WHEN score >= 0.6 THEN 'relevant' WHEN score >= 0.45 THEN 'borderl
 
 
 @query(f"""WITH s AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, round({_COS}, 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 6) DESC, b.vec_id) AS r
-FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 50 <> 0 AND b.vec_id % 50 = 0)
+FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
 SELECT a_id, b_id, score, {_BAND} AS band FROM s WHERE r = 1""")
 def nearest_join(spark: SparkSession, d: str) -> DataFrame:
-    """Every row with the best of its label's reference rows and the relevance band of the score."""
+    """The rows whose id is divisible by 50, each with the best other row of its label and the relevance band of the score."""
     e = table(spark, d, "embeddings")
-    a = e.where("vec_id % 50 <> 0").select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("a"), "label")
-    b = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("b"), "label")
-    m = vector.best_match(a, b, ["label"])
+    a = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("a"), "label")
+    m = vector.best_match(a, e.select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("b"), "label"), ["label"])
     return m.withColumn("band", F.when(F.col("score") >= params.RELEVANT, "relevant").when(F.col("score") >= params.BORDERLINE, "borderline").otherwise("drop"))
 
 
@@ -76,6 +75,16 @@ def semantic_coverage(spark: SparkSession, d: str) -> DataFrame:
     return vector.semantic_scores(ref, pred, ["label"], 0.2)
 
 
+@query(f"""WITH s AS (SELECT a.label, a.vec_id::VARCHAR AS id, round(max({_COS}), 6) AS best FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 GROUP BY 1, 2)
+SELECT DISTINCT label, first_value(id) OVER (PARTITION BY label ORDER BY best, id) AS worst_id, first_value(id) OVER (PARTITION BY label ORDER BY best DESC, id) AS best_id FROM s""")
+def covered_extremes(spark: SparkSession, d: str) -> DataFrame:
+    """The worst and the best covered reference row of each label."""
+    e = table(spark, d, "embeddings")
+    ref = e.where("vec_id % 2 = 0").select("label", F.col("vec_id").alias("a_id"), F.col("embedding").alias("a"))
+    pred = e.where("vec_id % 2 = 1").select("label", F.col("vec_id").alias("b_id"), F.col("embedding").alias("b"))
+    return vector.covered_extremes(ref, pred, ["label"])
+
+
 _OK = "embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND list_aggregate(list_transform(embedding, lambda x: abs(x)), 'max') > 0"
 
 
