@@ -96,7 +96,7 @@ def unix_newlines(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
-def wrap(c: Column, width: int) -> Column:
+def wrap(c: Column, width: int | Column) -> Column:
     """Greedy word wrap into lines of at most ``width`` characters; longer words keep a line of their own."""
     words = F.filter(F.split(collapse(c), " "), lambda w: w != "")
 

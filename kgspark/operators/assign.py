@@ -15,16 +15,20 @@ def ordinals(nodes: DataFrame) -> DataFrame:
     return row_numbers(nodes, ["parent"], [F.length("id"), F.col("id")], "k")
 
 
-def luhmann_ids(nodes: DataFrame, levels: int) -> DataFrame:
-    """(id, luhmann_id) of a forest (id, parent) of at most ``levels`` levels."""
+def luhmann_ids(nodes: DataFrame) -> DataFrame:
+    """(id, luhmann_id) of a forest (id, parent) of any depth, level by level until none is left.
+
+    Nodes on or below a cycle have no root and get no id.
+    """
     n = cut(ordinals(nodes))
     front = n.where("parent is null").select("id", luhmann.child_id(F.lit(None).cast("string"), F.col("k")).alias("luhmann_id"))
     out = front
-    for _ in range(levels - 1):
+    while True:
         up = front.select(F.col("id").alias("parent"), F.col("luhmann_id").alias("above"))
-        front = n.join(up, "parent").select("id", luhmann.child_id(F.col("above"), F.col("k")).alias("luhmann_id"))
+        front = cut(n.join(up, "parent").select("id", luhmann.child_id(F.col("above"), F.col("k")).alias("luhmann_id")))
+        if front.isEmpty():
+            return out
         out = out.unionByName(front)
-    return out
 
 
 def next_children(existing: DataFrame, arrivals: DataFrame) -> DataFrame:

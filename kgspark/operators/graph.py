@@ -132,22 +132,48 @@ def by_depth(depth: Column, values: tuple) -> Column:
 
 #: Node sizes, font sizes and label widths by depth.
 SIZES, FONTS, LABELS = (62, 48, 34, 28, 24), (12, 11, 10, 9), (34, 16, 11, 9, 7)
+#: Line widths of wrapped labels by depth, from depth 1 on.
+LINES = (6, 5, 4)
 COLOURS = 10
 
 
 def visual_nodes(zettels: DataFrame, tree: DataFrame) -> DataFrame:
     """(zettel_id, depth, root_id, size, font, label, colour): what a drawing of the graph needs."""
     roots = tree.where("id = root").join(zettels.select(F.col("zettel_id").alias("id"), "user_id", "luhmann_id"), "id")
-    order = Window.partitionBy("user_id").orderBy(luhmann.root_number(F.col("luhmann_id")), "luhmann_id", "id")
-    colour = roots.select(F.col("id").alias("root"), ((F.row_number().over(order) - 1) % COLOURS).cast("bigint").alias("colour"))
+    order = [luhmann.root_number(F.col("luhmann_id")), F.col("luhmann_id"), F.col("id")]
+    colour = row_numbers(roots.select("user_id", "luhmann_id", "id"), ["user_id"], order, "k").select(F.col("id").alias("root"), ((F.col("k") - 1) % COLOURS).alias("colour"))
     n = zettels.select(F.col("zettel_id").alias("id"), "content").join(tree.where("depth >= 0").select("id", "root", "depth"), "id").join(colour, "root")
     d = F.col("depth")
     width = by_depth(d, LABELS)
     t = text.collapse(F.coalesce("content", F.lit("")))
-    label = F.when(F.length(t) > width, F.concat(F.rtrim(F.left(t, width - 1)), F.lit("…"))).otherwise(t)
+    short = F.when(F.length(t) > width, F.concat(F.rtrim(F.left(t, width - 1)), F.lit("…"))).otherwise(t)
+    label = F.when(d == 0, short).otherwise(text.wrap(short, by_depth(d - 1, LINES)))
     return n.select(F.col("id").alias("zettel_id"), "depth", F.col("root").alias("root_id"), by_depth(d, SIZES).cast("bigint").alias("size"), by_depth(d, FONTS).cast("bigint").alias("font"), label.alias("label"), "colour")
 
 
+#: Fixed values: (relation, colour, dashes, width) of drawn edges, and what other relations get.
+EDGE_STYLES = (("CHILD_OF", "#9CA3AF", None, 1.0), ("RELATED_TO", "#D1D5DB", "4,4", 1.0), ("MENTIONS", "#9CA3AF", "2,4", 0.8))
+OTHER_EDGE = ("#9CA3AF", None, 0.8)
+#: Labels of drawn edges; other relations show their name, hierarchy and mentions nothing.
+EDGE_LABELS = {"RELATED_TO": "связана с", "CHILD_OF": "", "MENTIONS": ""}
+
+
+def visual_edges(edges: DataFrame) -> DataFrame:
+    """``edges`` (..., rel_type) with colour, dashes, width and label: what a drawing of the graph needs, each edge once."""
+    rel = F.col("rel_type")
+
+    def pick(at: int, kind: str) -> Column:
+        out = F.lit(OTHER_EDGE[at - 1]).cast(kind)
+        for style in EDGE_STYLES:
+            out = F.when(rel == style[0], F.lit(style[at]).cast(kind)).otherwise(out)
+        return out
+
+    label = F.lower(rel)
+    for name, said in EDGE_LABELS.items():
+        label = F.when(rel == name, said).otherwise(label)
+    return edges.distinct().withColumns({"colour": pick(1, "string"), "dashes": pick(2, "string"), "width": pick(3, "double"), "label": label})
+
+
 def neighbourhood_search(zettels: DataFrame, edges: DataFrame, needle: str) -> DataFrame:
     """(user_id, zettel_id, hit): nodes whose text holds ``needle`` and their direct neighbours."""
     hit = zettels.where(F.lower("content").contains(needle.lower())).select("user_id", "zettel_id")

@@ -90,7 +90,8 @@ v AS (SELECT t.id AS zettel_id, t.depth, t.root AS root_id, {_LABEL} AS txt, c.c
 
 @query(_VISUAL + """SELECT zettel_id, depth, root_id, colour, CASE depth WHEN 0 THEN 62 WHEN 1 THEN 48 WHEN 2 THEN 34 WHEN 3 THEN 28 ELSE 24 END::BIGINT AS size,
 CASE depth WHEN 0 THEN 12 WHEN 1 THEN 11 WHEN 2 THEN 10 ELSE 9 END::BIGINT AS font,
-CASE WHEN length(txt) > w THEN rtrim(left(txt, (w - 1)::INT)) || '…' ELSE txt END AS label FROM v""")
+CASE WHEN depth = 0 OR txt = '' THEN sh ELSE list_reduce(string_split(sh, ' '), lambda a, w: CASE WHEN length(regexp_extract(a, '[^\\n]*$')) + 1 + length(w) <= CASE depth WHEN 1 THEN 6 WHEN 2 THEN 5 ELSE 4 END THEN a || ' ' || w ELSE a || chr(10) || w END) END AS label
+FROM (SELECT *, CASE WHEN length(txt) > w THEN rtrim(left(txt, (w - 1)::INT)) || '…' ELSE txt END AS sh FROM v)""")
 def branch_color(spark: SparkSession, d: str) -> DataFrame:
     """Depth, branch colour, size, font and label of every drawn note."""
     return graph.visual_nodes(zettels(spark, d, "user_id", "luhmann_id", "content"), _tree(spark, d))
@@ -176,6 +177,15 @@ def export_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.export_edges(edges(spark, d), mentions(spark, d), related(spark, d))
 
 
+@query(f"""WITH {Z}, {E}, {M}, {R}, x AS (SELECT user_id, child_id AS from_id, parent_id AS to_id, 'CHILD_OF' AS rel_type FROM e
+UNION SELECT user_id, zettel_id, 'entity:' || name, 'MENTIONS' FROM m UNION SELECT user_id, a_id, b_id, 'RELATED_TO' FROM r)
+SELECT from_id, to_id, rel_type, CASE rel_type WHEN 'RELATED_TO' THEN '#D1D5DB' ELSE '#9CA3AF' END AS colour, CASE rel_type WHEN 'RELATED_TO' THEN '4,4' WHEN 'MENTIONS' THEN '2,4' END AS dashes,
+CASE WHEN rel_type IN ('CHILD_OF', 'RELATED_TO') THEN 1.0 ELSE 0.8 END::DOUBLE AS width, CASE rel_type WHEN 'RELATED_TO' THEN 'связана с' ELSE '' END AS label FROM x""")
+def edge_styles(spark: SparkSession, d: str) -> DataFrame:
+    """Every edge with what a drawing needs."""
+    return graph.visual_edges(graph.export_edges(edges(spark, d), mentions(spark, d), related(spark, d))).drop("user_id")
+
+
 @query(f"""WITH {Z}, {M} SELECT e.user_id, 'entity:' || e.name AS node_id,
 CASE WHEN length(coalesce(display_name, e.name)) > 9 THEN rtrim(left(coalesce(display_name, e.name), 8)) || '…' ELSE coalesce(display_name, e.name) END AS label
 FROM entity_node e WHERE EXISTS (SELECT 1 FROM m WHERE m.user_id = e.user_id AND m.name = e.name)""")

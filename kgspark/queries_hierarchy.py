@@ -67,13 +67,16 @@ FROM edge e LEFT JOIN low ON low.id = e.id LEFT JOIN ring ON ring.id = e.id
 LEFT JOIN (SELECT id, count(*) AS n FROM above GROUP BY id) n ON n.id = e.id
 LEFT JOIN (SELECT x.id, x.anc FROM above x JOIN edge a ON a.id = x.anc AND a.parent IS NULL) r ON r.id = e.id
 LEFT JOIN edge t ON t.id = coalesce(r.anc, e.id)""",
-    "p6_descendants": "WITH RECURSIVE "
-    + _RESOLVED
-    + """, above(id, anc, distance) AS (
-  SELECT id, parent, 1::BIGINT FROM edge WHERE parent IS NOT NULL
-  UNION SELECT x.id, e.parent, x.distance + 1 FROM above x JOIN edge e ON e.id = x.anc WHERE e.parent IS NOT NULL AND x.distance < 200),
-low AS (SELECT id FROM above WHERE distance = 200)
-SELECT anc AS zettel_id, id AS descendant_id, distance FROM above WHERE id NOT IN (SELECT id FROM low)""",
+    "p6_descendants": _ABOVE.rstrip()
+    + """, n AS (SELECT id, count(*) AS n FROM above GROUP BY id)
+SELECT x.anc AS zettel_id, x.id AS descendant_id, (n.n - coalesce(k.n, 0))::BIGINT AS distance FROM above x JOIN n ON n.id = x.id LEFT JOIN n k ON k.id = x.anc WHERE x.id NOT IN (SELECT id FROM low)""",
+    "p6_paths": _ABOVE.rstrip()
+    + """, n AS (SELECT e.id, count(x.anc) AS n FROM edge e LEFT JOIN above x ON x.id = e.id GROUP BY 1),
+a AS (SELECT x.id, string_agg(x.anc, '/' ORDER BY n.n) AS up, count(*) AS k FROM above x JOIN n ON n.id = x.anc GROUP BY 1),
+r AS (SELECT x.id, x.anc FROM above x JOIN edge e ON e.id = x.anc AND e.parent IS NULL)
+SELECT e.id AS zettel_id, CASE WHEN low.id IS NULL THEN coalesce(a.up || '/', '') || e.id END AS path, CASE WHEN low.id IS NOT NULL THEN -1 ELSE coalesce(a.k, 0) END::BIGINT AS depth,
+  CASE WHEN ring.id IS NOT NULL THEN 'on_cycle' WHEN low.id IS NOT NULL THEN 'below_cycle' WHEN t.says THEN 'detached' ELSE 'tree' END AS status
+FROM edge e LEFT JOIN low ON low.id = e.id LEFT JOIN ring ON ring.id = e.id LEFT JOIN a ON a.id = e.id LEFT JOIN r ON r.id = e.id LEFT JOIN edge t ON t.id = coalesce(r.anc, e.id)""",
 }
 
 QUERIES = {"p6_found": p6_found, "p6_paths": p6_paths, "p6_descendants": p6_descendants}

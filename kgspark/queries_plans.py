@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from kgspark import params, providers
 from kgspark.functions import vectors
 from kgspark.graphdata import E, M, R, Z, edges, mentions, related, zettels
-from kgspark.operators import graph, oplog
+from kgspark.operators import graph, oplog, vector
 from kgspark.plans import linking, retrieval
+from kgspark.queries_vector import _OK
 from kgspark.session import cut
 from kgspark.tables import table
 
@@ -28,17 +29,22 @@ def query(sql: str | None = None):
 
 
 def _entries(spark: SparkSession, d: str) -> DataFrame:
-    """Entry points: per question of a note the first five of its cards by id, ranked."""
-    q = table(spark, d, "qa_pair", "qa_id", "note_id").where("note_id is not null").dropDuplicates(["qa_id"]).select(F.col("qa_id").alias("query_id"), "note_id")
-    c = table(spark, d, "zettel_card", "zettel_id", "user_id", "note_id").where("note_id is not null").distinct()
-    w = Window.partitionBy("note_id").orderBy("zettel_id")
-    c = c.withColumn("entry_rank", F.row_number().over(w).cast("bigint")).where(F.col("entry_rank") <= params.TOP_K)
-    return q.join(c, "note_id").select("query_id", "user_id", "zettel_id", "entry_rank")
+    """Entry points: the tenant's notes most similar to each question, by vector search.
+
+    Questions are the notes whose id hashes to a multiple of 50 (ids are no numbers here), asked against all rows.
+    """
+    z = zettels(spark, d, "user_id", "embedding").where(F.coalesce(vectors.is_usable(F.col("embedding"), 64), F.lit(False)))
+    asked = z.where(F.conv(F.substring(F.md5("zettel_id"), 1, 4), 16, 10).cast("int") % 50 == 0)
+    q = asked.select(F.col("zettel_id").alias("query_id"), F.col("embedding").alias("q"), "user_id")
+    hits = vector.search(q, z.select(F.col("zettel_id").alias("id"), F.col("embedding").alias("v"), "user_id"), params.TOP_K, params.SEARCH_THRESHOLD, ["user_id"])
+    return hits.join(q.drop("q"), "query_id").select("query_id", "user_id", F.col("id").alias("zettel_id"), F.col("rank").alias("entry_rank"), "score")
 
 
 _CONTEXT = f"""{Z}, {E}, {R}, {M},
-en AS (SELECT q.qa_id AS query_id, c.user_id, c.zettel_id, c.entry_rank FROM (SELECT DISTINCT ON (qa_id) qa_id, note_id FROM qa_pair) q JOIN
-  (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY zettel_id) AS entry_rank FROM (SELECT DISTINCT zettel_id, user_id, note_id FROM zettel_card WHERE note_id IS NOT NULL) QUALIFY entry_rank <= 5) c USING (note_id)),
+uz AS (SELECT zettel_id, user_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM z WHERE {_OK}),
+sc AS (SELECT a.zettel_id AS query_id, a.user_id, b.zettel_id, round(list_dot_product(a.v, b.v) / (a.l * b.l), 6) AS score FROM uz a JOIN uz b ON a.user_id = b.user_id AND a.zettel_id <> b.zettel_id
+  WHERE ('0x' || left(md5(a.zettel_id), 4))::INT % 50 = 0),
+en AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, zettel_id) AS entry_rank FROM sc WHERE score >= {params.SEARCH_THRESHOLD} QUALIFY entry_rank <= {params.TOP_K}),
 kd AS (SELECT e.user_id, e.parent_id, e.child_id, row_number() OVER (PARTITION BY e.user_id, e.parent_id ORDER BY length(z.luhmann_id), z.luhmann_id, e.child_id) AS ord FROM e JOIN z ON z.user_id = e.user_id AND z.zettel_id = e.child_id),
 sy AS (SELECT user_id, a_id AS f, b_id AS t FROM r UNION SELECT user_id, b_id, a_id FROM r),
 nb AS (SELECT user_id, f, t, row_number() OVER (PARTITION BY user_id, f ORDER BY t) AS ord FROM sy WHERE f <> t QUALIFY ord <= 10),
@@ -52,7 +58,7 @@ cx AS (SELECT query_id, user_id, other AS zettel_id, CASE role WHEN 0 THEN 'entr
 
 
 def _context(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.expand(_entries(spark, d), zettels(spark, d, "user_id", "luhmann_id"), edges(spark, d), related(spark, d), 1)
+    return retrieval.expand(_entries(spark, d).drop("score"), zettels(spark, d, "user_id", "luhmann_id"), edges(spark, d), related(spark, d), 1)
 
 
 @query(f"WITH {_CONTEXT} SELECT query_id, zettel_id, role, place FROM cx")
@@ -83,10 +89,16 @@ def context_answers(spark: SparkSession, d: str) -> DataFrame:
     return providers.answers(context_string(spark, d))
 
 
-@query()
+@query(f"""WITH {_CONTEXT}, ch AS (SELECT user_id, parent_id, string_agg(child_luhmann, ', ' ORDER BY ord) AS kids FROM (SELECT kd.*, z.luhmann_id AS child_luhmann FROM kd JOIN z ON z.user_id = kd.user_id AND z.zettel_id = kd.child_id WHERE ord <= 3) GROUP BY 1, 2),
+es AS (SELECT user_id, zettel_id, string_agg(name, ', ' ORDER BY name) AS ents FROM (SELECT user_id, zettel_id, name FROM m QUALIFY row_number() OVER (PARTITION BY user_id, zettel_id ORDER BY name) <= 5) GROUP BY 1, 2),
+ln AS (SELECT query_id, entry_rank, '[' || entry_rank || '] ' || coalesce(z.luhmann_id, '') || ' (' || format('{{:.3f}}', score) || ') ' || coalesce(z.content, '') || ' | parent: ' || CASE WHEN p.child_id IS NULL THEN '-' ELSE left(coalesce(p.content, ''), 40) END
+  || ' | children: ' || coalesce(kids, '-') || ' | entities: ' || coalesce(ents, '-') AS line
+  FROM en JOIN z ON z.user_id = en.user_id AND z.zettel_id = en.zettel_id LEFT JOIN (SELECT e.user_id, e.child_id, z.content FROM e JOIN z ON z.user_id = e.user_id AND z.zettel_id = e.parent_id) p ON p.user_id = en.user_id AND p.child_id = en.zettel_id
+  LEFT JOIN ch ON ch.user_id = en.user_id AND ch.parent_id = en.zettel_id LEFT JOIN es ON es.user_id = en.user_id AND es.zettel_id = en.zettel_id)
+SELECT query_id, string_agg(line, chr(10) ORDER BY entry_rank) AS block FROM ln GROUP BY 1""")
 def decision_blocks(spark: SparkSession, d: str) -> DataFrame:
     """The candidate text a link decision sees, for every question's entry points."""
-    e = _entries(spark, d).withColumn("score", F.round(1 / (F.col("entry_rank") + 1), 6)).withColumnRenamed("entry_rank", "rank")
+    e = _entries(spark, d).withColumnRenamed("entry_rank", "rank")
     return retrieval.candidate_block(e, zettels(spark, d, "user_id", "luhmann_id", "content"), edges(spark, d), mentions(spark, d))
 
 

@@ -133,7 +133,7 @@ def luhmann_assign(spark: SparkSession, d: str) -> DataFrame:
     n = n.unionByName(table(spark, d, "nation").select(s("n", "n_nationkey").alias("id"), s("r", "n_regionkey").alias("parent")))
     n = n.unionByName(table(spark, d, "customer").select(s("c", "c_custkey").alias("id"), s("n", "c_nationkey").alias("parent")))
     n = n.unionByName(table(spark, d, "orders").select(s("o", "o_orderkey").alias("id"), s("c", "o_custkey").alias("parent")))
-    return assign.luhmann_ids(n, levels=4)
+    return assign.luhmann_ids(n)
 
 
 @query(r"""SELECT id, CASE regexp_extract(lower(message_type), '\.[^./]+$') WHEN '.pdf' THEN 'pdf' WHEN '.txt' THEN 'txt' ELSE 'unsupported' END AS reader, 'tg_user_' || user_id AS tenant,
