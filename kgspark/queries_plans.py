@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark import params, providers
@@ -12,6 +12,7 @@ from kgspark.operators import graph, oplog, vector
 from kgspark.plans import linking, retrieval
 from kgspark.queries_vector import _OK
 from kgspark.session import cut
+from kgspark.streaming import ingest
 from kgspark.tables import table
 
 QUERIES: dict = {}
@@ -162,9 +163,7 @@ def delete_remaining(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH x AS (SELECT id, user_id, message_id, row_number() OVER (PARTITION BY user_id, message_id ORDER BY id) AS r FROM history_messages) SELECT id, user_id, message_id FROM x WHERE r = 1""")
 def message_dedupe(spark: SparkSession, d: str) -> DataFrame:
     """Each message once, by its first log row."""
-    m = table(spark, d, "history_messages", "id", "user_id", "message_id")
-    w = Window.partitionBy("user_id", "message_id").orderBy("id")
-    return m.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+    return ingest.logged_once(table(spark, d, "history_messages", "id", "user_id", "message_id"))
 
 
 # ------------------------------------------------------------------ cards and linking

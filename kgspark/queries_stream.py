@@ -49,7 +49,9 @@ def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return windows.deduped(_events(spark, d).select("user_id", "event_type"), ["user_id", "event_type"])
 
 
-@query()
+@query("""WITH s AS (SELECT *, CASE message_type WHEN 'text_artifact' THEN 'waiting_for_artifact' WHEN 'search_query' THEN 'waiting_for_search' WHEN 'delete_query' THEN 'waiting_for_delete_query'
+  WHEN 'action' THEN CASE WHEN contains(lower(message_text), 'добав') THEN 'waiting_for_artifact' WHEN contains(lower(message_text), 'поиск') THEN 'waiting_for_search' WHEN contains(lower(message_text), 'удал') THEN 'waiting_for_delete_query' ELSE 'idle' END END AS now FROM history_messages)
+SELECT user_id, id, coalesce(last_value(now IGNORE NULLS) OVER w, 'idle') AS state, row_number() OVER w AS n_seen FROM s WINDOW w AS (PARTITION BY user_id ORDER BY message_date, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def dialog_states(spark: SparkSession, d: str) -> DataFrame:
     """Dialog state after every message, as a batch backfill."""
     return ingest.dialog_states_batch(table(spark, d, "history_messages"))

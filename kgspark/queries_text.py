@@ -71,7 +71,8 @@ def md_to_html(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", text.md_to_html(F.col("text")).alias("html"))
 
 
-@query()
+@query(r"""SELECT id, coalesce(list_reduce(list_filter(string_split(trim(regexp_replace(message_text, '\s+', ' ', 'g')), ' '), lambda w: w <> ''),
+  lambda a, w: CASE WHEN length(regexp_extract(a, '[^\n]*$')) + 1 + length(w) <= 40 THEN a || ' ' || w ELSE a || chr(10) || w END), message_text) AS wrapped FROM history_messages""")
 def wrap_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "history_messages", "id", "message_text").select("id", text.wrap(F.col("message_text"), 40).alias("wrapped"))
 

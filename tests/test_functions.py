@@ -71,3 +71,14 @@ def test_codecs(spark):
     assert one(spark, text.coerced_tags, "['a', ' b ']", "a, ,b", "nan", None, "[broken") == [["a", "b"], ["a", "b"], [], [], []]
     assert one(spark, text.text_to_tags, "a, b,,", None) == [["a", "b"], []]
     assert one(spark, text.text_to_flag, "True", "false", None) == [True, False, False]
+
+
+def test_settings_from_the_environment():
+    import pytest
+
+    from kgspark import params
+
+    got = params.settings({"KGSPARK_TOP_K": "7", "KGSPARK_SEARCH_THRESHOLD": "0.4", "KGSPARK_MAX_TAGS": ""})
+    assert (got.top_k, got.search_threshold, got.max_tags, got.link_threshold) == (7, 0.4, params.MAX_TAGS, params.LINK_THRESHOLD)
+    with pytest.raises(ValueError):
+        params.settings({"KGSPARK_TOP_K": "many"})
