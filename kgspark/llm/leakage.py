@@ -78,11 +78,12 @@ def passages(text: str, code: dict[str, str], auto, width: int) -> list[tuple[in
                 mine.append([end - width + 1, end])
     if not spans:
         return []
-    # lower() can lengthen a text (a few letters have two-character lower forms): offsets are taken
-    # in the original, word by word, as both have the same runs of letters and digits.
+    # lower() can lengthen a text (a few letters have two-character lower forms) and so split a word: offsets
+    # are taken in the original word by word, or letter by letter where the words differ.
     at = [m.span() for m in WORD.finditer(text)]
     if len(at) != len(line):
-        at = [m.span() for m in WORD.finditer(low)]
+        origin = [i for i, c in enumerate(text) for _ in c.lower()]
+        at = [(origin[a], origin[b - 1] + 1) for a, b in (m.span() for m in WORD.finditer(low))]
     return [(item, at[a][0], at[b][1], b - a + 1) for item, mine in spans.items() for a, b in mine]
 
 
@@ -143,5 +144,10 @@ g AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 9], ' ') AS g FROM (SEL
 d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE text IS NOT NULL),
 h AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 9], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS k FROM d WHERE len(w) >= 10))
 """
-SQL = {"p9_found": _BASE + "SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (g)"}
+_ITEMS = """, pos AS (SELECT doc_id, k, array_to_string(w[k : k + 9], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS k FROM d WHERE len(w) >= 10)),
+hit AS (SELECT DISTINCT doc_id, item_id, k FROM pos JOIN g USING (g)),
+part AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, item_id ORDER BY k) AS p FROM (SELECT *, CASE WHEN k - lag(k) OVER (PARTITION BY doc_id, item_id ORDER BY k) <= 10 THEN 0 ELSE 1 END AS fresh FROM hit)),
+run AS (SELECT doc_id, item_id, max(k) - min(k) + 10 AS n FROM part GROUP BY doc_id, item_id, p)
+SELECT item_id, count(DISTINCT doc_id) AS n_docs, max(n) AS longest FROM run GROUP BY 1"""
+SQL = {"p9_found": _BASE + "SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (g)", "p9_items": _BASE.rstrip() + _ITEMS}
 QUERIES = {"p9_found": p9_found, "p9_passages": p9_passages, "p9_items": p9_items}

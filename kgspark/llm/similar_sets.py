@@ -305,13 +305,35 @@ def similar_classes(rows: DataFrame, least: float, trees: int = 14, leaf: int =
     return both.where(enough).select("a", "a2", "b", "b2")
 
 
-def similar_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """(key_a, key_b): all pairs of keys of equal or similar classes, the smaller key first."""
+#: Members of a class from which they are spread by salt.
+MANY = 2_000
+
+
+def _spread(rows: DataFrame, hot: DataFrame | None, id_: str, id2: str) -> DataFrame:
+    """``rows`` once for every salt of its class."""
+    if hot is None:
+        return rows.withColumn("salt", F.lit(0))
+    j = rows.join(hot.select(F.col("id").alias(id_), F.col("id2").alias(id2), "salts"), [id_, id2], "left")
+    return j.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+
+
+def similar_pairs(rows: DataFrame, classes: DataFrame, many: int = MANY) -> DataFrame:
+    """(key_a, key_b): all pairs of keys of equal or similar classes, the smaller key first.
+
+    The members of a class of more than ``many`` are dealt to salts of some ``many`` members each, and what joins them
+    is repeated for each salt: a text that a third of all records share makes many tasks.
+    """
     m = cut(members(rows))
-    same = m.alias("x").join(m.alias("y"), ["id", "id2"]).where("x.key < y.key").select(F.col("x.key").alias("p"), F.col("y.key").alias("q"))
-    left = m.select(F.col("key").alias("p"), F.col("id").alias("a"), F.col("id2").alias("a2"))
-    right = m.select(F.col("key").alias("q"), F.col("id").alias("b"), F.col("id2").alias("b2"))
-    other = classes.join(left, ["a", "a2"]).join(right, ["b", "b2"]).select("p", "q")
+    hot = cut(m.groupBy("id", "id2").agg(F.count("*").alias("n")).where(F.col("n") > many).select("id", "id2", F.ceil(F.col("n") / many).cast("int").alias("salts")))
+    if hot.isEmpty():
+        hot, dealt = None, m.withColumn("salt", F.lit(0))
+    else:
+        dealt = m.join(hot, ["id", "id2"], "left").withColumn("salt", F.pmod(F.xxhash64("key"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    same = dealt.alias("x").join(_spread(m, hot, "id", "id2").alias("y"), ["id", "id2", "salt"]).where("x.key < y.key").select(F.col("x.key").alias("p"), F.col("y.key").alias("q"))
+    left = dealt.select(F.col("key").alias("p"), F.col("id").alias("a"), F.col("id2").alias("a2"), "salt")
+    right = dealt.select(F.col("key").alias("q"), F.col("id").alias("b"), F.col("id2").alias("b2"), "salt")
+    one = _spread(classes, hot, "a", "a2").join(left, ["a", "a2", "salt"]).select("p", "b", "b2")
+    other = _spread(one, hot, "b", "b2").join(right, ["b", "b2", "salt"]).select("p", "q")
     return same.unionByName(other).select(F.least("p", "q").alias("key_a"), F.greatest("p", "q").alias("key_b"))
 
 
@@ -371,5 +393,16 @@ SQL = {
     "p3_found": _SETS
     + """SELECT x.zettel_id AS zettel_id_a, y.zettel_id AS zettel_id_b
 FROM w x JOIN n a ON a.zettel_id = x.zettel_id JOIN w y ON x.w = y.w AND x.zettel_id < y.zettel_id JOIN n b ON b.zettel_id = y.zettel_id
-GROUP BY 1, 2, a.n, b.n HAVING count(*) * 17 >= 7 * (a.n + b.n)"""
+GROUP BY 1, 2, a.n, b.n HAVING count(*) * 17 >= 7 * (a.n + b.n)""",
+    "p3_groups": _SETS.replace("WITH one", "WITH RECURSIVE one").rstrip()
+    + """, k AS (SELECT zettel_id, string_agg(w, ' ' ORDER BY w) AS k FROM w WHERE zettel_id IN (SELECT zettel_id FROM n) GROUP BY 1),
+c AS (SELECT k, min(zettel_id) AS class_id, count(*) AS n_copies, any_value(len(string_split(k, ' '))) AS n FROM k GROUP BY 1),
+cw AS (SELECT class_id, n, unnest(string_split(k, ' ')) AS w FROM c),
+p AS (SELECT x.class_id AS u, y.class_id AS v FROM cw x JOIN cw y ON x.w = y.w AND x.class_id < y.class_id GROUP BY 1, 2, x.n, y.n HAVING count(*) * 17 >= 7 * (x.n + y.n)),
+b AS (SELECT u, v FROM p UNION SELECT v, u FROM p),
+re(u, v) AS (SELECT u, v FROM b UNION SELECT re.u, b.v FROM re JOIN b ON b.u = re.v),
+g AS (SELECT u AS class_id, least(u, min(v)) AS group_id FROM re GROUP BY 1),
+l AS (SELECT u AS class_id, count(*) AS n_links FROM b GROUP BY 1)
+SELECT k.zettel_id, c.class_id, coalesce(group_id, c.class_id) AS group_id, coalesce(n_links, 0) AS n_links, n_copies
+FROM k JOIN c USING (k) LEFT JOIN g ON g.class_id = c.class_id LEFT JOIN l ON l.class_id = c.class_id WHERE n_links IS NOT NULL OR n_copies > 1""",
 }

@@ -26,3 +26,9 @@ def test_across_the_blank_yo_and_blocks(spark):
 def test_long_text_and_empty_tables(spark):
     assert {(d, i) for d, i, *_ in rows(spark, [(5, "x " * 300_000 + ITEM, "x")], [(2, ITEM, "", "x")])} == {(5, 2)}
     assert rows(spark, [], [(2, ITEM, "", "x")]) == [] and rows(spark, [(1, ITEM, "x")], []) == []
+
+
+def test_offsets_where_lower_case_is_longer(spark):
+    text = "İİİ İstanbul " + ITEM.replace("four", "FOUR") + " end"
+    (got,) = rows(spark, [(1, text, "x")], [(2, ITEM, "", "x")])
+    assert text[got[2] : got[3]] == ITEM.replace("four", "FOUR")

@@ -101,3 +101,14 @@ def test_trees_keep_pairs_at_the_threshold_six_words_deep():
         both = set(zip(path[left].tolist(), own[left].tolist(), strict=True)) & set(zip(path[right].tolist(), (own[right] - n).tolist(), strict=True))
         met[[k for _, k in both]] = True
     assert met.mean() > 0.985
+
+
+def test_large_classes_are_dealt_to_salts(spark):
+    """One text held by a third of the rows, with near copies; the pairs are the same as undealt."""
+    base = [f"w{i}" for i in range(20)]
+    rows = [(f"c{i:03d}", " ".join(base)) for i in range(60)] + [(f"d{i:03d}", " ".join([*base[1:], f"x{i % 3}"])) for i in range(40)] + corpus(40)
+    df = spark.createDataFrame([(k, t, 1) for k, t in rows], "zettel_id string, content string, updated_at int")
+    m = s.set_classes(df, "zettel_id", "content", "updated_at", 8)
+    classes = s.similar_classes(m, 0.7)
+    got = [(r.key_a, r.key_b) for r in s.similar_pairs(m, classes, many=7).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 0.7)
