@@ -63,22 +63,27 @@ def token_counts(texts: DataFrame, key: str, text: str, path: str = f"{TOKENIZER
     return texts.where(F.col(key).isNotNull()).select(F.col(key), F.col(text)).mapInArrow(count, f"id {kind}, n_tokens bigint")
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """Containers that any packing needs: the best of two families of dual feasible functions."""
-    s = np.sort(sizes[sizes > 0])
-    if not len(s):
+def lower_bound(sizes: np.ndarray, capacity: int, times: np.ndarray | None = None) -> int:
+    """Containers that any packing needs: the best of two families of dual feasible functions.
+
+    ``times``: how often each size occurs, if not once.
+    """
+    n = np.ones(len(sizes), np.int64) if times is None else np.asarray(times, np.int64)
+    if not (sizes > 0).any():
         return 1 if len(sizes) else 0
-    best = -(-int(s.sum()) // capacity)
-    total = np.concatenate([[0], np.cumsum(s)])
+    s, at = np.unique(sizes[sizes > 0], return_inverse=True)
+    n = np.bincount(at, weights=n[sizes > 0]).astype(np.int64)
+    best = -(-int((s * n).sum()) // capacity)
+    total, many = np.concatenate([[0], np.cumsum(s * n)]), np.concatenate([[0], np.cumsum(n)])
     # Sizes above capacity - t count as a whole container, sizes below t as nothing.
     for t in np.unique(np.concatenate([s[s <= capacity // 2], capacity - s[s > capacity // 2] + 1, [1]])):
         low, high = np.searchsorted(s, t), np.searchsorted(s, capacity - t, side="right")
-        best = max(best, len(s) - high - (-(int(total[high] - total[low])) // capacity))
+        best = max(best, int(many[-1] - many[high]) - (-(int(total[high] - total[low])) // capacity))
     # Rounding down to multiples of 1/k, unless the size is such a multiple already.
     for k in range(2, 21):
         x = (k + 1) * s
         u = np.where(x % capacity == 0, s * k, (x // capacity) * capacity)
-        best = max(best, -(-int(u.sum()) // (k * capacity)))
+        best = max(best, -(-int((u * n).sum()) // (k * capacity)))
     return best
 
 
@@ -209,14 +214,28 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return _named(number(packed), specs).select("container_name", F.col("id").alias("doc_id"), "piece", F.col("size").alias("n_tokens"), "container")
 
 
+def certificates(packed: DataFrame, capacities: dict[int, int]) -> DataFrame:
+    """(kind, bound): containers that any packing of all pieces needs.
+
+    Sizes are whole numbers up to the capacity, so the counts by size are a table of at most that many rows.
+    """
+    rows = packed.groupBy("kind", "size").agg(F.count("*").alias("n")).collect()
+    bounds = [(k, lower_bound(np.array([r["size"] for r in rows if r.kind == k], np.int64), cap, np.array([r.n for r in rows if r.kind == k], np.int64))) for k, cap in capacities.items()]
+    return packed.sparkSession.createDataFrame(bounds, "kind int, bound bigint")
+
+
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Per container kind: containers used, the size bound, and the share of space filled."""
+    """Per container kind: containers used, the least any packing needs (by dual feasible functions), whether these meet, and the share of space filled."""
     packed, specs = _packed(spark, d)
+    packed = cut(packed)
     caps = F.create_map(*[F.lit(x) for k, v in specs.items() for x in (k, v[1])])
     per = number(packed).groupBy("kind", "container").agg(F.sum("size").alias("used"))
     out = per.groupBy("kind").agg(F.count("*").alias("n_containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"))
-    out = out.withColumn("capacity", caps[F.col("kind")])
-    return _named(out, specs).select("container_name", "n_containers", F.ceil(F.col("tokens") / F.col("capacity")).alias("least_by_volume"), F.round(F.col("tokens") / (F.col("n_containers") * F.col("capacity")), 6).alias("filled"), "fullest")
+    out = out.withColumn("capacity", caps[F.col("kind")]).join(F.broadcast(certificates(packed, {k: v[1] for k, v in specs.items()})), "kind")  # one row a kind
+    return _named(out, specs).select(
+        "container_name", "n_containers", F.ceil(F.col("tokens") / F.col("capacity")).alias("least_by_volume"), F.col("bound").alias("least_by_functions"),
+        (F.col("n_containers") == F.col("bound")).alias("certified"), F.round(F.col("tokens") / (F.col("n_containers") * F.col("capacity")), 6).alias("filled"), "fullest",
+    )
 
 
 QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill}

@@ -85,3 +85,13 @@ def test_rounds_go_on_while_they_save(spark, monkeypatch):
     df = spark.createDataFrame(list(sizes.items()), "id bigint, n_tokens bigint")
     check(p.number(p.pack(df, {0: 1000}, per_partition=40)).collect(), {0: 1000}, sizes)
     assert len(deals) > 5
+
+
+def test_bounds_of_counts_and_certificates(spark):
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(0, 100, 500)
+    s, n = np.unique(sizes, return_counts=True)
+    assert p.lower_bound(sizes, 100) == p.lower_bound(s, 100, n) >= -(-sizes.sum() // 100)
+    df = spark.createDataFrame([(i, 60) for i in range(7)] + [(9, 40)], "id bigint, n_tokens bigint")
+    packed = p.pack(df, {0: 100, 1: 200})
+    assert {r.kind: r.bound for r in p.certificates(packed, {0: 100, 1: 200}).collect()} == {0: 7, 1: 3}
