@@ -38,9 +38,7 @@ def repeated_keys(rows: DataFrame, *keys: str) -> DataFrame:
 
 def child_of(cards: DataFrame) -> DataFrame:
     """(user_id, child_id, parent_id) from cards, whichever way a card names its parent."""
-    e = resolve_parents(cards).where("parent is not null").select(F.col("id").alias("child_id"), F.col("parent").alias("parent_id"))
-    owner = cards.groupBy(F.col("zettel_id").alias("child_id")).agg(F.min("user_id").alias("user_id"))
-    return e.join(owner, "child_id").select("user_id", "child_id", "parent_id")
+    return resolve_parents(cards).where("parent is not null").select("user_id", F.col("id").alias("child_id"), F.col("parent").alias("parent_id"))
 
 
 def mentions(zettels: DataFrame) -> DataFrame:

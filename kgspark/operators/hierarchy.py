@@ -53,7 +53,7 @@ def own_parent(luhmann: Column) -> Column:
 
 
 def resolve_parents(cards: DataFrame) -> DataFrame:
-    """(id, parent, lost) per distinct ``zettel_id``; ``parent`` null and not lost means a root."""
+    """(id, parent, lost, user_id) per distinct ``zettel_id``; ``parent`` null and not lost means a root."""
     c = (
         cards.where(F.col("zettel_id").isNotNull())
         .groupBy("zettel_id")
@@ -66,7 +66,7 @@ def resolve_parents(cards: DataFrame) -> DataFrame:
     names = c.select("u", "id", F.explode(F.array(F.concat(F.lit("z:"), canonical_id(F.col("id"))), F.concat(F.lit("l:"), "l"))).alias("wanted"))
     named = names.where("wanted is not null").groupBy("u", "wanted").agg(F.min("id").alias("parent"))
     return child.join(named, ["u", "wanted"], "left").select(
-        "id", "parent", (F.col("wanted").isNotNull() & F.col("parent").isNull()).alias("lost")
+        "id", "parent", (F.col("wanted").isNotNull() & F.col("parent").isNull()).alias("lost"), F.nullif(F.col("u"), F.lit("")).alias("user_id")
     )
 
 

@@ -37,10 +37,13 @@ def get_spark(app: str = "kgspark", master: str | None = None, **conf: str) -> S
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests on one machine) a temporary folder is made.
+    Where the setting is absent a temporary folder is made on one machine (tests); on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="kgspark-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
