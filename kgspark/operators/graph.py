@@ -57,8 +57,8 @@ def parents(zettels: DataFrame, edges: DataFrame) -> DataFrame:
 def children(zettels: DataFrame, edges: DataFrame) -> DataFrame:
     """(user_id, zettel_id, child_id, child_luhmann, ord): children in natural order."""
     kid = zettels.select("user_id", F.col("zettel_id").alias("child_id"), F.col("luhmann_id").alias("child_luhmann"))
-    w = Window.partitionBy("user_id", "zettel_id").orderBy(F.length("child_luhmann"), "child_luhmann", "child_id")
-    return edges.withColumnRenamed("parent_id", "zettel_id").join(kid, ["user_id", "child_id"]).withColumn("ord", F.row_number().over(w).cast("bigint"))
+    named = edges.withColumnRenamed("parent_id", "zettel_id").join(kid, ["user_id", "child_id"])
+    return row_numbers(named, ["user_id", "zettel_id"], [F.length("child_luhmann"), F.col("child_luhmann"), F.col("child_id")], "ord")
 
 
 def sibling_numbers(zettels: DataFrame, edges: DataFrame) -> DataFrame:

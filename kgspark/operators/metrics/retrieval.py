@@ -60,3 +60,19 @@ def histogram(rows: DataFrame, metric: str, bins: int = 15) -> DataFrame:
     """Counts per bin of [0, 1]."""
     b = F.least(F.floor(F.col(metric) * bins) + 1, F.lit(bins)).cast("bigint")
     return rows.groupBy("k", b.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def qa_dataset(questions: DataFrame, cards: DataFrame) -> DataFrame:
+    """(qa_id, note_id, all_zettel_ids, relevant_zettel_ids, n_total_zettels, n_relevant_zettels): generated questions with valid ids only.
+
+    ``questions`` (qa_id, note_id, relevant array<string>), ``cards`` (note_id, zettel_id). Ids that are no card of
+    the question's note are dropped and the rest keeps its order; a question whose note has no card is left out. A note's
+    cards are bounded by its text.
+    """
+    c = cards.where("note_id is not null and zettel_id is not null").distinct()
+    whole = c.groupBy("note_id").agg(F.array_join(F.sort_array(F.collect_list("zettel_id")), "|").alias("all_zettel_ids"), F.count("*").alias("n_total_zettels"))
+    said = questions.select("qa_id", "note_id", F.posexplode("relevant").alias("at", "zettel_id"))
+    kept = said.join(c, ["note_id", "zettel_id"], "left_semi").groupBy("qa_id").agg(F.sort_array(F.collect_list(F.struct("at", "zettel_id"))).alias("r"))
+    ids = F.coalesce(F.transform("r", lambda x: x["zettel_id"]), F.array().cast("array<string>"))
+    j = questions.select("qa_id", "note_id").join(whole, "note_id").join(kept, "qa_id", "left")
+    return j.select("qa_id", "note_id", "all_zettel_ids", F.array_join(ids, "|").alias("relevant_zettel_ids"), "n_total_zettels", F.size(ids).cast("bigint").alias("n_relevant_zettels"))

@@ -97,7 +97,7 @@ def fold(cards: DataFrame, make_decider: Callable[[], Callable[[dict, list[dict]
         placed: dict[str, str] = {}
         kids: dict[str | None, int] = {}
         ids: list[str] = []
-        mat: np.ndarray | None = None
+        mat: np.ndarray | None = None  # rows in use: as many as ids; doubled when full
         for r in pdf.itertuples(index=False):
             v = None if r.embedding is None else np.asarray(r.embedding, np.float64)
             if v is not None and (not np.isfinite(v).all() or not v.any()):
@@ -106,7 +106,7 @@ def fold(cards: DataFrame, make_decider: Callable[[], Callable[[dict, list[dict]
             if r.parent_id is not None and r.parent_id in placed:
                 action, target = "child_of", r.parent_id
             elif v is not None and mat is not None and mat.shape[1] == len(v):
-                s = mat @ (v / np.linalg.norm(v))
+                s = mat[: len(ids)] @ (v / np.linalg.norm(v))
                 best = sorted((-round(float(s[i]), 6), ids[i]) for i in np.flatnonzero(s >= threshold))[:k]
                 found = [{"zettel_id": z, "score": -x} for x, z in best]
                 n = len(found)
@@ -125,8 +125,11 @@ def fold(cards: DataFrame, make_decider: Callable[[], Callable[[dict, list[dict]
                 kids[up] = kids.get(up, 0) + 1
                 lid = placed[r.zettel_id] = next_id(up, kids[up])
                 if v is not None and (mat is None or mat.shape[1] == len(v)):
-                    u = (v / np.linalg.norm(v))[None]
-                    mat = u if mat is None else np.vstack([mat, u])
+                    if mat is None:
+                        mat = np.empty((16, len(v)))
+                    elif len(ids) == len(mat):
+                        mat = np.concatenate([mat, np.empty_like(mat)])
+                    mat[len(ids)] = v / np.linalg.norm(v)
                     ids.append(r.zettel_id)
             rows.append((key[0], r.seq, r.zettel_id, action, target, lid, n))
         return pd.DataFrame(rows, columns=["user_id", "seq", "zettel_id", "action", "target_id", "luhmann_id", "candidates"])

@@ -53,6 +53,18 @@ mt AS (SELECT qid, k::BIGINT AS k, round(hits / k, 6) AS precision, round(hits /
   round(coalesce(1 / fst, 0.0), 6) AS mrr, round(dcg / list_sum(list_transform(range(1, least(k, n_rel) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM g)"""
 
 
+@query("""WITH q AS (SELECT DISTINCT ON (qa_id) qa_id, note_id, relevant_zettel_ids AS b FROM qa_pair WHERE note_id IS NOT NULL), c AS (SELECT DISTINCT note_id, zettel_id FROM zettel_card WHERE note_id IS NOT NULL),
+w AS (SELECT note_id, string_agg(zettel_id, '|' ORDER BY zettel_id) AS all_zettel_ids, count(*) AS n_total_zettels FROM c GROUP BY 1),
+s AS (SELECT qa_id, note_id, trim(x[p]) AS id, p FROM (SELECT qa_id, note_id, string_split(b, '|') AS x, unnest(range(1, len(string_split(b, '|')) + 1)) AS p FROM q)),
+k AS (SELECT qa_id, string_agg(id, '|' ORDER BY p) AS ids, count(*) AS n FROM s JOIN c ON c.note_id = s.note_id AND c.zettel_id = s.id GROUP BY 1)
+SELECT q.qa_id, q.note_id, all_zettel_ids, coalesce(ids, '') AS relevant_zettel_ids, n_total_zettels, coalesce(n, 0) AS n_relevant_zettels FROM q JOIN w USING (note_id) LEFT JOIN k USING (qa_id)""")
+def qa_dataset(spark: SparkSession, d: str) -> DataFrame:
+    """Questions with those of their ids that are cards of their note."""
+    q = table(spark, d, "qa_pair", "qa_id", "note_id", "relevant_zettel_ids").where("note_id is not null").dropDuplicates(["qa_id"])
+    q = q.select("qa_id", "note_id", F.coalesce(text.pipe_list(F.col("relevant_zettel_ids")), F.array().cast("array<string>")).alias("relevant"))
+    return retrieval.qa_dataset(q, table(spark, d, "zettel_card", "note_id", "zettel_id"))
+
+
 def _at_k(spark: SparkSession, d: str) -> DataFrame:
     r, t = _ranked(spark, d)
     return retrieval.at_k(r, t, params.KS)

@@ -104,6 +104,15 @@ def legacy_similarity(spark: SparkSession, d: str) -> DataFrame:
     return e.join(first, "label").select("vec_id", vectors.legacy_similarity(1 - vectors.cosine(F.col("embedding"), F.col("c"))).alias("similarity"))
 
 
+@query(f"""SELECT a.vec_id AS query_id, b.vec_id AS id, round({_COS}, 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 6) DESC, b.vec_id) AS number
+FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 AND round({_COS}, 6) >= 0.35 QUALIFY number <= 5""")
+def delete_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Numbered rows to choose from before a deletion, by the higher of the two thresholds."""
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
+    return vector.delete_candidates(q, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label"), ["label"], 0.2).select("query_id", "id", "score", "number")
+
+
 @query(f"""WITH t AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round({_COS}, 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 6) DESC, b.vec_id) AS rank
 FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 QUALIFY rank <= 3) SELECT * FROM t WHERE score >= 0.15""")
 def legacy_search(spark: SparkSession, d: str) -> DataFrame:
