@@ -1,7 +1,8 @@
 """Inducing the rule list of ``quality`` by incremental reduced-error pruning.
 
 ``label`` names the kind of a text from its structure (line shapes, cells, alphabets, repetition) and
-serves as the labeller of the training rows; it abstains (None) where it is not sure. ``irep`` learns an
+serves as the labeller of the training rows; it abstains (None) where it is not sure. The documents of
+``quality_labels``, told by reading, have the kind that was read and check the learned rules. ``irep`` learns an
 ordered rule list over the native statistics from a bounded sample of labelled rows
 (``MAX_LABELLED``); ``python -m kgspark.llm.quality_fit FOLDER`` fits it on a folder's documents, prints
 the agreement on a held-out third and writes ``quality_rules.py``.
@@ -15,6 +16,8 @@ from pathlib import Path
 
 import numpy as np
 
+from kgspark.llm.quality_labels import READ
+
 #: Bound on labelled rows used for fitting.
 MAX_LABELLED = 20_000
 #: Runs of each kind with other grow/prune splits; the best on the fitting rows is kept.
@@ -205,7 +208,7 @@ def main(folder: str) -> None:
 
     spark = get_spark("quality-fit", "local[8]")
     docs = table(spark, folder, "documents", "doc_id", "text").orderBy(_order()).limit(MAX_LABELLED)
-    pdf = with_statistics(docs).select("text", "stats.*").toPandas()
+    pdf = with_statistics(docs).select("doc_id", "text", "stats.*").toPandas()
     fit(pdf)
 
 
@@ -218,7 +221,8 @@ def _order():
 def fit(pdf) -> None:
     names = list(STATISTICS)
     pdf = pdf[~pdf.duplicated("text") | (pdf.n_words == 0)]  # blank texts weigh as often as they occur
-    kinds = np.array([label(t) for t in pdf.text], dtype=object)
+    read = {i: kind for kind, ids in READ.items() for i in ids}
+    kinds = np.array([read.get(i) or label(t) for i, t in zip(pdf.doc_id, pdf.text, strict=True)], dtype=object)
     known = np.array([k is not None for k in kinds])
     x, y = pdf[names].to_numpy(float)[known], kinds[known]
     test = np.random.default_rng(11).random(len(y)) < 1 / 3
@@ -232,6 +236,9 @@ def fit(pdf) -> None:
     print(f"{len(y)} labelled of {len(pdf)}; agreement on the held-out third: {(got == y[test]).mean():.4f}")
     for k in (*KINDS, "prose"):
         print(f"  {k}: precision {(y[test][got == k] == k).mean():.3f}, recall {(got[y[test] == k] == k).mean():.3f}, rows {(y[test] == k).sum()}")
+    mine = pdf.doc_id.isin(read.keys()).to_numpy()
+    told = np.array([read[i] for i in pdf.doc_id[mine]], dtype=object)
+    print(f"  right on {(apply_rules(rules, pdf[names].to_numpy(float)[mine], names) == told).sum()} of {len(told)} read")
     for r in rules:
         print("  ", r)
     write_rules(rules, Path(__file__).with_name("quality_rules.py"))
