@@ -7,6 +7,7 @@ so a real model is loaded once. Failures are values of a ``status`` column, neve
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -156,3 +157,57 @@ def read_documents(files: DataFrame, readers: dict[str, Callable[[bytes], list[t
             yield pa.RecordBatch.from_pylist(rows, kinds)
 
     return files.select("path", "content", "reader").mapInArrow(scan, "path string, page int, text string, tables array<string>, status string")
+
+
+def annotated(matches: DataFrame, make: Callable[[], Callable[[str, str], bool]], relevant: float, borderline: float) -> DataFrame:
+    """(query_id, id, score, relevant, status) of ``matches`` (query_id, id, score, question, content).
+
+    From ``relevant`` on a match counts, below ``borderline`` it does not; in between the verifier is asked, once per
+    row. A failed call counts as not relevant and says so in ``status``; scores that are null are not relevant.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        verify = None
+        for b in batches:
+            verdict, state = [], []
+            for score, question, content in zip(*(b.column(c).to_pylist() for c in ("score", "question", "content")), strict=True):
+                if score is None or score < borderline or score >= relevant:
+                    verdict.append(score is not None and score >= relevant), state.append("score")
+                    continue
+                try:
+                    verify = verify or make()
+                    verdict.append(bool(verify(question, content))), state.append("verified")
+                except Exception as e:  # a failed call is a row, not a failed job
+                    verdict.append(False), state.append(f"error: {type(e).__name__}")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(verdict, pa.bool_()), pa.array(state, pa.string())], ["query_id", "id", "score", "relevant", "status"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in matches.schema.fields}
+    return matches.select("query_id", "id", "score", "question", "content").mapInArrow(scan, f"query_id {kinds['query_id']}, id {kinds['id']}, score {kinds['score']}, relevant boolean, status string")
+
+
+def batch_run(notes: DataFrame, make: Callable[[], Callable[[str], list[dict]]]) -> DataFrame:
+    """A model's cards of every note with the time they took: one row per card.
+
+    (note_id, pos, content, thought_type, tags, parent_hint, is_root_topic, latency_ms_total, latency_ms_per_card, cards_count)
+    from ``notes`` (note_id, text). Notes that fail or give no card are left out, as no card can carry their time.
+    """
+    card = "content string, thought_type string, tags array<string>, parent_hint string, is_root_topic boolean"
+    fields = ("content", "thought_type", "tags", "parent_hint", "is_root_topic")
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        split = make()
+        for pdf in batches:
+            rows = []
+            for note, said in zip(pdf["note_id"], pdf["text"], strict=True):
+                began = time.perf_counter()
+                try:
+                    cards = split(said) if said else []
+                except Exception:  # a failed note has no rows
+                    cards = []
+                took = (time.perf_counter() - began) * 1000
+                for i, c in enumerate(cards):
+                    rows.append((note, i, *(c.get(f) for f in fields), round(took, 2), round(took / len(cards), 2), len(cards)))
+            yield pd.DataFrame(rows, columns=["note_id", "pos", *fields, "latency_ms_total", "latency_ms_per_card", "cards_count"])
+
+    kind = notes.schema["note_id"].dataType.simpleString()
+    return notes.select("note_id", "text").mapInPandas(scan, f"note_id {kind}, pos int, {card}, latency_ms_total double, latency_ms_per_card double, cards_count int")

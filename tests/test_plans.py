@@ -115,3 +115,52 @@ def test_build_cards_keeps_long_chains(spark):
     t = spark.createDataFrame(rows, "note_id string, pos int, content string, thought_type string, tags array<string>, parent_hint string, is_root_topic boolean")
     got = {r.pos: r.parent_temp for r in linking.build_cards(t).collect()}
     assert got == {i: f"n#{i - 1}" if i else None for i in range(36)}
+
+
+def test_borderline_matches_are_verified(spark):
+    rows = [("q", "a", 0.9, "x", "y"), ("q", "b", 0.5, "plan", "the plan"), ("q", "c", 0.5, "plan", "other"), ("q", "d", 0.5, "boom", "z"), ("q", "e", 0.2, "plan", "the plan"), ("q", "f", None, "plan", "the plan")]
+    df = spark.createDataFrame(rows, "query_id string, id string, score double, question string, content string")
+
+    def make():
+        def verify(question, content):
+            if question == "boom":
+                raise TimeoutError
+            return question in content
+
+        return verify
+
+    got = {r.id: (r.relevant, r.status) for r in providers.annotated(df, make, 0.6, 0.45).collect()}
+    assert got == {"a": (True, "score"), "b": (True, "verified"), "c": (False, "verified"), "d": (False, "error: TimeoutError"), "e": (False, "score"), "f": (False, "score")}
+
+
+def test_batch_run_times_cards_and_skips_failures(spark):
+    notes = spark.createDataFrame([("n1", "one. two."), ("n2", "boom"), ("n3", None), ("n4", "three.")], "note_id string, text string")
+
+    def make():
+        def split(t):
+            if t == "boom":
+                raise ValueError
+            return [{"content": x.strip(), "thought_type": "fact", "tags": ["t"], "is_root_topic": True} for x in t.split(".") if x.strip()]
+
+        return split
+
+    rows = providers.batch_run(notes, make).collect()
+    assert sorted((r.note_id, r.pos, r.content, r.cards_count) for r in rows) == [("n1", 0, "one", 2), ("n1", 1, "two", 2), ("n4", 0, "three", 1)]
+    assert all(abs(r.latency_ms_per_card - r.latency_ms_total / r.cards_count) <= 0.011 for r in rows)
+
+
+def test_tenants_never_see_each_other(spark):
+    """The same notes for two tenants: search, expansion and deletion stay within one."""
+    from kgspark.operators import vector
+
+    z = spark.createDataFrame([(u, f"{u}{i}", str(i), f"note {i}", [1.0, float(i)]) for u in "uv" for i in range(4)], "user_id string, zettel_id string, luhmann_id string, content string, embedding array<double>")
+    e = spark.createDataFrame([(u, f"{u}{i}", f"{u}0") for u in "uv" for i in (1, 2)], "user_id string, child_id string, parent_id string")
+    r = spark.createDataFrame([("u", "u0", "u3")], "user_id string, a_id string, b_id string")
+    q = z.where("zettel_id = 'u1'").select(F.col("zettel_id").alias("query_id"), F.col("embedding").alias("q"), "user_id")
+    hits = vector.search(q, z.select(F.col("zettel_id").alias("id"), F.col("embedding").alias("v"), "user_id"), 5, 0.0, ["user_id"])
+    assert {h.id for h in hits.collect()} == {"u0", "u2", "u3"}
+    entries = hits.select("query_id", F.lit("u").alias("user_id"), F.col("id").alias("zettel_id"), F.col("rank").alias("entry_rank"))
+    assert all(x.zettel_id.startswith("u") for x in retrieval.expand(entries, z, e, r, 1).collect())
+    view = z.select("user_id", "zettel_id").join(e.withColumnRenamed("child_id", "zettel_id"), ["user_id", "zettel_id"], "left")
+    gone = oplog.cascade(view, z.where("zettel_id = 'u0'").select("user_id", "zettel_id"))
+    assert {x.zettel_id for x in gone.collect()} == {"u0", "u1", "u2"}
