@@ -181,6 +181,13 @@ def neighbourhood_search(zettels: DataFrame, edges: DataFrame, needle: str) -> D
     return all_.groupBy("user_id", "zettel_id").agg(F.max("hit").cast("boolean").alias("hit"))
 
 
+def edges_within(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges of which both ends are shown; ``found`` (user_id, zettel_id)."""
+    f = found.select("user_id", "zettel_id")
+    e = edges.join(f.withColumnRenamed("zettel_id", "child_id"), ["user_id", "child_id"], "left_semi")
+    return e.join(f.withColumnRenamed("zettel_id", "parent_id"), ["user_id", "parent_id"], "left_semi")
+
+
 def tree_lines(zettels: DataFrame, tree: DataFrame) -> DataFrame:
     """(user_id, ord, line): the tenant's notes as an indented tree in natural order.
 

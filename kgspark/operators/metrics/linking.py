@@ -13,17 +13,24 @@ from kgspark.params import ACTIONS
 
 
 def zipped(ref: DataFrame, test: DataFrame) -> DataFrame:
-    r = ref.select("seq", F.col("action").alias("ra"), F.col("luhmann_id").alias("rl"), luhmann.depth(F.col("luhmann_id")).alias("rd"))
+    # Only what a report shows and both sides may have is carried along.
+    shown = [F.concat(F.left(F.coalesce("content", F.lit("")), F.lit(60)), F.lit("...")).alias("content_snippet")] if "content" in ref.columns else []
+    r = ref.select("seq", *shown, F.col("action").alias("ra"), F.col("luhmann_id").alias("rl"), luhmann.depth(F.col("luhmann_id")).alias("rd"))
     t = test.select("seq", F.col("action").alias("ta"), F.col("luhmann_id").alias("tl"), luhmann.depth(F.col("luhmann_id")).alias("td"))
     return r.join(t, "seq")
 
 
 def row_diff(ref: DataFrame, test: DataFrame) -> DataFrame:
-    """Per position: whether actions, depths and (for two children) parent prefixes agree."""
+    """Per position: both actions and ids, whether actions and (for two children) parent prefixes agree, and the distance of the depths.
+
+    With ``content`` in ``ref`` also its first 60 characters.
+    """
     z = zipped(ref, test)
     child = (F.col("ra") == "child_of") & (F.col("ta") == "child_of")
     same = F.when(child, luhmann.parent(F.col("rl")).eqNullSafe(luhmann.parent(F.col("tl"))))
-    return z.select("seq", (F.col("ra") == F.col("ta")).alias("action_match"), (F.col("td") - F.col("rd")).alias("depth_diff"), same.alias("prefix_match"))
+    sides = [F.col(a).alias(b) for a, b in (("ra", "action_ref"), ("ta", "action_test"), ("rl", "luhmann_ref"), ("tl", "luhmann_test"))]
+    shown = ["content_snippet"] if "content_snippet" in z.columns else []
+    return z.select("seq", *shown, *sides, (F.col("ra") == F.col("ta")).alias("action_match"), F.abs(F.col("td") - F.col("rd")).alias("depth_diff"), same.alias("prefix_match"))
 
 
 def positional(ref: DataFrame, test: DataFrame) -> DataFrame:

@@ -204,6 +204,15 @@ def neighbourhood_search(spark: SparkSession, d: str) -> DataFrame:
     return graph.neighbourhood_search(zettels(spark, d, "user_id", "content"), edges(spark, d), "договор").select("zettel_id", "hit")
 
 
+@query(f"""WITH {Z}, {E}, h AS (SELECT user_id, zettel_id FROM z WHERE contains(lower(content), 'договор')),
+a AS (SELECT user_id, zettel_id FROM h UNION SELECT e.user_id, e.child_id FROM e JOIN h ON h.user_id = e.user_id AND h.zettel_id = e.parent_id UNION SELECT e.user_id, e.parent_id FROM e JOIN h ON h.user_id = e.user_id AND h.zettel_id = e.child_id)
+SELECT e.user_id, e.child_id, e.parent_id FROM e JOIN a x ON x.user_id = e.user_id AND x.zettel_id = e.child_id JOIN a y ON y.user_id = e.user_id AND y.zettel_id = e.parent_id""")
+def neighbourhood_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges that a search leaves visible."""
+    e = edges(spark, d)
+    return graph.edges_within(graph.neighbourhood_search(zettels(spark, d, "user_id", "content"), e, "договор"), e).select("user_id", "child_id", "parent_id")
+
+
 @query(_ABOVE.rstrip() + f""", {Z}, k AS (SELECT zettel_id AS id, lpad(length(coalesce(luhmann_id, ''))::VARCHAR, 4, '0') || ':' || coalesce(luhmann_id, '') || ':' || zettel_id AS k FROM z),
 full_ AS (SELECT id, anc FROM above UNION SELECT id, id FROM edge),
 dep AS (SELECT e.id, coalesce(n.n, 0)::BIGINT AS depth FROM edge e LEFT JOIN (SELECT id, count(*) AS n FROM above GROUP BY id) n ON n.id = e.id),

@@ -219,7 +219,7 @@ def _runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     k = F.get_json_object("props", "$.k").cast("int")
     act = F.when(F.col("event_type").isin("view", "click"), "child_of").when(F.col("event_type") == "purchase", "update_of").otherwise("new_root")
     lid = F.when(k % 4 == 0, "1").when(k % 4 == 1, "1.2").when(k % 4 == 2, "1.2a").otherwise("1.2a3")
-    x = e.select(F.floor(F.col("event_id") / 2).alias("seq"), (F.col("event_id") % 2).alias("side"), act.alias("action"), lid.alias("luhmann_id"), F.col("value").alias("latency_sec"))
+    x = e.select(F.floor(F.col("event_id") / 2).alias("seq"), (F.col("event_id") % 2).alias("side"), act.alias("action"), lid.alias("luhmann_id"), F.col("value").alias("latency_sec"), F.concat_ws(" ", "event_type", "props").alias("content"))
     return x.where("side = 0"), x.where("side = 1")
 
 
@@ -269,7 +269,7 @@ def spearman_depth(spark: SparkSession, d: str) -> DataFrame:
 _PARENT = "nullif(regexp_replace({c}, '([.][0-9]+|[a-z]+|[0-9]+)$', ''), '')"
 
 
-@query(f"""WITH {_RUN} SELECT seq, ra = ta AS action_match, (td - rd)::BIGINT AS depth_diff,
+@query(f"""WITH {_RUN} SELECT seq, left((SELECT event_type || ' ' || props FROM events WHERE event_id = 2 * seq), 60) || '...' AS content_snippet, ra AS action_ref, ta AS action_test, rl AS luhmann_ref, tl AS luhmann_test, ra = ta AS action_match, abs(td - rd)::BIGINT AS depth_diff,
 CASE WHEN ra = 'child_of' AND ta = 'child_of' THEN {_PARENT.format(c='rl')} IS NOT DISTINCT FROM {_PARENT.format(c='tl')} END AS prefix_match FROM zp""")
 def row_diff(spark: SparkSession, d: str) -> DataFrame:
     return linking.row_diff(*_runs(spark, d))
@@ -289,7 +289,13 @@ def action_histogram(spark: SparkSession, d: str) -> DataFrame:
     return domain.join(n, "action", "left").fillna(0)
 
 
-@query()
+_PARTS = {n: n for n in ("action_accuracy", "depth_consistency", "child_precision", "root_rate_delta", "action_kl", "latency_per_card")} | {"structure_similarity": "spearman_depth"}
+
+
+@query(
+    "WITH s AS (SELECT " + ", ".join(f"({SQL[q]}) AS {n}" for n, q in _PARTS.items()) + ") SELECT *, round("
+    + " + ".join(f"{w} * " + ("(1 - greatest(0.0, least(1.0, action_kl / 0.1)))" if m == "action_kl" else m) for m, w in params.LINKER_WEIGHTS.items()) + ", 6) AS overall FROM s"
+)
 def linker_overall(spark: SparkSession, d: str) -> DataFrame:
     """All linking metrics and their weighted sum in one row."""
     return scorecard.linker_overall(linking.all_metrics(*_runs(spark, d)), params.LINKER_WEIGHTS)
@@ -324,6 +330,17 @@ def generation_by_type(spark: SparkSession, d: str) -> DataFrame:
     return generation.by_type(_answers(spark, d))
 
 
+@query(f"""WITH {Z} SELECT count(*) AS zettels, count(*) FILTER (tags IS NULL) AS without_tags, count(*) FILTER (content IS NULL) AS without_content, count(*) FILTER (len(tags) = 0) AS empty_lists,
+round(avg(len(tags)), 4) AS mean_tags, sum(coalesce(is_root_topic, false)::INT)::BIGINT AS roots FROM z""")
+def list_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Mean list length, missing values and counts of predicates in one row."""
+    z = zettels(spark, d, "tags", "content", "is_root_topic")
+    return z.agg(
+        F.count("*").alias("zettels"), F.count_if(F.col("tags").isNull()).alias("without_tags"), F.count_if(F.col("content").isNull()).alias("without_content"),
+        F.coalesce(F.count_if(F.size("tags") == 0), F.lit(0)).alias("empty_lists"), F.round(F.avg(F.when(F.col("tags").isNotNull(), F.size("tags"))), 4).alias("mean_tags"), F.count_if("is_root_topic").alias("roots"),
+    )
+
+
 @query(f"WITH {_ANS} SELECT model, round(avg(latency_ms), 4) AS mean, round(median(latency_ms), 4) AS median, round(quantile_cont(latency_ms, 0.95), 4) AS p95 FROM an GROUP BY 1")
 def latency_p95(spark: SparkSession, d: str) -> DataFrame:
     a = _answers(spark, d)

@@ -84,7 +84,7 @@ def context_paths(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.paths(_context(spark, d), zettels(spark, d, "user_id", "luhmann_id"), edges(spark, d))
 
 
-@query()
+@query(f"SELECT query_id, regexp_replace(string_split(context, chr(10))[2], '^- ', '') AS answer, 'ok' AS status FROM ({SQL['context_string']})")
 def context_answers(spark: SparkSession, d: str) -> DataFrame:
     """Answers of the stand-in model over every context."""
     return providers.answers(context_string(spark, d))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from kgspark.functions import luhmann, text
 from kgspark.graphdata import Z, zettels
-from kgspark.operators import assign
+from kgspark.operators import assign, oplog
+from kgspark.operators.ranking import row_numbers
+from kgspark.sources import files
 from kgspark.tables import table
 
 QUERIES: dict = {}
@@ -157,6 +159,44 @@ def coerced_tags(spark: SparkSession, d: str) -> DataFrame:
     return q.select("qa_id", F.size(text.coerced_tags(F.col("key_concepts"))).cast("bigint").alias("n"))
 
 
+@query("""SELECT zettel_id, row_number() OVER (ORDER BY created_at NULLS FIRST, note_id NULLS FIRST, luhmann_id NULLS FIRST, zettel_id) AS seq
+FROM (SELECT zettel_id, min(created_at) AS created_at, min(note_id) AS note_id, min(luhmann_id) AS luhmann_id FROM zettel_card WHERE zettel_id IS NOT NULL GROUP BY 1)""")
+def processing_order(spark: SparkSession, d: str) -> DataFrame:
+    """The order in which cards are processed: by time, note and id as text."""
+    c = table(spark, d, "zettel_card", "zettel_id", "created_at", "note_id", "luhmann_id").where("zettel_id is not null")
+    c = c.groupBy("zettel_id").agg(*[F.min(x).alias(x) for x in ("created_at", "note_id", "luhmann_id")])
+    return row_numbers(c, [], [F.col(x) for x in ("created_at", "note_id", "luhmann_id", "zettel_id")], "seq").select("zettel_id", "seq")
+
+
+@query("""WITH n AS (SELECT DISTINCT note_id FROM zettel_card WHERE note_id IS NOT NULL ORDER BY md5(note_id || '|42'), note_id LIMIT 30)
+SELECT DISTINCT note_id, zettel_id FROM zettel_card JOIN n USING (note_id)""")
+def note_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The cards of 30 notes chosen by a seeded hash."""
+    c = table(spark, d, "zettel_card", "note_id", "zettel_id").where("note_id is not null")
+    picked = files.hash_sample(c.select("note_id").distinct(), "note_id", 30)
+    return c.join(picked, "note_id", "left_semi").distinct()
+
+
+@query("""SELECT '{"note_id":"' || note_id || '","zettel_ids":[' || string_agg('"' || zettel_id || '"', ',' ORDER BY zettel_id) || ']}' AS line
+FROM (SELECT DISTINCT note_id, zettel_id FROM zettel_card WHERE note_id IS NOT NULL) GROUP BY note_id""")
+def note_map_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The map of notes to cards as JSON lines."""
+    return files.note_map_lines(table(spark, d, "zettel_card", "note_id", "zettel_id").where("note_id is not null"))
+
+
+@query("SELECT zettel_id, '[' || strftime(created_at AT TIME ZONE 'UTC', '%d.%m.%Y %H:%M') || ' UTC] ' || content AS content FROM zettel_node WHERE content IS NOT NULL")
+def dated_updates(spark: SparkSession, d: str) -> DataFrame:
+    """The older form of an update: the text behind a label with its time."""
+    z = table(spark, d, "zettel_node", "zettel_id", "content", "created_at").where("content is not null")
+    return z.select("zettel_id", text.dated_update(F.col("content"), F.col("created_at")).alias("content"))
+
+
+@query("SELECT user_id, count(*) AS n FROM zettel_node WHERE user_id <> 'tg_user_7000001' GROUP BY 1")
+def tenant_dropped(spark: SparkSession, d: str) -> DataFrame:
+    """Rows per tenant once one tenant's partition is left out."""
+    return oplog.drop_tenant(table(spark, d, "zettel_node", "user_id"), "tg_user_7000001").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
 def json_props(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events", "event_id", "props").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))

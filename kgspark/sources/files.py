@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark import schema
@@ -45,14 +45,28 @@ def note_map(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode("m").alias("note_id", "ids")).select("note_id", F.explode("ids").alias("zettel_id"))
 
 
+def note_map_lines(links: DataFrame) -> DataFrame:
+    """(line): one JSON object per note with its card ids in order, from (note_id, zettel_id)."""
+    g = links.distinct().groupBy("note_id").agg(F.sort_array(F.collect_list("zettel_id")).alias("zettel_ids"))
+    return g.select(F.to_json(F.struct("note_id", "zettel_ids")).alias("line"))
+
+
+def write_note_map(links: DataFrame, path: str) -> None:
+    note_map_lines(links).write.mode("overwrite").text(path)
+
+
 def missing_columns(df: DataFrame, needed: list[str]) -> list[str]:
     """Required columns that a dataset lacks: it is then built anew."""
     return [c for c in needed if c not in df.columns]
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows in the order of a seeded hash: the same rows every time."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    """``n`` rows in the order of a seeded hash: the same rows every time, and in any engine that knows MD5."""
+    return df.orderBy(seeded(key, seed), key).limit(n)
+
+
+def seeded(key: str, seed: int) -> Column:
+    return F.md5(F.concat(F.col(key), F.lit(f"|{seed}")))
 
 
 def backup_questions(notes: DataFrame, n: int, seed: int = 42) -> DataFrame:
@@ -60,7 +74,7 @@ def backup_questions(notes: DataFrame, n: int, seed: int = 42) -> DataFrame:
     s = hash_sample(notes, "note_id", n, seed)
     from pyspark.sql import Window
 
-    k = F.row_number().over(Window.orderBy(F.xxhash64("note_id", F.lit(seed)), "note_id"))
+    k = F.row_number().over(Window.orderBy(seeded("note_id", seed), "note_id"))
     return s.select(F.format_string("Q-BACKUP-%04d", k).alias("question_id"), "note_id", F.concat(F.lit("What does this note say: "), text.preview(F.col("note_text"), 60)).alias("question"))
 
 
