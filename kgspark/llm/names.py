@@ -374,9 +374,9 @@ def with_common(p: DataFrame) -> DataFrame:
     """``p`` with ``common``: the words of each organisation that too many tenants use to name one."""
     words = p.where("kind in ('org', 'word')").select("row", "user_id", F.explode(F.array_distinct(F.concat(F.array("lead"), "more"))).alias("word"))
     words = words.where("word <> '' and word not like '%.'")
-    tenants = p.select(F.count_distinct("user_id").alias("t"))
-    many = words.groupBy("word").agg(F.count_distinct("user_id").alias("n")).crossJoin(F.broadcast(tenants))  # one row
-    many = many.where((F.col("n") > FEW) & (F.col("n") > SHARE * F.col("t"))).select("word")
+    tenants = p.agg(F.count_distinct("user_id")).head()[0]
+    n = F.count_distinct("user_id")
+    many = words.groupBy("word").agg(n.alias("n")).where((F.col("n") > FEW) & (F.col("n") > SHARE * tenants)).select("word")
     mine = words.join(many, "word").groupBy("row").agg(F.sort_array(F.collect_set("word")).alias("common"))
     return p.join(mine, "row", "left")
 
