@@ -41,6 +41,13 @@ _SEEN = r"(?=[^\n]*[^\s\u200b])"
 _LEAD = r"(?d)^\s*+(?![^\n]*\p{Ll}{2}['\"»”)]*[.!?…]\s+\p{Lu})[^\n]*[.!?…:]['\"»”)\]]*[^\S\n]*\n(?=\s*\S)"
 
 
+#: Names of the statistics, in order.
+STATISTICS = (
+    "n_chars n_words mean_word_len symbol_ratio digit_ratio n_lines words_per_line end_punct_share marker_share short_open_share open_chars item_chars "
+    "cell_share distinct_lines common_share distinct_words single_share title_share"
+).split()
+
+
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a.cast("double") / b).otherwise(F.lit(0.0))
 
@@ -54,8 +61,8 @@ def _held(t: Column, pattern: str) -> Column:
     return F.length(t) - F.length(F.regexp_replace(t, _LINES + pattern + r"[^\n]*+", ""))
 
 
-def with_statistics(df: DataFrame, text: str = "text", out: str = "stats") -> DataFrame:
-    """``df`` with a struct column ``out`` holding the statistics of column ``text``."""
+def with_statistics(df: DataFrame, text: str = "text", out: str = "stats", only: set[str] | None = None) -> DataFrame:
+    """``df`` with a struct column ``out`` holding the statistics of column ``text``, or ``only`` those of these names."""
     t = F.coalesce(F.col(text), F.lit(""))
     # A generator over one element keeps the optimizer from repeating the expressions of a row in
     # every statistic, and those of the statistics in every rule.
@@ -64,7 +71,7 @@ def with_statistics(df: DataFrame, text: str = "text", out: str = "stats") -> Da
         tmp += "_"
     held = lambda c: F.explode(F.array(c))
     plain = F.trim(F.regexp_replace(F.replace(F.lower(t), F.lit("ё"), F.lit("е")), r"[^\p{L}\p{N}]+", " "))
-    made = df.withColumn(tmp, held(F.struct(t.alias("t"), plain.alias("plain"), F.regexp_replace(t, _LEAD, "").alias("body"))))
+    made = df.withColumn(tmp, held(F.struct(t.alias("t"), plain.alias("plain"), F.when(F.contains(t, F.lit("\n")), F.regexp_replace(t, _LEAD, "")).otherwise(t).alias("body"))))
     whole, plain, body = (F.col(f"{tmp}.{c}") for c in ("t", "plain", "body"))
     parts = F.struct(
         whole.alias("t"), plain.alias("plain"), body.alias("body"),
@@ -83,7 +90,7 @@ def with_statistics(df: DataFrame, text: str = "text", out: str = "stats") -> Da
     def delimited(seen: str, sep: str, least: int = 2) -> Column:
         return F.when(F.contains(body, F.lit(seen)), _count(body, rf"^[^\n]*?{sep}" + rf"(?:[^\n]*?{sep})" * (least - 1) + r"[^\n]*+")).otherwise(0)
 
-    stats = F.struct(
+    stats = [
         n.alias("n_chars"),
         n_words.alias("n_words"),
         _ratio(n_word_chars, n_words).alias("mean_word_len"),
@@ -102,8 +109,9 @@ def with_statistics(df: DataFrame, text: str = "text", out: str = "stats") -> Da
         _ratio(F.size(F.array_distinct(w)), n_words).alias("distinct_words"),
         _ratio(F.regexp_count(plain, F.lit("(?<![^ ])[^ ](?![^ ])")), n_words).alias("single_share"),
         _ratio(F.regexp_count(whole, F.lit(r"\p{Lu}(?<![\p{L}\p{N}]\p{Lu})(?!\p{Lu})")), n_words).alias("title_share"),
-    )
-    return made.withColumn(out, held(stats)).drop(tmp)
+    ]
+    kept = [c for c, name in zip(stats, STATISTICS, strict=True) if only is None or name in only]
+    return made.withColumn(out, held(F.struct(*kept))).drop(tmp)
 
 
 def case_sql(rules: list, stats: str = "stats", default: str = "prose") -> str:
@@ -115,9 +123,9 @@ def case_sql(rules: list, stats: str = "stats", default: str = "prose") -> str:
     return f"CASE {' '.join(whens)} ELSE '{default}' END" if whens else f"'{default}'"
 
 
-def with_kind(df: DataFrame, text: str = "text", out: str = "kind", rules: list | None = None) -> DataFrame:
-    """``df`` with columns ``stats`` and ``out`` (prose, list, table or junk)."""
-    made = with_statistics(df, text, "stats")
+def with_kind(df: DataFrame, text: str = "text", out: str = "kind", rules: list | None = None, only: set[str] | None = None) -> DataFrame:
+    """``df`` with columns ``stats`` (``only`` some, which must hold what the rules test) and ``out`` (prose, list, table or junk)."""
+    made = with_statistics(df, text, "stats", only)
     return made.withColumn(out, F.expr(case_sql(RULES if rules is None else rules)))
 
 
@@ -126,7 +134,8 @@ def _rated(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return _rated(spark, d).where("kind <> 'prose'").select("doc_id", "kind").distinct()
+    tested = {name for _, conds in RULES for name, _, _ in conds}
+    return with_kind(table(spark, d, "documents", "doc_id", "text"), only=tested).where("kind <> 'prose'").select("doc_id", "kind").distinct()
 
 
 MEASURES = ("mean_word_len", "symbol_ratio", "end_punct_share", "common_share")

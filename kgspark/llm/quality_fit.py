@@ -16,6 +16,7 @@ from pathlib import Path
 
 import numpy as np
 
+from kgspark.llm.quality import COMMON, STATISTICS
 from kgspark.llm.quality_labels import READ
 
 #: Bound on labelled rows used for fitting.
@@ -23,11 +24,6 @@ MAX_LABELLED = 20_000
 #: Runs of each kind with other grow/prune splits; the best on the fitting rows is kept.
 RESTARTS = 32
 KINDS = ("junk", "table", "list")
-STATISTICS = (
-    "n_chars n_words mean_word_len symbol_ratio digit_ratio n_lines words_per_line end_punct_share marker_share short_open_share open_chars item_chars "
-    "cell_share distinct_lines common_share distinct_words single_share title_share"
-).split()
-
 #: Directions a kind's rules may test a statistic in: they hold beyond the texts at hand. Sizes may be tested both ways.
 _SIZES = [(s, op) for s in ("n_chars", "n_words", "n_lines") for op in ("<=", ">=")]
 DIRECTIONS = {
@@ -85,8 +81,6 @@ def label(text: str | None) -> str | None:
         return "junk"
     if len(body) >= 4 and len(set(body)) < 0.5 * len(body):
         return "junk"
-    from kgspark.llm.quality import COMMON
-
     common = sum(w in COMMON for w in words) / len(words)
     ends = sum(bool(_END.search(x)) for x in body) / len(body)
     if len(body) >= 3:
