@@ -278,6 +278,7 @@ _NUM = r"[A-ZА-Я]{0,3}\s?\d(?:[\d\s\-/]|\s?№\s?|\s?номер\s|\s?no\.?\s){
 IDENTITY = re.compile(rf"(?<!\w)(?:{_DOC})(?!\w){_FILL}\s*(?P<n>{_NUM})", re.I)
 IDENTITY_BACK = re.compile(rf"(?<![\w-])(?P<n>[A-ZА-Я]{{0,2}}\d[\d\s\-]{{4,18}}\d)\s*(?:,\s*это|\(|—\s*это|\s-\s*это|,\s*(?:this )?is(?: the| my)?|,\s*das ist)\s*(?:мой |его |её |the |my )?(?:{_DOC})(?!\w)", re.I)
 _STREET_W = r"(?i:ул\.|улиц[аеуы]|пер\.|переул(?:ок|ке|ка)|пр-т|просп\.|проспект[еа]?|наб\.|набережн(?:ая|ой|ую)|б-р|бульвар[еа]?|пл\.|площад[ьи]|проезд[еа]?|туп\.|тупик|аллея|ш\.|шоссе)"
+_STREET_SEEN = re.compile(_STREET_W)
 _HOUSE = r"(?:,?\s*(?i:д\.|дом)?\s*№?\s*\d{1,4}\s?(?:[а-яА-Я](?![а-яА-Я\d]))?(?:\s?(?i:к|корп\.?|стр\.?|/)\s?\d+)?(?:-\d+)?)"
 _ROOM = r"(?:,?\s*(?i:кв\.?|квартира|подъезд|под\.|оф\.?|офис|этаж|эт\.|корп\.|корпус|стр\.|строение|комн\.)\s*\d+\w?)*"
 _PRE = r"(?:\d{6},\s*)?(?:(?i:г\.|город)\s?[А-ЯЁ][\w-]+,\s*)?"
@@ -431,7 +432,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
     if "@" in text or "at" in text.lower() or "собак" in text.lower():
         spans += [(*m.span(), "email") for m in EMAIL.finditer(text)]
     if digits:
-        for rx in (ADDRESS_RU, ADDRESS_EN, ADDRESS_DE):
+        for rx in (ADDRESS_RU, ADDRESS_EN, ADDRESS_DE) if _STREET_SEEN.search(text) else (ADDRESS_EN, ADDRESS_DE):
             spans += [(*m.span(), "street_address") for m in rx.finditer(text)]
         for rx in (IDENTITY, IDENTITY_BACK):
             for m in rx.finditer(text):
