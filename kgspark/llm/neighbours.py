@@ -10,7 +10,7 @@ Leaves next to each other in the tree form cells. A vector is shuffled once as a
 once as a query to each cell (some ``CELL`` points) that holds leaves it visits, as 16-bit fixed-point values; each cell
 multiplies queries and points leaf by leaf and returns k rows per query. The sample bounds the number of leaves,
 so leaves grow with the data; a leaf of more than ``SPLIT`` points is not multiplied whole but gets a tree of its own
-where it is read, again with leaves of ``LEAF`` points and visits calibrated on ``PROBES`` of its queries. Cells that the calibration
+where it is read, again with leaves of ``LEAF`` points and visits calibrated on ``PROBES`` of its points. Cells that the calibration
 shows to be visited by very many queries are split by salt, with their points repeated.
 
 Scale: the sample, the tree and the calibration rows are bounded by parameters; nothing else reaches
@@ -41,8 +41,9 @@ SAMPLE, CALIBRATION = 50_000, 400
 LEAF, LEAST_SAMPLE, BRANCH, CELL = 300, 8, 16, 24_000
 #: Queries per cell from which the cell is split.
 CELL_QUERIES = 200_000
-#: Points of a leaf from which it gets a tree of its own, points that tree is fitted on, queries it is calibrated on, and their least recall.
-SPLIT, FIT, PROBES, WITHIN = 4 * LEAF, 20_000, 64, 0.999
+#: Points of a leaf from which it gets a tree of its own (below, multiplying them all is as fast), points that tree is
+#: fitted on, points it is calibrated on, and their least recall.
+SPLIT, FIT, PROBES, WITHIN = 16_000, 20_000, 64, 0.995
 #: Salts of further copies of one vector.
 SALTS = 32
 #: Fixed-point scale of a unit vector's components.
@@ -249,7 +250,7 @@ def _pieces(points: np.ndarray, asks: np.ndarray, k: int, split: int) -> Iterato
     fit = points[:: -(-len(points) // FIT)]
     tree = Tree(fit, max(LEAST_SAMPLE, round(LEAF * len(fit) / len(points))))
     home = _visits(tree, points, 1)[:, 0]
-    probes = asks[:: -(-len(asks) // PROBES)]
+    probes = points[:: -(-len(points) // PROBES)]
     wanted = home[_top(probes @ points.T, k)]
     visits = 2
     while True:
