@@ -1,22 +1,23 @@
-"""Most similar vectors for every vector: a hierarchical k-means tree with best-bin-first search.
+"""Most similar vectors for every vector: a hierarchical k-means tree whose leaves are joined with themselves.
 
 The tree is fitted on a bounded sample (``SAMPLE`` rows by hash of the id, at most); every vector is
-indexed. A query walks the tree through a priority queue of nodes ordered by distance to their
-centroids and visits leaves best first. How many leaves it visits is calibrated: the true neighbours
-of ``CALIBRATION`` sample queries are found by brute force over all vectors, and the number of visits is
-widened until their leaves cover ``target`` of them.
-
-Leaves next to each other in the tree form cells. A vector is shuffled once as a point to its cell and
-once as a query to each cell (some ``CELL`` points) that holds leaves it visits, as 16-bit fixed-point values; each cell
-multiplies queries and points leaf by leaf and returns k rows per query. The sample bounds the number of leaves,
-so leaves grow with the data; a leaf of more than ``SPLIT`` points is not multiplied whole but gets a tree of its own
-where it is read, again with leaves of ``LEAF`` points and visits calibrated on ``PROBES`` of its points. Cells that the calibration
-shows to be visited by very many queries are split by salt, with their points repeated.
+indexed. A vector is a member of the few leaves with the nearest centroids, found exactly, and is compared
+with the other members of these: two vectors meet if any of their leaves are the same. How many leaves that takes is
+calibrated: the true neighbours of ``CALIBRATION`` sample queries are found by brute force over all vectors, and
+the number of leaves is widened until ``target`` of them share one.
+
+Leaves next to each other in the tree form cells. A vector is shuffled once to each cell (of some ``CELL`` points)
+that holds leaves of it, as 16-bit fixed-point values with all its leaves; each cell multiplies members leaf by leaf and
+returns k rows per vector. A pair counts in the first leaf that both are members of, so no pair is returned twice.
+The sample bounds the number of leaves,
+so leaves grow with the data; a leaf of more than ``SPLIT`` members is not multiplied whole but gets a tree of its own
+where it is read, again with leaves of ``LEAF`` points and visits calibrated on ``PROBES`` of its points. Cells that the
+sample shows to hold very many members are split by salt, with their points repeated.
 
 Scale: the sample, the tree and the calibration rows are bounded by parameters; nothing else reaches
 the driver. Equal vectors are reduced to their first k + 1 ids before indexing (with a map-side
 limit), so a vector that a third of all rows share is no hot leaf; the remaining copies take those
-ids as neighbours by a salted equi-join. With 6,000 leaves a leaf is read in one task of 20 MB at a billion vectors.
+ids as neighbours by a salted equi-join. With 9,700 leaves, 5 of them a vector's, the members of a leaf come to some 76 MB in one task at a billion vectors (calculated).
 
 Defined results: a vector is usable with ``dim`` finite values that are not all zero; others, null vectors
 and null ids are left out; repeated ids count once (their latest row); fewer than k other vectors
@@ -39,11 +40,15 @@ from kgspark.tables import table
 SAMPLE, CALIBRATION = 50_000, 400
 #: Points per leaf aimed at, least sample rows per leaf, most children per node, points per cell.
 LEAF, LEAST_SAMPLE, BRANCH, CELL = 300, 8, 16, 24_000
-#: Queries per cell from which the cell is split.
-CELL_QUERIES = 200_000
-#: Points of a leaf from which it gets a tree of its own (below, multiplying them all is as fast), points that tree is
+#: Members per cell from which the cell is split, and sample rows they are counted on.
+CELL_QUERIES, MEMBERS = 200_000, 10_000
+#: Similarities computed at once.
+BLOCK = 1_000_000
+#: Columns of a similarity matrix whose maximum is taken first.
+GROUP = 16
+#: Members of a leaf from which it gets a tree of its own (below, multiplying them all is as fast), points that tree is
 #: fitted on, points it is calibrated on, and their least recall.
-SPLIT, FIT, PROBES, WITHIN = 16_000, 20_000, 64, 0.995
+SPLIT, FIT, PROBES, WITHIN = 40_000, 20_000, 64, 0.995
 #: Salts of further copies of one vector.
 SALTS = 32
 #: Fixed-point scale of a unit vector's components.
@@ -76,30 +81,22 @@ def usable(rows: DataFrame, key: str, vector: str, latest: str, dim: int) -> Dat
 
 
 class Tree:
-    """Arrays of a k-means tree; children of a node are contiguous, leaves are numbered in tree order."""
+    """Leaves of a k-means tree, numbered in tree order."""
 
     def __init__(self, x: np.ndarray, leaf: int, seed: int = 3):
         rng = np.random.default_rng(seed)
-        cent, first, count, leaf_no, held = [x.mean(axis=0)], [0], [0], [-1], []
-        todo, self.leaves = [(0, np.arange(len(x)))], 0
+        todo, held = [np.arange(len(x))], []
         while todo:
-            node, own = todo.pop()
+            own = todo.pop()
             label = self._split(x[own], rng, max(2, min(BRANCH, -(-len(own) // leaf)))) if len(own) > leaf else None
             if label is None:
-                leaf_no[node] = self.leaves
-                held.append(len(own))
-                self.leaves += 1
-                continue
-            groups = [own[label == k] for k in np.unique(label)]
-            first[node], count[node] = len(cent), len(groups)
-            for g in groups:
-                cent.append(x[g].mean(axis=0))
-                first.append(0), count.append(0), leaf_no.append(-1)
-            todo += [(first[node] + i, g) for i, g in enumerate(groups)][::-1]
-        self.cent = np.vstack([np.array(cent, np.float32), np.zeros((BRANCH, x.shape[1]), np.float32)])
+                held.append(own)
+            else:
+                todo += [own[label == k] for k in np.unique(label)][::-1]
+        self.leaves = len(held)
+        self.cent = np.array([x[own].mean(axis=0) for own in held], np.float32)
         self.half = (self.cent**2).sum(axis=1) / 2
-        self.share = np.array(held) / len(x)  # of the sample, by leaf
-        self.first, self.count, self.leaf_no = np.array(first), np.array(count), np.array(leaf_no)
+        self.share = np.array([len(own) for own in held]) / len(x)  # of the sample, by leaf
 
     @staticmethod
     def _split(x: np.ndarray, rng, k: int) -> np.ndarray | None:
@@ -114,50 +111,16 @@ class Tree:
         return label if len(np.unique(label)) > 1 else None
 
     def visit(self, q: np.ndarray, visits: int) -> np.ndarray:
-        """Leaves of each query in best-bin-first order; -1 where the tree has no more."""
-        m, visits = len(q), min(visits, self.leaves)
-        out = np.full((m, visits), -1, np.int32)
-        if self.count[0] == 0:
-            out[:, 0] = 0
-            return out
-        width = BRANCH * (visits + 2) if visits < 64 else len(self.cent)
-        cap = min(width, len(self.cent))
-        dist, node = np.full((m, cap), np.inf, np.float32), np.zeros((m, cap), np.int32)
-        used, got = np.zeros(m, np.int64), np.zeros(m, np.int64)
-        self._open(q, np.arange(m), np.zeros(m, np.int64), dist, node, used)
-        live = np.arange(m)
-        while len(live):
-            at = np.argmin(dist[live], axis=1)
-            d = dist[live, at]
-            n = node[live, at]
-            dist[live, at] = np.inf
-            ok = np.isfinite(d)
-            live, n = live[ok], n[ok]
-            leaf = self.leaf_no[n]
-            is_leaf = leaf >= 0
-            hit = live[is_leaf]
-            out[hit, got[hit]] = leaf[is_leaf]
-            got[hit] += 1
-            inner = live[~is_leaf]
-            if len(inner):
-                need = int(used[inner].max()) + BRANCH
-                if need > dist.shape[1]:
-                    dist = np.pad(dist, ((0, 0), (0, need)), constant_values=np.inf)
-                    node = np.pad(node, ((0, 0), (0, need)))
-                self._open(q, inner, n[~is_leaf], dist, node, used)
-            live = live[got[live] < visits]
+        """The leaves of each query with the nearest centroids, nearest first."""
+        out = np.empty((len(q), min(visits, self.leaves)), np.int32)
+        step = max(1, BLOCK // self.leaves)
+        for a in range(0, len(q), step):
+            near = q[a : a + step] @ self.cent.T - self.half
+            top = _top(near, out.shape[1])
+            order = np.argsort(-np.take_along_axis(near, top, axis=1), axis=1, kind="stable")
+            out[a : a + step] = np.take_along_axis(top, order, axis=1)
         return out
 
-    def _open(self, q, rows, nodes, dist, node, used):
-        kids = self.first[nodes][:, None] + np.arange(BRANCH)
-        real = np.arange(BRANCH) < self.count[nodes][:, None]
-        c = self.cent[kids]
-        d = self.half[kids] - np.matmul(c, q[rows][:, :, None])[:, :, 0]
-        cols = used[rows][:, None] + np.arange(BRANCH)
-        dist[rows[:, None], cols] = np.where(real, d, np.inf)
-        node[rows[:, None], cols] = kids
-        used[rows] += self.count[nodes]
-
 
 def _floats(vectors: list[bytes], dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(vectors), np.int16).reshape(-1, dim).astype(np.float32) / np.float32(SCALE)
@@ -168,7 +131,18 @@ def _matrix(col, dim: int) -> np.ndarray:
 
 
 def _top(sim: np.ndarray, k: int) -> np.ndarray:
-    return np.argpartition(-sim, k - 1, axis=1)[:, :k] if sim.shape[1] > k else np.broadcast_to(np.arange(sim.shape[1]), sim.shape)
+    """Columns of the k largest of each row. They lie in the k groups of columns with the largest maxima, or in the rest."""
+    n = sim.shape[1]
+    if n <= k:
+        return np.broadcast_to(np.arange(n), sim.shape)
+    groups = n // GROUP
+    if groups <= 2 * k:
+        return np.argpartition(-sim, k - 1, axis=1)[:, :k]
+    most = sim[:, : groups * GROUP].reshape(len(sim), GROUP, groups).max(axis=1)
+    best = np.argpartition(-most, k - 1, axis=1)[:, :k]
+    cols = (best[:, None, :] + np.arange(0, groups * GROUP, groups)[:, None]).reshape(len(sim), -1)
+    cols = np.hstack([cols, np.broadcast_to(np.arange(groups * GROUP, n), (len(sim), n - groups * GROUP))])
+    return np.take_along_axis(cols, np.argpartition(-np.take_along_axis(sim, cols, axis=1), k - 1, axis=1)[:, :k], axis=1)
 
 
 def brute_force(vectors: DataFrame, queries: list[tuple[str, bytes]], dim: int, k: int) -> list[tuple[int, bytes, str, float]]:
@@ -190,58 +164,49 @@ def brute_force(vectors: DataFrame, queries: list[tuple[str, bytes]], dim: int,
     return [tuple(r) for r in rows.withColumn("r", rank).where(F.col("r") <= k).drop("r").collect()]
 
 
-def calibrate(tree: Tree, queries: list[tuple[str, bytes]], truth: list[tuple], dim: int, target: float) -> tuple[int, np.ndarray]:
-    """(leaves to visit, visited leaves of the sample queries)."""
-    q = _floats([v for _, v in queries], dim)
-    leaf = tree.visit(_floats([t[1] for t in truth], dim), 1)[:, 0] if truth else np.zeros(0, np.int32)
-    row = np.array([t[0] for t in truth], np.int64)
-    visits = 4
-    while True:
-        seen = tree.visit(q, visits)
-        hit = (seen[row] == leaf[:, None]).any(axis=1)
-        if visits >= tree.leaves or not len(row) or hit.mean() >= target:
-            return min(visits, tree.leaves), seen
-        visits = max(visits + 2, int(visits * 1.3))
+def calibrate(tree: Tree, queries: list[tuple[str, bytes]], truth: list[tuple], dim: int, target: float) -> int:
+    """Leaves of each vector with which ``target`` of the true pairs share one."""
+    q = _floats([v for _, v in queries], dim)[np.array([t[0] for t in truth], np.int64)]
+    near = _floats([t[1] for t in truth], dim)
+    visits = min(3, tree.leaves)
+    while visits < tree.leaves and len(truth):
+        mine, theirs = tree.visit(q, visits), tree.visit(near, visits)
+        if np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(mine, theirs, strict=True)]) >= target:
+            break
+        visits = min(tree.leaves, max(visits + 1, int(visits * 1.15)))
+    return visits
 
 
-_ROWS = "cell int, salt int, point boolean, row bigint, vec binary, leaves array<int>"
+_ROWS = "cell int, salt int, ask boolean, row bigint, data binary"
 
 
 def _spread(vectors: DataFrame, tree: Tree, visits: int, cell_of: np.ndarray, salts: np.ndarray, dim: int) -> DataFrame:
+    """A row for each cell (and salt) that holds leaves of a vector; ``data``: the vector and its leaves in order."""
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for at in range(0, big.num_rows, 2048):
                 b = big.slice(at, 2048)
-                seen = tree.visit(_matrix(b.column(1), dim), visits)
-                home = seen[:, 0]
-                own = cell_of[home]
-                reps = salts[own]
-                take = np.repeat(np.arange(len(home)), reps)
+                leaves = np.sort(tree.visit(_matrix(b.column(1), dim), visits), axis=1)
+                data = np.hstack([np.frombuffer(b"".join(b.column(1).to_pylist()), np.int16).reshape(-1, dim), leaves.view(np.int16)])
+                cells = cell_of[leaves]
+                new = np.ones(cells.shape, bool)
+                new[:, 1:] = cells[:, 1:] != cells[:, :-1]
+                who, col = np.nonzero(new)
+                cell = cells[who, col]
+                reps = salts[cell]
+                take = np.repeat(np.arange(len(who)), reps)
                 salt = np.arange(len(take)) - np.repeat(np.cumsum(reps) - reps, reps)
-                one = pa.ListArray.from_arrays(pa.array(np.arange(len(take) + 1, dtype=np.int32)), pa.array(home[take]))
-                ix = pa.array(take)
-                names = ["cell", "salt", "point", "row", "vec", "leaves"]
-                yield pa.RecordBatch.from_arrays([pa.array(own[take].astype(np.int32)), pa.array(salt.astype(np.int32)), pa.array(np.ones(len(take), bool)), b.column(0).take(ix), b.column(1).take(ix), one], names)
-                s = np.sort(seen, axis=1)
-                r, c = np.nonzero(s >= 0)
-                leaf = s[r, c]
-                cell = cell_of[leaf]
-                new = np.ones(len(r), bool)
-                new[1:] = (r[1:] != r[:-1]) | (cell[1:] != cell[:-1])
-                start = np.flatnonzero(new)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(r)).astype(np.int32)), pa.array(leaf.astype(np.int32)))
-                who, cells = r[start], cell[start]
-                salt = (who + at) % salts[cells]
-                ix = pa.array(who)
-                yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(salt.astype(np.int32)), pa.array(np.zeros(len(who), bool)), b.column(0).take(ix), b.column(1).take(ix), lists], names)
+                who, cell = who[take], cell[take]
+                ask = salt == (who + at) % salts[cell]
+                ends = np.arange(len(who) + 1, dtype=np.int32) * np.int32(data.shape[1] * 2)
+                packed = pa.Array.from_buffers(pa.binary(), len(who), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data[who]))])
+                cols = [pa.array(cell.astype(np.int32)), pa.array(salt.astype(np.int32)), pa.array(ask), b.column(0).take(pa.array(who)), packed]
+                yield pa.RecordBatch.from_arrays(cols, ["cell", "salt", "ask", "row", "data"])
 
     return vectors.select("row", "vec").mapInArrow(spread, _ROWS)
 
 
-def _visits(tree: Tree, q: np.ndarray, visits: int) -> np.ndarray:
-    return np.vstack([tree.visit(q[a : a + 2048], visits) for a in range(0, len(q), 2048)])
-
-
 def _pieces(points: np.ndarray, asks: np.ndarray, k: int, split: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(queries, points) of a leaf to be multiplied: all by all, or by the leaves of its own tree."""
     if len(points) <= split:
@@ -249,18 +214,17 @@ def _pieces(points: np.ndarray, asks: np.ndarray, k: int, split: int) -> Iterato
         return
     fit = points[:: -(-len(points) // FIT)]
     tree = Tree(fit, max(LEAST_SAMPLE, round(LEAF * len(fit) / len(points))))
-    home = _visits(tree, points, 1)[:, 0]
+    home = tree.visit(points, 1)[:, 0]
     probes = points[:: -(-len(points) // PROBES)]
     wanted = home[_top(probes @ points.T, k)]
     visits = 2
     while True:
-        seen = _visits(tree, probes, visits)
+        seen = tree.visit(probes, visits)
         if visits >= tree.leaves or (wanted[:, :, None] == seen[:, None, :]).any(axis=2).mean() >= WITHIN:
             break
         visits = max(visits + 1, int(visits * 1.3))
-    seen = _visits(tree, asks, visits)
-    row, col = np.nonzero(seen >= 0)
-    leaf = seen[row, col]
+    seen = tree.visit(asks, visits)
+    row, leaf = np.repeat(np.arange(len(asks)), seen.shape[1]), seen.ravel()
     by_leaf, by_home = np.argsort(leaf, kind="stable"), np.argsort(home, kind="stable")
     edges = np.searchsorted(leaf[by_leaf], np.arange(tree.leaves + 1))
     homes = np.searchsorted(home[by_home], np.arange(tree.leaves + 1))
@@ -269,46 +233,39 @@ def _pieces(points: np.ndarray, asks: np.ndarray, k: int, split: int) -> Iterato
             yield row[by_leaf[edges[i] : edges[i + 1]]], by_home[homes[i] : homes[i + 1]]
 
 
-def _scan_cells(rows: DataFrame, dim: int, k: int, split: int) -> DataFrame:
+def _scan_cells(rows: DataFrame, cell_of: np.ndarray, dim: int, k: int, split: int) -> DataFrame:
     def scan(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        point = t.column("point").to_numpy()
-        p, q = t.filter(pa.array(point)), t.filter(pa.array(~point))
-        empty = pa.table({"row": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "sim": pa.array([], pa.float32())})
-        if not p.num_rows or not q.num_rows:
-            return empty
-        pm, qm = _matrix(p.column("vec"), dim), _matrix(q.column("vec"), dim)
-        pid, qid = p.column("row").to_numpy(), q.column("row").to_numpy()
-        by_row = np.argsort(pid)
-        near = by_row[np.minimum(np.searchsorted(pid, qid, sorter=by_row), len(pid) - 1)]
-        self_at = np.where(pid[near] == qid, near, -1)
-        p_leaf = p.column("leaves").combine_chunks().flatten().to_numpy()
-        lists = q.column("leaves").combine_chunks()
-        q_row = np.repeat(np.arange(q.num_rows), np.diff(lists.offsets.to_numpy()))
-        q_leaf = lists.flatten().to_numpy()
-        best, who = np.full((q.num_rows, k), -2, np.float32), np.full((q.num_rows, k), -1, np.int64)
-        by_leaf = np.argsort(q_leaf, kind="stable")
-        edges = np.searchsorted(q_leaf[by_leaf], np.arange(p_leaf.min(), p_leaf.max() + 2))
-        order = np.argsort(p_leaf, kind="stable")
-        p_edges = np.searchsorted(p_leaf[order], np.arange(p_leaf.min(), p_leaf.max() + 2))
-        for i in range(len(edges) - 1):
-            mine = order[p_edges[i] : p_edges[i + 1]]
-            ask = q_row[by_leaf[edges[i] : edges[i + 1]]]
-            if not len(mine) or not len(ask):
-                continue
-            for asks, points in _pieces(pm[mine], qm[ask], k + 1, split):
-                for a in range(0, len(asks), 4096):
-                    rows_, near_ = ask[asks[a : a + 4096]], mine[points]
-                    sim = qm[rows_] @ pm[near_].T
+        raw = np.frombuffer(b"".join(t.column("data").to_pylist()), np.int16).reshape(t.num_rows, -1)
+        x = raw[:, :dim].astype(np.float32) / np.float32(SCALE)
+        leaves = np.ascontiguousarray(raw[:, dim:]).view(np.int32)
+        ids, asking = t.column("row").to_numpy(), t.column("ask").to_numpy()
+        best, who = np.full((len(x), k), -2, np.float32), np.full((len(x), k), -1, np.int64)
+        member, col = np.nonzero(cell_of[leaves] == t.column("cell")[0].as_py())
+        leaf = leaves[member, col]
+        order = np.argsort(leaf, kind="stable")
+        member, leaf = member[order], leaf[order]
+        numbers, starts = np.unique(leaf, return_index=True)
+        for number, mine in zip(numbers, np.split(member, starts[1:]), strict=True):
+            ask = mine[asking[mine]]
+            for asks, points in _pieces(x[mine], x[ask], k + 1, split):
+                near = mine[points]
+                y = np.ascontiguousarray(x[near].T)
+                step = max(1, BLOCK // len(near))
+                for a in range(0, len(asks), step):
+                    q = ask[asks[a : a + step]]
+                    sim = x[q] @ y
                     top = _top(sim, k + 1)
-                    s = np.take_along_axis(sim, top, axis=1)
-                    w = near_[top]
-                    s = np.where(w == self_at[rows_][:, None], np.float32(-2), s)
-                    s, w = np.hstack([best[rows_], s]), np.hstack([who[rows_], w])
+                    s, w = np.take_along_axis(sim, top, axis=1), near[top]
+                    drop, theirs = w == q[:, None], leaves[w]
+                    for own in leaves[q].T:  # a pair counts in its first leaf
+                        if (earlier := own < number).any():
+                            drop |= (theirs == own[:, None, None]).any(axis=2) & earlier[:, None]
+                    s = np.where(drop, np.float32(-2), s)
+                    s, w = np.hstack([best[q], s]), np.hstack([who[q], w])
                     o = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                    best[rows_], who[rows_] = np.take_along_axis(s, o, axis=1), np.take_along_axis(w, o, axis=1)
+                    best[q], who[q] = np.take_along_axis(s, o, axis=1), np.take_along_axis(w, o, axis=1)
         r, c = np.nonzero(best > -2)
-        return pa.table({"row": pa.array(qid[r]), "other": pa.array(pid[who[r, c]]), "sim": pa.array(best[r, c])})
+        return pa.table({"row": pa.array(ids[r]), "other": pa.array(ids[who[r, c]]), "sim": pa.array(best[r, c])})
 
     return rows.groupBy("cell", "salt").applyInArrow(scan, "row bigint, other bigint, sim float")
 
@@ -324,22 +281,24 @@ def nearest(vectors: DataFrame, k: int = 3, dim: int = 64, target: float = 0.997
     total, n = vectors.count(), first.count()
     if n < 2:
         return spark.createDataFrame([], "id string, other string, rank int, sim float")
-    part = int(min(1.0, most / n) * 1_000_000) or 1
+    part = int(min(1.0, (most + CALIBRATION) / n) * 1_000_000) or 1
     pick = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1_000_000)) < part
     sample = [(r.id, bytes(r.vec)) for r in first.where(pick).select("id", "vec").limit(2 * most).collect()]
     if len(sample) < 2:
         sample = [(r.id, bytes(r.vec)) for r in first.select("id", "vec").limit(1000).collect()]
-    x = _floats([v for _, v in sample], dim)
-    tree = Tree(x, max(LEAST_SAMPLE, round(LEAF * len(sample) / n)))
-    sample = sorted(sample)[:: max(1, len(sample) // CALIBRATION)][:CALIBRATION]
-    truth = brute_force(first, sample, dim, k)
-    visits, seen = calibrate(tree, sample, truth, dim, target)
+    sample, step = sorted(sample), max(2, len(sample) // CALIBRATION)
+    queries = sample[::step][:CALIBRATION]  # not fitted on: a small leaf lies nearer to the rows it was made of
+    x = _floats([v for i, (_, v) in enumerate(sample) if i % step], dim)
+    tree = Tree(x, max(LEAST_SAMPLE, round(LEAF * len(x) / n)))
+    truth = brute_force(first, queries, dim, k)
+    visits = calibrate(tree, queries, truth, dim, target)
     cell_of = ((np.cumsum(tree.share) - tree.share) * n / CELL).astype(np.int64)
-    asked = np.zeros(cell_of[-1] + 1)
-    for row in seen:
-        asked[np.unique(cell_of[row[row >= 0]])] += 1
-    salts = np.maximum(1, np.ceil(asked / len(sample) * n / CELL_QUERIES)).astype(np.int64)
-    found = _scan_cells(_spread(first, tree, visits, cell_of, salts, dim), dim, k, split)
+    seen = np.sort(cell_of[tree.visit(x[:: max(1, len(x) // MEMBERS)], visits)], axis=1)
+    new = np.ones(seen.shape, bool)
+    new[:, 1:] = seen[:, 1:] != seen[:, :-1]
+    held = np.bincount(seen[new], minlength=cell_of[-1] + 1)
+    salts = np.maximum(1, np.ceil(held / len(seen) * n / CELL_QUERIES)).astype(np.int64)
+    found = _scan_cells(_spread(first, tree, visits, cell_of, salts, dim), cell_of, dim, k, split)
     rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("sim"), "other"))
     best = found.withColumn("rank", rank).where(F.col("rank") <= k)
     names = first.select("row", "id")

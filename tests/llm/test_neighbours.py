@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 
 from kgspark.llm import neighbours as n
@@ -73,3 +75,34 @@ def test_large_leaves_get_trees_of_their_own(spark):
         got.setdefault(int(r.id[1:]), set()).add(int(r.other[1:]))
     want = truth(x)
     assert np.mean([len(got[i] & set(want[i].tolist())) / 3 for i in range(8000)]) >= 0.98
+
+
+def test_cost_of_more_leaves_does_not_jump():
+    """From 64 leaves on the queue of a query used to be as wide as the tree."""
+    x = np.random.default_rng(1).normal(size=(12_000, 64)).astype(np.float32)
+    t = n.Tree(x, 8)
+
+    def cost(visits):
+        began = time.process_time()
+        t.visit(x[:1000], visits)
+        return time.process_time() - began
+
+    assert min(cost(72) for _ in range(3)) < 2 * min(cost(56) for _ in range(3))
+
+
+def test_top_of_many_columns():
+    s = np.random.default_rng(6).normal(size=(50, 1003)).astype(np.float32)
+    for k in (1, 4, 9, 40):
+        assert (np.sort(np.take_along_axis(s, n._top(s, k), axis=1)) == np.sort(s)[:, -k:]).all()
+
+
+def test_recall_with_few_sample_rows_a_leaf(spark):
+    """Leaves made of some 8 rows: the queries calibrated on are not among these, and no pair is returned twice."""
+    rng = np.random.default_rng(8)
+    c = rng.normal(size=(1500, 64))
+    x = np.repeat(c, 8, axis=0) + 0.25 * rng.normal(size=(12_000, 64))
+    got = n.nearest(make(spark, x), most=800).collect()
+    pairs = {(int(r.id[1:]), int(r.other[1:])) for r in got}
+    want = truth(x)
+    assert len(pairs) == len(got) == 36_000
+    assert np.mean([(i, j) in pairs for i in range(12_000) for j in want[i]]) >= 0.99
